@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality
+from . import chat, decontaminate, language, packing, quality
+from .hashing import remainder
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -37,3 +39,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rest = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = language.fit(docs.where(~rest))
+    return language.predict(docs, model).withColumn("held_out", rest).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    return chat.read_back(chat.segments(turns.unionByName(own)))
