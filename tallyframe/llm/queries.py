@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, packing, quality
+from . import chat, decontaminate, language, packing, quality, substrings
 from .hashing import remainder
 
 QUERIES: dict = {}
@@ -55,3 +55,8 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
     return chat.read_back(chat.segments(turns.unionByName(own)))
+
+
+@query
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(substrings.mark(table(spark, sf_dir, "documents")))
