@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, packing, quality, substrings
+from . import chat, decontaminate, jaccard, language, packing, quality, substrings
 from .hashing import remainder
 
 QUERIES: dict = {}
@@ -60,3 +60,8 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removed(substrings.mark(table(spark, sf_dir, "documents")))
+
+
+@query
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), k=4, percent=85)
