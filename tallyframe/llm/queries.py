@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, language, packing, quality, substrings
+from . import chat, decontaminate, jaccard, language, lm, packing, quality, substrings
 from .hashing import remainder
 
 QUERIES: dict = {}
@@ -65,3 +65,8 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+@query
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
