@@ -1,21 +1,23 @@
 """Language-model scoring (operator 7).
 
-The model is a weighted backoff automaton over the UTF-8 bytes of the text with A-Z lower-cased.
-Its states are the contexts of up to ``ORDER`` - 1 bytes met in the training documents; arcs carry
-log10 of absolutely discounted, interpolated n-gram probabilities; what a state has not seen goes
-along its failure arc to the next shorter context, at the weight of the discounted mass. The arcs
-are laid out as one table (state x symbol), so a text is one left-to-right traversal that carries a
-state and adds up log-probabilities. Many texts move at once in numpy; long ones are cut where the
-last ORDER - 1 bytes alone fix the state. The number of states is at most ``max_states`` (contexts
-seen less often than a cutoff are left to their failure arcs), which bounds the broadcast.
-
-The base score needs the training count of every word. Words are not broadcast: documents are
-dealt into blocks, each block asks for its distinct words once, counts are summed by word, and only
-the counts go back to the block. So a word, however common, is one row for each block.
+Tokens are the words of a text, A-Z lower-cased, and then one end; any word that training has not
+seen is one and the same unknown token. The model is a weighted backoff automaton: its states are
+the empty context, single words and pairs of words met in the training documents; arcs carry
+discounted n-gram probabilities, and what a state has no arc for takes its failure arc, at the
+weight of the mass left over, to the next shorter context. A text is one left-to-right traversal:
+each token's state follows from the token before it and is carried on, and the arc's log10
+probability is added up. At the empty context a word has (c - D) / N, and the unknown token the
+discounted D * V / N, so the probabilities of all tokens add up to 1 in every state.
+
+States have words among the ``CONTEXT_WORDS`` (pairs: ``PAIR_WORDS``) most frequent and their arcs
+lead to those, which with ``max_arcs`` (arcs under a count cutoff are left to the failure arc)
+bounds what is broadcast. Counts of words are not broadcast: documents are dealt into blocks, each
+block asks for its distinct words once, counts are summed by word over all documents, and only
+counts go back to the block. So a word, however common, is one row for each block.
 
 Edge cases: a null or empty text is just the end token; a null id is a training document; with no
-training documents every count is 0 and the model is uniform over symbols; rows that occur twice
-are learned and scored twice; other columns are not read.
+training documents every token is unknown, with probability 1; rows that occur twice are learned and
+scored twice; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,154 +33,134 @@ from . import words as w
 from .hashing import remainder
 from .scratch import small_batches, staged
 
-ORDER = 5
-BOS, EOS = 256, 257
-#: Absolute discount of every n-gram count.
+CONTEXT_WORDS, PAIR_WORDS = 4096, 128
+#: Beside the ranks of frequent words, in the 13 bits of a gram's places: the text's begin, its end, any other token.
+BEGIN, END, OTHER = 8189, 8190, 8191
+_PLACE = 13
+#: Absolute discount of n-grams in the states of one and two words.
 DISCOUNT = 0.75
-#: Targets of one traversal before a long text is cut.
-SEGMENT = 2048
 #: Bytes of text in a block that asks for counts.
 BLOCK_BYTES = 16 << 20
-#: Distinct n-grams a task holds before it sends them.
+#: Distinct words, or n-grams, that a task holds before it sums them up.
 FLUSH = 1 << 20
-_BITS = w.U(9)
 
 
-def _sequence(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All texts as symbols, each with ORDER - 1 times BOS before and EOS after; first targets; numbers of targets."""
-    pad = ORDER - 1
-    n = np.diff(offsets)
-    out = np.full(len(data) + (pad + 1) * len(n), BOS, dtype=np.uint16)
-    doc = np.repeat(np.arange(len(n)), n)
-    out[np.arange(len(data)) + (pad + 1) * doc + pad] = w.LOWER[data]
-    first = offsets[:-1] + (pad + 1) * np.arange(len(n)) + pad
-    out[first + n] = EOS
-    return out, first, n + 1
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    u, inverse = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
+    return u, np.bincount(inverse, weights=np.concatenate([c for _, c in held])).astype(np.int64)
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in batches:
-        for _, _, data, offsets in w.texts(batch.column("text")):
-            seq, first, _ = _sequence(data, offsets)
-            s = seq.astype(w.U)
-            g = s[: len(s) - ORDER + 1]
-            for k in range(1, ORDER):
-                g = (g << _BITS) | s[k : len(s) - ORDER + 1 + k]
-            held.append(np.unique(g[(g & w.U(511)) != w.U(BOS)], return_counts=True))
-            if sum(len(u) for u, _ in held) > 4 * FLUSH:
+def _ranked(known: np.ndarray, rank: np.ndarray, t: w.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all tokens, ends included: the token, the one before and the one before that as places; each text's bounds."""
+    r = np.full(len(hashes), OTHER, dtype=np.int64)
+    if len(known):
+        at = np.searchsorted(known, hashes)
+        at[at == len(known)] = 0
+        r = np.where(known[at] == hashes, rank[at], OTHER)
+    bounds = t.first + np.arange(len(t.first))
+    token = np.insert(r, t.first[1:], END)
+    before = np.empty_like(token)
+    before[1:] = token[:-1]
+    before[bounds[:-1]] = BEGIN
+    second = np.full_like(token, OTHER)
+    second[2:] = token[:-2]
+    second[bounds[:-1]] = OTHER
+    short = bounds[:-1] + 1
+    second[short[short < bounds[1:]]] = BEGIN
+    return token, before, second, bounds
+
+
+def _states(before: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The one-word and the two-word state of each token, -1 where there is none."""
+    one = np.where(before == OTHER, -1, before)
+    pair = (one >= 0) & ((before < PAIR_WORDS) | (before == BEGIN)) & ((second < PAIR_WORDS) | (second == BEGIN))
+    return one, np.where(pair, (second + 1) << _PLACE | before, -1)
+
+
+def _count_grams(shared):
+    """Counts of (state, token) over the training documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = shared.value
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for _, _, data, offsets in w.texts(batch.column("text")):
+                t = w.Words(data, offsets, w.SPACED, lower=True)
+                token, before, second, _ = _ranked(known, rank, t, t.hashes())
+                for state in _states(before, second):
+                    on = state >= 0
+                    held.append(np.unique(state[on] << _PLACE | token[on], return_counts=True))
+            if sum(len(u) for u, _ in held) > FLUSH:
                 held = [_summed(held)]
                 if len(held[0][0]) > FLUSH:
                     yield _sent(*held[0])
                     held = []
-    if held:
-        yield _sent(*_summed(held))
+        if held:
+            yield _sent(*_summed(held))
 
-
-def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    u, inverse = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
-    return u, np.bincount(inverse, weights=np.concatenate([c for _, c in held])).astype(np.int64)
+    return run
 
 
 def _sent(grams: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts)], names=["gram", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(counts)], names=["gram", "n"])
 
 
 class Automaton:
-    """next and logp: [state * columns + column]; column: of each byte, EOS and BOS; state 0 is the empty context."""
-
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        """``levels``: for contexts of 0, 1, ... bytes, the n-grams (context and symbol, 9 bits each) and their counts."""
-        grams, counts = levels[0]
-        seen = grams[grams < 256].astype(np.int64)
-        self.column = np.full(258, len(seen), dtype=np.int64)  # bytes never seen share a column
-        self.column[seen] = np.arange(len(seen))
-        self.column[EOS], self.column[BOS] = len(seen) + 1, len(seen) + 2
-        k = self.columns = len(seen) + 3
-        keys = [np.zeros(1, w.U)]  # contexts of each length, sorted
-        for g, _ in levels[1:]:
-            keys.append(np.unique(g >> _BITS))
-        base = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
-        p = np.zeros((base[-1], k))
-        to = np.zeros((base[-1], k), dtype=np.int32)
-
-        def state(length: int, context: np.ndarray) -> np.ndarray:
-            """Numbers of the contexts of that length, -1 where there is none."""
-            if length >= len(keys) or not len(keys[length]):
-                return np.full(len(context), -1)
-            at = np.searchsorted(keys[length], context)
-            at[at == len(keys[length])] = 0
-            return np.where(keys[length][at] == context, base[length] + at, -1)
-
-        total = counts.sum() + 257
-        p[0] = 1 / total
-        p[0, self.column[grams.astype(np.int64)]] = (counts + 1) / total
-        for n, (g, c) in enumerate(levels):
-            own = np.arange(base[n], base[n + 1])
-            if n:
-                fail = state(n - 1, keys[n] & ((w.U(1) << (_BITS * w.U(n - 1))) - w.U(1)))
-                at = np.searchsorted(keys[n], g >> _BITS)
-                size = np.bincount(at, weights=c, minlength=len(own))
-                kinds = np.bincount(at, minlength=len(own))
-                p[own] = p[fail] * (DISCOUNT * kinds / size)[:, None]
-                p[own[at], self.column[(g & w.U(511)).astype(np.int64)]] += (c - DISCOUNT) / size[at]
-                to[own] = to[fail]
-            # a symbol leads to the context that it ends, if that is a state; BOS is met as context only
-            if n + 1 < len(keys):
-                longer = keys[n + 1]
-                source = state(n, longer >> _BITS)
-                target = base[n + 1] + np.arange(len(longer))
-                ok = source >= 0
-                to[source[ok], self.column[(longer[ok] & w.U(511)).astype(np.int64)]] = target[ok]
-        p[:, self.column[BOS]] = 1
-        self.logp, self.next = np.log10(p).astype(np.float32).ravel(), to.ravel()
-
-    def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """log10 probability of each text, its end included."""
-        seq, first, n = _sequence(data, offsets)
-        seq = self.column[seq].astype(np.int32)
-        cuts = -(-n // SEGMENT)
-        doc = np.repeat(np.arange(len(n)), cuts)
-        part = np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-        begin = first[doc] + part * SEGMENT
-        length = np.minimum(n[doc] - part * SEGMENT, SEGMENT)
-        order = np.argsort(-length, kind="stable")
-        begin, length, doc = begin[order], length[order], doc[order]
-        live = len(length) - np.searchsorted(length[::-1], np.arange(int(length[0]) if len(length) else 0), side="right")
-        state, acc = np.zeros(len(begin), dtype=np.int32), np.zeros(len(begin))
-        for t in range(1 - ORDER, 0):
-            state = self.next[state * self.columns + seq[begin + t]]
-        for t, m in enumerate(live.tolist()):
-            key = state[:m] * self.columns + seq[begin[:m] + t]
-            acc[:m] += self.logp[key]
-            state[:m] = self.next[key]
-        return np.bincount(doc, weights=acc, minlength=len(n))
-
-
-def train(docs: DataFrame, max_states: int = 1 << 16, max_grams: int = 1 << 21) -> Automaton:
-    """Learns from all rows of docs (text). At most max_states contexts and max_grams n-grams of a length reach the driver."""
-    small_batches(docs.sparkSession)
-    top = staged(docs.select("text").mapInArrow(_grams, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")))
-    levels, states = [], 1
-    cutoff = 0
-    for n in range(ORDER):
-        own = top.groupBy(F.col("gram").bitwiseAND((1 << 9 * (n + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n"))
-        context = F.shiftright("gram", 9)
-        # the least cutoff on a context's count, doubling, under which both bounds hold; longer contexts keep the shorter ones'
-        sizes = own.groupBy(context.alias("c")).agg(F.sum("n").alias("size"), F.count("*").alias("arcs"))
-        bins = sorted((r["bin"], r["states"], r["arcs"]) for r in sizes.groupBy(F.floor(F.log2("size")).alias("bin")).agg(F.count("*").alias("states"), F.sum("arcs").alias("arcs")).collect())
-        while sum(s for b, s, _ in bins if b >= cutoff) + states > max_states or sum(a for b, _, a in bins if b >= cutoff) > max_grams:
-            cutoff += 1
-        kept = own.alias("o").join(sizes.where(F.floor(F.log2("size")) >= cutoff).alias("s"), context == F.col("s.c"), "left_semi") if cutoff and n else own
-        rows = kept.toPandas()
-        g = rows["gram"].to_numpy().astype(np.int64).view(w.U)
-        order = np.argsort(g)
-        levels.append((g[order], rows["n"].to_numpy().astype(np.int64)[order]))
-        if n:
-            states += len(np.unique(g >> _BITS))
-    while len(levels) > 1 and not len(levels[-1][0]):
-        levels.pop()
-    return Automaton(levels)
+    """States (sorted) with the weight of their failure arc; arcs (sorted, state and token) with their probability.
+
+    known, rank: hashes of the frequent words, sorted, and their ranks."""
+
+    def __init__(self, known, rank, states, sizes, arcs, counts, tokens: int, kinds: int, discount: float):
+        self.known, self.rank = known, rank
+        order = np.argsort(states)
+        self.states, sizes = states[order], sizes[order]
+        order = np.argsort(arcs)
+        self.arcs, counts = arcs[order], counts[order]
+        at = np.searchsorted(self.states, self.arcs >> _PLACE)
+        self.weights = (counts - DISCOUNT) / sizes[at] if len(at) else np.zeros(0)
+        self.fail = 1 - np.bincount(at, weights=self.weights, minlength=len(self.states))
+        self.tokens, self.kinds, self.discount = tokens, kinds, discount
+
+    def score(self, t: w.Words, hashes: np.ndarray, counts: np.ndarray, ends: int) -> np.ndarray:
+        """log10 probability of each text. counts: training counts of its words."""
+        token, before, second, bounds = _ranked(self.known, self.rank, t, hashes)
+        c = np.insert(counts, t.first[1:], ends)
+        unknown = self.discount * self.kinds / self.tokens if self.tokens else 1.0
+        p = np.where(c > 0, (c - self.discount) / max(self.tokens, 1), unknown)
+        for state in _states(before, second):  # from the shorter state to the longer
+            at = np.minimum(np.searchsorted(self.states, state), len(self.states) - 1)
+            on = np.flatnonzero((self.states[at] == state) & (state >= 0)) if len(self.states) else np.zeros(0, np.int64)
+            p[on] *= self.fail[at[on]]
+            arc = state[on] << _PLACE | token[on]
+            to = np.minimum(np.searchsorted(self.arcs, arc), len(self.arcs) - 1)
+            hit = (self.arcs[to] == arc) & (token[on] != OTHER) if len(self.arcs) else np.zeros(len(on), bool)
+            p[on[hit]] += self.weights[to[hit]]
+        return w.per_doc(np.log10(p), bounds)
+
+
+def train(docs: DataFrame, words: DataFrame, tokens: int, kinds: int, max_arcs: int = 1 << 20) -> Automaton:
+    """docs: training texts; words (word, c): their counts; tokens, kinds: N and V."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    top = words.orderBy(F.desc("c"), "word").limit(CONTEXT_WORDS).toPandas()
+    ones, twos = words.agg(F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
+    discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+    hashes = top["word"].to_numpy().astype(np.int64).view(w.U)
+    order = np.argsort(hashes)
+    known, rank = hashes[order], order.astype(np.int64)
+    grams = docs.select("text").mapInArrow(_count_grams(spark.sparkContext.broadcast((known, rank))), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    grams = staged(grams)
+    state = F.shiftright("gram", _PLACE)
+    is_arc = F.col("gram").bitwiseAND(OTHER) != OTHER
+    # the least power of two as a cutoff under which the arcs fit
+    bins = sorted((r["bin"], r["arcs"]) for r in grams.where(is_arc).groupBy(F.floor(F.log2("n")).alias("bin")).agg(F.count("*").alias("arcs")).collect())
+    cutoff = 1
+    while sum(a for b, a in bins if b >= cutoff) > max_arcs:
+        cutoff += 1
+    arcs = grams.where(is_arc & (F.col("n") >= 1 << cutoff)).toPandas()
+    sizes = grams.groupBy(state.alias("state")).agg(F.sum("n").alias("n")).toPandas()  # at most CONTEXT_WORDS + 1 + (PAIR_WORDS + 1) ** 2
+    own = np.isin(sizes["state"].to_numpy(), arcs["gram"].to_numpy() >> _PLACE)
+    return Automaton(known, rank, sizes["state"].to_numpy()[own], sizes["n"].to_numpy()[own], arcs["gram"].to_numpy(), arcs["n"].to_numpy(), tokens, kinds, discount)
 
 
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,15 +203,16 @@ def _answer(shared, total: int, kinds: int, ends: int):
         # a word that is not there has count 0
         known, c = np.append(known, w.U(0xFFFFFFFFFFFFFFFF)), np.append(c, 0)
         parts = []
-        for a, b, data, offsets in w.texts(docs.column("text"), 2 * w.CHUNK):
+        for a, b, data, offsets in w.texts(docs.column("text")):
             t = w.Words(data, offsets, w.SPACED, lower=True)
             h = t.hashes()
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
             n = np.where(known[at] == h, c[at], 0)
-            tokens = t.counts + 1
+            tokens = (t.counts + 1).astype(np.int64)
             base = w.per_doc(np.log10(n + 1.0), t.first) + np.log10(ends + 1.0) - tokens * np.log10(total + kinds + 1.0)
             part = docs.slice(a, b - a)
-            parts.append(pa.table({"doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": tokens.astype(np.int64), "n_known": w.per_doc(n > 0, t.first) + (ends > 0), "train_tokens": np.full(b - a, total, dtype=np.int64), "base_score": base, "score": automaton.score(data, offsets)}))
+            cols = [part.column("doc_id"), part.column("held_out"), tokens, w.per_doc(n > 0, t.first) + (ends > 0), np.full(b - a, total, dtype=np.int64), base, automaton.score(t, h, n, ends)]
+            parts.append(pa.table(dict(zip(_SCORED, cols, strict=True))))
         return pa.concat_tables(parts) if parts else pa.table({k: pa.array([], v) for k, v in _SCORED.items()})
 
     return run
@@ -244,15 +227,15 @@ def score(docs: DataFrame, held_out_mod: int = 7, held_out_rest: int = 2) -> Dat
     small_batches(spark)
     out = F.coalesce(remainder(F.col("doc_id"), held_out_mod) == held_out_rest, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", out.alias("held_out"))
-    automaton = spark.sparkContext.broadcast(train(docs.where("not held_out")))
     sizes = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.when(~F.col("held_out"), 1)).alias("ends")).first()
     blocks = max(1, -(-(sizes["bytes"] or 0) // BLOCK_BYTES))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition("block")
     asked = dealt.sortWithinPartitions("block").mapInArrow(_ask, "block int, word bigint, own bigint")
     of_word = Window.partitionBy("word")
     counted = staged(asked.withColumn("c", F.sum("own").over(of_word)).withColumn("head", F.min("block").over(of_word) == F.col("block")).where("c > 0").select("block", "word", "c", "head"))
-    sums = counted.where("head").agg(F.sum("c").alias("tokens"), F.count("*").alias("kinds")).first()
+    words = counted.where("head").select("word", "c")
+    sums = words.agg(F.sum("c").alias("tokens"), F.count("*").alias("kinds")).first()
     total, kinds = (sums["tokens"] or 0) + sizes["ends"], sums["kinds"] + (sizes["ends"] > 0)
-    answer = _answer(automaton, total, kinds, sizes["ends"])
+    automaton = spark.sparkContext.broadcast(train(docs.where("not held_out"), words, total, kinds))
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return dealt.groupBy("block").cogroup(counted.select("block", "word", "c").groupBy("block")).applyInArrow(answer, schema)
+    return dealt.groupBy("block").cogroup(counted.select("block", "word", "c").groupBy("block")).applyInArrow(_answer(automaton, total, kinds, sizes["ends"]), schema)
