@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, language, lm, packing, quality, substrings
+from . import chat, decontaminate, jaccard, language, lm, packing, quality, substrings, tokencount
 from .hashing import remainder
 
 QUERIES: dict = {}
@@ -70,3 +70,23 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
+
+
+def sample_edits() -> Column:
+    """Three edits of every document, at places that follow from its id: a replacement, an insertion and a deletion."""
+
+    def at(key: str) -> Column:
+        return F.coalesce(F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(key)).cast("binary")), F.lit(0)) % (F.coalesce(F.length("text"), F.lit(0)) + 1)
+
+    def one(start: Column, length: int, text: str) -> Column:
+        return F.struct(start.cast("bigint").alias("start"), F.lit(length).cast("bigint").alias("length"), F.lit(text).alias("text"))
+
+    return F.array(one(at("a"), 7, " revised 2024 "), one(at("b"), 0, "'s \n"), one(at("c"), 3, ""))
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return tokencount.recount(docs, sample_edits(), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
