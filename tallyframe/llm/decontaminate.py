@@ -218,3 +218,20 @@ def digest(found: DataFrame, percent: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(h), pa.array(items, pa.int64()), pa.array(digests, pa.string()), pa.array(bad)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     return found.select("doc_id", "n_words", "starts", "lengths", "items").mapInArrow(run, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = 13, percent: int = 5) -> DataFrame:
+    """The rows of docs, with all their columns, that are not contaminated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = []
+            for n, s, m in zip(batch.column("n_words").to_pylist(), batch.column("starts"), batch.column("lengths"), strict=True):
+                hit = int(w.covered(n, s.values.to_numpy(), m.values.to_numpy()).sum()) if len(s) else 0
+                bad.append(hit > 0 and 100 * hit >= percent * n)
+            if bad:
+                yield batch.select(["row"]).filter(pa.array([not x for x in bad]))
+
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    found = occurrences(rows, benchmark, size).select("row", "n_words", "starts", "lengths")
+    return found.mapInArrow(run, T.StructType([f for f in rows.schema.fields if f.name == "row"])).select("row.*")

@@ -241,6 +241,23 @@ def _tokens(k: int):
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row; links: 100 * intersection >= percent * union."""
+    return grouped(docs, k, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, without those of a component that has an earlier id (or text hash).
+
+    Rows without words stay. Of rows equal in id and text one stays."""
+    found = grouped(docs, k, percent).where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "h")).alias("of"))
+    first = found.select("of.doc_id", "of.h").distinct().alias("f")
+    empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("h"), F.col("doc_id").cast("bigint").alias("id"), empty.alias("empty"))
+    kept = rows.where("not empty").join(first, F.col("id").eqNullSafe(F.col("f.doc_id")) & (rows["h"] == F.col("f.h")), "left_semi").dropDuplicates(["id", "h"])
+    return kept.unionByName(rows.where("empty")).select("row.*")
+
+
+def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, h (the text's hash), n_shingles, root (names the component) and component_id of every row."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
@@ -275,5 +292,5 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     named = nodes.join(roots, nodes["f"] == roots["node"], "left").select("f", "least", F.coalesce("root", "f").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = named.join(names, "root").select("f", "component_id")
-    return signed.join(linked, "f", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = named.join(names, "root").select("f", "root", "component_id")
+    return signed.join(linked, "f", "left").select("doc_id", "h", "root", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
