@@ -28,7 +28,8 @@ def bin_index(value: Column, kind: Continuous) -> Column:
     if kind.width <= 0:
         return F.lit(None).cast("int")
     raw = F.floor((value - F.lit(kind.low)) / F.lit(kind.width))
-    return F.greatest(F.lit(0), F.least(F.lit(kind.bins - 1), raw)).cast("int")
+    # greatest and least leave nulls out, so a null has to be kept apart
+    return F.when(value.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(kind.bins - 1), raw))).cast("int")
 
 
 def category_text(col: Column, kind: T.DataType) -> Column:
