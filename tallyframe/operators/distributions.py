@@ -306,3 +306,12 @@ def align(a: DataFrame, b: DataFrame) -> DataFrame:
     """label, count_a, count_b over the union of two category counts (label, cnt), 0 where one side lacks it."""
     left, right = (x.select("label", F.col("cnt").alias(f"count_{s}")) for x, s in ((a, "a"), (b, "b")))
     return left.join(right, "label", "full_outer").select("label", *(F.coalesce(f"count_{s}", F.lit(0).cast("bigint")).alias(f"count_{s}") for s in "ab")).orderBy("label")
+
+
+def changes(before: DataFrame, after: DataFrame, schema: Schema) -> DataFrame:
+    """Cells whose counts differ between two states: variable, dimensions, cell, cnt_before, cnt_after."""
+    keys = ["variable", *(dim(x) for x in schema.dims), "cell"]
+    old, new = (x.select(*(f"`{k}`" for k in keys), F.col("cnt").alias(n)) for x, n in ((before, "cnt_before"), (after, "cnt_after")))
+    zero = F.lit(0).cast("bigint")
+    both = old.join(new, keys, "full_outer").select(*(f"`{k}`" for k in keys), F.coalesce("cnt_before", zero).alias("cnt_before"), F.coalesce("cnt_after", zero).alias("cnt_after"))
+    return both.where("cnt_before <> cnt_after")

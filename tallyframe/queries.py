@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -493,3 +496,68 @@ def dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dimension_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, s = orders_cells(spark, sf_dir)
     return d.dimension_values(c, s, "time")
+
+
+_PART_SQL = "SELECT '{0}' AS name, 'continuous' AS kind, CAST(20 AS BIGINT) AS size, CAST(min({0}) AS DOUBLE) AS low, round(max({0}) + CASE WHEN max({0}) = min({0}) THEN 1.0 ELSE (CAST(max({0}) AS DOUBLE) - min({0})) * 0.001::DOUBLE END, 9) AS high FROM part"
+_PART_TEXT = "SELECT '{0}', CASE WHEN count(DISTINCT {0}) > 50 THEN 'dimension' ELSE 'categorical' END, CAST(CASE WHEN count(DISTINCT {0}) > 50 THEN 0 ELSE count(DISTINCT {0}) END AS BIGINT), NULL, NULL FROM part"
+
+
+@register(" UNION ALL ".join([*(_PART_SQL.format(c) for c in ("p_partkey", "p_size", "p_retailprice")), *(_PART_TEXT.format(c) for c in ("p_name", "p_brand", "p_type"))]))
+def infer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = ingest.infer_schema(table(spark, sf_dir, "part"), sample_size=1_000_000)
+    rows = [(v.name, type(v.kind).__name__.lower(), v.kind.size, *((v.kind.low, round(v.kind.high, 9)) if isinstance(v.kind, Continuous) else (None, None))) for v in s.variables]
+    return spark.createDataFrame(rows + [(x.name, "dimension", 0, None, None) for x in s.dimensions], "name string, kind string, size bigint, low double, high double")
+
+
+@register(f"SELECT 'o_orderstatus' AS variable, time AS dim_time, cell, cnt FROM ({sql_cells('orders', 'o_orderstatus', ORDER_STATUS, {'time': YEAR['orders']})}) s")
+def delta_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three ingests of rows beyond the mark of the one before."""
+    s = one("o_orderstatus", ORDER_STATUS, "o_orderdate", "yearly")
+    o = table(spark, sf_dir, "orders")
+    return ingest.added(*(ingest.cells(o.where(w), s) for w in ("o_orderkey <= 1000", "o_orderkey > 1000 and o_orderkey <= 5000", "o_orderkey > 5000")))
+
+
+@register(f"WITH b AS ({sql_cells('orders', 'o_orderstatus', ORDER_STATUS, {'time': YEAR['orders']}, 'o_totalprice < 250000')}), a AS ({sql_cells('orders', 'o_orderstatus', ORDER_STATUS, {'time': YEAR['orders']})}) SELECT 'o_orderstatus' AS variable, a.time AS dim_time, a.cell, CAST(coalesce(b.cnt, 0) AS BIGINT) AS cnt_before, a.cnt AS cnt_after FROM a LEFT JOIN b ON a.time = b.time AND a.cell = b.cell WHERE coalesce(b.cnt, 0) <> a.cnt")
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = one("o_orderstatus", ORDER_STATUS, "o_orderdate", "yearly")
+    o = table(spark, sf_dir, "orders")
+    return d.changes(ingest.cells(o.where("o_totalprice < 250000"), s), ingest.cells(o, s), s)
+
+
+def _database(spark: SparkSession, sf_dir: str):
+    from .database import Database
+
+    db = Database(spark).define_variable("event_type", EVENT).define_variable("value", VALUE).define_dimension("time", "ts", "daily")
+    db.ingest(table(spark, sf_dir, "events"))
+    return db
+
+
+@register("SELECT concat('time', chr(10), string_agg(k, chr(10) ORDER BY k), chr(10)) AS Output FROM (SELECT DISTINCT " + YEAR["events"] + " AS k FROM events) e")
+def export_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _database(spark, sf_dir).query("EXPORT DIMENSIONS time AS CSV")
+    return spark.createDataFrame(r.rows, "Output string")
+
+
+@register("SELECT concat('[', string_agg(concat('{\"time\":\"', k, '\"}'), ',' ORDER BY k), ']') AS Output FROM (SELECT DISTINCT " + YEAR["events"] + " AS k FROM events) e")
+def export_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _database(spark, sf_dir).query("EXPORT DIMENSIONS time AS JSON")
+    return spark.createDataFrame(r.rows, "Output string")
+
+
+@register(f"SELECT variable, time AS dim_time, cell, cnt FROM ({_union('events', {'event_type': EVENT, 'value': VALUE}, {'time': YEAR['events']})}) u")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of files, counted as they come."""
+    from .database import Database
+    from .streaming import ingest_stream
+
+    db = Database(spark).define_variable("event_type", EVENT).define_variable("value", VALUE).define_dimension("time", "ts", "daily")
+    stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyframe-stream-")
+    ingest_stream(stream, db, f"{folder}/stream-{uuid.uuid4().hex}").awaitTermination()
+    return db.cells
+
+
+@register(f"SELECT variable, source AS dim_source, cell, cnt FROM ({_union('documents', {'lang': Categorical(('de', 'en', 'es', 'fr')), 'n_chars': Continuous(20, (0.0, 20000.0))}, {'source': 'source'})}) u")
+def cells_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = Schema().define_variable("lang", Categorical(("de", "en", "es", "fr"))).define_variable("n_chars", Continuous(20, (0.0, 20000.0))).define_dimension("source")
+    return ingest.cells(table(spark, sf_dir, "documents"), s)

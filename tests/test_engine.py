@@ -199,3 +199,25 @@ def test_inner_group_structure(spark):
     assert len(got) == 25 and all(got[a, b] == got[b, a] and (a != b or x == 0) for (a, b), x in got.items())
     assert sum(x["fraction"] for x in d.explain(cells, s, {"topic": "t0"}, {"topic": "t4"}).collect()) == pytest.approx(1)
     assert d.pairwise_matrix(cells, s, "x", "topic").columns == ["value", "t0", "t1", "t2", "t3", "t4"]
+
+
+def test_server_and_tools(spark, notes, tmp_path):
+    from tallyframe.server import answer
+    from tallyframe.tools import Tools
+
+    db = Database(spark).define_variable("v", Categorical(("a", "b"))).define_dimension("t")
+    assert answer(db, "POST", "/ingest", b'[{"v": "a", "t": "x"}, 3, {"v": "b", "t": "y"}]') == (200, {"processed": 2, "skipped": 0})
+    assert answer(db, "POST", "/ingest", b"3")[0] == 400 and answer(db, "POST", "/ingest", b"{")[0] == 400 and answer(db, "GET", "/nothing")[0] == 404
+    assert answer(db, "GET", "/query?q=DIMENSIONS+t")[1]["rows"] == [["x"], ["y"]] and answer(db, "GET", "/query?q=WHAT")[0] == 400
+    assert answer(db, "GET", "/overview")[1]["stats"]["distributions"] == 2
+    tools = Tools(spark)
+    with pytest.raises(ValueError, match="open"):
+        tools.call("query", q="STATS")
+    tools.call("create_database", path=str(tmp_path / "db"))
+    assert json.loads(tools.call("ingest_file", path=notes))["processed"] == 6
+    assert "PAIRWISE" in tools.call("help") and len(tools.names()) == 8
+    assert {r["Name"] for r in json.loads(tools.call("schema"))} == {"sentiment_score", "political_leaning", "topic_label", "created_at"}
+    assert json.loads(tools.call("list_dimensions"))[0]["Dimension"] == "created_at"
+    tools.call("open_database", path=str(tmp_path / "db"))
+    with pytest.raises(ReadOnly):
+        tools.call("ingest_file", path=notes)
