@@ -5,7 +5,7 @@ leftmost place. Equal windows have equal anchors at equal distances, so a window
 has an anchor that is taken at two places. Pass 1 counts the places' anchors in a count-min sketch
 of two rows; each partition sends its non-empty cells, merging adds them up block by block, and
 only "two or more" is kept, as bits. A sketch overestimates, so no repeated window is lost. Pass 2
-sends the windows whose anchor may repeat (96 hash bits, one row for each distinct window of a
+sends the windows whose anchor may repeat (80 hash bits, one row for each distinct window of a
 chunk; windows that repeat within a chunk are marked there and then) to be grouped exactly. Marks
 go back to their documents by id and text hash.
 
@@ -116,58 +116,70 @@ def _may_repeat(bitmap: np.ndarray, anchors: np.ndarray, bits: int) -> np.ndarra
     return out
 
 
+#: Places in the packed half of a row: bits of a word's number, of the text hash, of the window's second hash.
+_POS, _TEXT, _MORE = 26, 20, 16
+_NOWHERE = (1 << _POS) - 1
+
+
 def _candidates(shared, size: int, bits: int):
-    """Rows (w1, w2, doc_id, h, pos, n). n > 0: windows from pos on that repeat inside the chunk. n = 0:
-    a window to be grouped, at pos, or (pos < 0) one that this chunk has marked."""
+    """Rows (w1, packed, doc_id); packed: mark bit, second hash, text hash, place.
+
+    Without the mark, a window (w1 and the second hash) to be grouped; at no place if this chunk has marked
+    it. With the mark, w1 windows from the place on that repeat inside the chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
         for batch in batches:
             for a, b, data, offsets in w.texts(batch.column("text")):
                 t = w.Words(data, offsets, w.SPACED, lower=False)
+                if t.counts.max(initial=0) >= _NOWHERE:
+                    raise ValueError(f"a text has {_NOWHERE} words or more")
                 hashes = t.hashes()
                 begin, anchor, values = _anchors(t, hashes, size)
                 begin = begin[_may_repeat(bitmap, values, bits)[anchor]] if len(begin) else begin
                 if not len(begin):
                     continue
                 w1 = w.ranges(w.prefix(hashes, w._Q), begin, begin + size, w._Q)
-                w2 = w.ranges(w.prefix(hashes, _Q2), begin, begin + size, _Q2) & w.U(0xFFFFFFFF)
-                key = w1 ^ w.mix(w2)
-                more, later = w.repeated(key)
+                w2 = (w.ranges(w.prefix(hashes, _Q2), begin, begin + size, _Q2) & w.U((1 << _MORE) - 1)).astype(np.int64)
+                more, later = w.repeated(w1 ^ w.mix(w2.astype(w.U)))
                 doc = np.searchsorted(t.first, begin, side="right") - 1
                 pos = begin - t.first[doc]
                 # runs of marked windows
                 m = np.flatnonzero(more)
                 head = np.ones(len(m), bool)
-                head[1:] = begin[m[1:]] != begin[m[:-1]] + 1
-                head[1:] |= doc[m[1:]] != doc[m[:-1]]
-                at = m[head]
+                head[1:] = (begin[m[1:]] != begin[m[:-1]] + 1) | (doc[m[1:]] != doc[m[:-1]])
+                run_at = m[head]
                 n = np.diff(np.append(np.flatnonzero(head), len(m)))
                 one = np.flatnonzero(~later)
-                rows = np.concatenate([at, one])
-                count = np.concatenate([n, np.zeros(len(one), np.int64)])
-                where = np.concatenate([pos[at], np.where(more[one], -1, pos[one])])
-                pick = pa.array(doc[rows] + a)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(w1[rows].view(np.int64)), pa.array(w2[rows].astype(np.uint32).view(np.int32)), batch.column("doc_id").take(pick), batch.column("h").take(pick), pa.array(where.astype(np.int32)), pa.array(count.astype(np.int32))],
-                    names=["w1", "w2", "doc_id", "h", "pos", "n"],
-                )
+                rows = np.concatenate([run_at, one])
+                first = np.concatenate([n, w1[one].view(np.int64)])
+                high = np.concatenate([np.full(len(n), 1 << _MORE), w2[one]])
+                where = np.concatenate([pos[run_at], np.where(more[one], _NOWHERE, pos[one])])
+                of = doc[rows] + a
+                text = batch.column("h").to_numpy().astype(np.int64)[of]
+                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array((high << _TEXT | text) << _POS | where), batch.column("doc_id").take(pa.array(of))], names=["w1", "packed", "doc_id"])
 
     return run
 
 
 def mark(docs: DataFrame, size: int = 35, max_bits: int = 26) -> DataFrame:
-    """docs (doc_id, text) with h and spans: where repeated windows begin (words) and how many follow each other; null: none."""
+    """docs (doc_id, text) with spans: where repeated windows begin (words; high 32 bits) and how many follow each other (low); null: none."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(0x7FFFFFFF).cast("int").alias("h"))
+    docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << _TEXT) - 1).cast("int").alias("h"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # an anchor for about every 75 bytes; eight cells for each
     bits = min(max_bits, max(BLOCK_BITS, math.ceil(math.log2(total / 75 * 8 + 1))))
     shared = spark.sparkContext.broadcast(sketch(docs, size, bits))  # 2 * 2**max_bits / 8 bytes at most
-    found = docs.mapInArrow(_candidates(shared, size, bits), "w1 bigint, w2 int, doc_id bigint, h int, pos int, n int")
-    grouped = found.withColumn("in_all", F.count("*").over(Window.partitionBy("w1", "w2")))
-    spans = grouped.where("n > 0 or (in_all > 1 and pos >= 0)").groupBy("doc_id", "h").agg(F.collect_list(F.struct("pos", F.greatest("n", F.lit(1)).alias("n"))).alias("spans"))
+    found = docs.mapInArrow(_candidates(shared, size, bits), "w1 bigint, packed bigint, doc_id bigint")
+    high = F.shiftright("packed", _POS + _TEXT)
+    grouped = found.withColumn("in_all", F.count("*").over(Window.partitionBy("w1", high)))
+    marked, place = high >= 1 << _MORE, F.col("packed").bitwiseAND(_NOWHERE)
+    grouped = grouped.where(marked | ((F.col("in_all") > 1) & (place != _NOWHERE)))
+    spans = grouped.select(
+        "doc_id", F.shiftright("packed", _POS).bitwiseAND((1 << _TEXT) - 1).cast("int").alias("h"),
+        F.shiftleft(place, 32).bitwiseOR(F.when(marked, F.col("w1")).otherwise(F.lit(1))).alias("span"),
+    ).groupBy("doc_id", "h").agg(F.collect_list("span").alias("spans"))
     left, right = docs.alias("l"), spans.alias("r")
     return left.join(right, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.h") == F.col("r.h")), "left").select("l.doc_id", "l.text", "r.spans")
 
@@ -182,8 +194,8 @@ def removed(marked: DataFrame, size: int = 35, with_text: bool = False) -> DataF
                 own = (text.as_py() or "").encode().split()
                 total.append(len(own))
                 if spans.is_valid:
-                    s = spans.values
-                    cover = w.covered(len(own), s.field("pos").to_numpy(), s.field("n").to_numpy().astype(np.int64) + size - 1)
+                    s = spans.values.to_numpy()
+                    cover = w.covered(len(own), s >> 32, (s & 0xFFFFFFFF) + size - 1)
                     gone.append(int(cover.sum()))
                     own = [own[i] for i in np.flatnonzero(~cover)]
                 else:
