@@ -1,7 +1,7 @@
 """N-gram Jaccard join (operator 2) on a token-group matrix.
 
 A document's set is its distinct word shingles, as 64-bit hashes. Documents with equal sets are one
-node. Similar documents are partitioned into groups (equal least shingle and size class), and each
+node. Similar documents are partitioned into groups (equal least shingle by hash, equal size class), and each
 group's union of prefix tokens is stored as rows (token, group): the sparse token-group matrix. Two
 sets that link share at least L tokens among the first n - ceil(t * n) + L of each in one fixed
 order, so groups whose stored unions share fewer cannot hold a link; that bound, and the sizes,
@@ -10,8 +10,8 @@ union of the other group's block, and only blocks that reach the needed overlap
 their members' overlaps with the query come from one inverted lookup. A block emits a spanning
 forest of its links, not all of them.
 
-The order puts tokens that many documents hold last (those in at least one of a thousand documents,
-counted over all documents; a table of at most 1000 * mean set size, so it may be broadcast) and is
+The order puts tokens that many documents hold last (those in at least one of four thousand documents,
+counted over all documents; a table of at most 4000 * mean set size, so it may be broadcast) and is
 by hash otherwise; any fixed order gives the same result. Groups of any size are handled in blocks of
 at most ``BLOCK_SETS`` sets or ``BLOCK_TOKENS`` tokens (or one larger set).
 
@@ -22,6 +22,7 @@ members are null; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,11 @@ from .components import components
 from .scratch import small_batches, staged
 
 BLOCK_SETS, BLOCK_TOKENS = 64, 1 << 16
-#: A token in one of so many documents is ordered last.
+#: Rows that go are broadcast up to this number, and shuffled with the documents beyond it.
+BROADCAST_ROWS = 200_000
+#: Sizes of a class are within this factor; a group's number has its class above its hash.
+CLASS, _HASH = 1.25, 56
+#: A token in one of so many documents (and in 64 at least) is ordered last.
 COMMON = 1000
 #: Tokens a partition counts at a time before it forgets the rarest.
 COUNTED = 1 << 20
@@ -110,7 +115,7 @@ def _level(n: int) -> int:
 
 
 def _signatures(shared, k: int, percent: int):
-    """doc_id, h, n, f (the set's fingerprint), family (least uncommon token), prefix (once for each set of a partition)."""
+    """doc_id, h, n, f (the set's fingerprint), family (least token by hash alone, so that near copies share it), prefix (once for each set of a partition)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = shared.value
@@ -132,7 +137,7 @@ def _signatures(shared, k: int, percent: int):
                     at[at == len(common)] = 0
                     often = np.where(common[at] == s, counts[at], 0) if len(common) else at
                     order = np.lexsort((m, often))
-                    family.append(int(m[order[0]].view(np.int64)))
+                    family.append(int(m.min().view(np.int64)))
                     if one in seen:
                         prefix.append(None)
                         continue
@@ -148,8 +153,21 @@ def _signatures(shared, k: int, percent: int):
     return run
 
 
-def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (token, g) sorted by both: one row (ga, gb) for every token that both hold."""
+def _apart(percent: int) -> int:
+    """By how many size classes two sets that link can be apart."""
+    return math.ceil(math.log(100 / percent) / math.log(CLASS) - 1e-9)
+
+
+def _shared_tokens(apart: int):
+    """From rows (token, g) sorted by both: one row (ga, gb) for every token that both hold, if their size classes allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _pairs_of_runs(batches, apart)
+
+    return run
+
+
+def _pairs_of_runs(batches: Iterator[pa.RecordBatch], apart: int) -> Iterator[pa.RecordBatch]:
     left_t, left_g = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def pairs(token: np.ndarray, g: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -162,7 +180,9 @@ def _shared_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 for c in range(0, len(runs), step):
                     b = runs[c : c + step, i + 1 :]
                     a = np.broadcast_to(runs[c : c + step, i : i + 1], b.shape)
-                    yield pa.RecordBatch.from_arrays([pa.array(a.ravel()), pa.array(b.ravel())], names=["ga", "gb"])
+                    near = (b >> _HASH) - (a >> _HASH) <= apart  # g is sorted, and so are the classes
+                    if near.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(a[near]), pa.array(b[near])], names=["ga", "gb"])
 
     for batch in batches:
         token = np.concatenate([left_t, batch.column("token").to_numpy()])
@@ -248,12 +268,19 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, without those of a component that has an earlier id (or text hash).
 
     Rows without words stay. Of rows equal in id and text one stays."""
-    found = grouped(docs, k, percent).where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "h")).alias("of"))
-    first = found.select("of.doc_id", "of.h").distinct().alias("f")
-    empty = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("h"), F.col("doc_id").cast("bigint").alias("id"), empty.alias("empty"))
-    kept = rows.where("not empty").join(first, F.col("id").eqNullSafe(F.col("f.doc_id")) & (rows["h"] == F.col("f.h")), "left_semi").dropDuplicates(["id", "h"])
-    return kept.unionByName(rows.where("empty")).select("row.*")
+    found = grouped(docs, k, percent).where("n_shingles > 0").groupBy("root", "doc_id", "h").agg(F.count("*").alias("copies"))
+    order = F.struct(F.isnull("doc_id"), "doc_id", "h")
+    firsts = found.groupBy("root").agg(F.min(order).alias("first"))
+    told = staged(found.join(firsts, "root").select("doc_id", "h", "copies", order.eqNullSafe(F.col("first")).alias("stays")))
+    go, several = told.where("not stays"), told.where("stays and copies > 1")
+    rows = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("h"), F.col("doc_id").cast("bigint").alias("id"))
+    out, again = go.unionByName(several).select("doc_id", F.col("h").alias("of")), several.select("doc_id", F.col("h").alias("of"))
+    if out.count() <= BROADCAST_ROWS:
+        out, again = F.broadcast(out), F.broadcast(again)
+    same = lambda x: F.col("id").eqNullSafe(x["doc_id"]) & (rows["h"] == x["of"])
+    # rows without words are in neither
+    once = rows.join(out, same(out), "left_anti")
+    return once.unionByName(rows.join(again, same(again), "left_semi").dropDuplicates(["id", "h"])).select("row.*")
 
 
 def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -263,17 +290,19 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     shared = spark.sparkContext.broadcast(_common(docs, k, COMMON))
     signed = staged(docs.mapInArrow(_signatures(shared, k, percent), "doc_id bigint, h bigint, n bigint, f bigint, family bigint, prefix array<bigint>"))
-    # sets of a group have sizes within a factor 2 of each other
-    signed = signed.withColumn("g", F.xxhash64("family", F.floor(F.log2("n"))))
+    size_class = F.floor(F.log("n") / math.log(CLASS))
+    signed = signed.withColumn("g", F.when(F.col("n") > 0, F.shiftleft(size_class, _HASH).bitwiseOR(F.shiftrightunsigned(F.xxhash64("family"), 64 - _HASH))))
     nodes = signed.where("n > 0").groupBy("f").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "h")).alias("of"), F.first("n").alias("n"), F.first("g").alias("g"))
     nodes = staged(nodes.select("f", F.col("of.doc_id").alias("least"), "of.h", "n", "g"))
-    level = (F.floor(F.col("n") / 20) + 1).cast("bigint")
-    groups = nodes.groupBy("g").agg(F.count("*").alias("sets"), F.min("n").alias("low"), F.max("n").alias("high"), F.min(level).alias("level"))
+    groups = nodes.groupBy("g").agg(F.count("*").alias("sets"), F.min("n").alias("low"), F.max("n").alias("high"))
     matrix = signed.where("prefix is not null").select(F.explode("prefix").alias("token"), "g").distinct()
-    shared_by = matrix.repartition("token").sortWithinPartitions("token", "g").mapInArrow(_shared_tokens, "ga bigint, gb bigint").groupBy("ga", "gb").agg(F.count("*").alias("tokens"))
+    shared_by = matrix.repartition("token").sortWithinPartitions("token", "g").mapInArrow(_shared_tokens(_apart(percent)), "ga bigint, gb bigint").groupBy("ga", "gb").agg(F.count("*").alias("tokens"))
+    # the least set of the smaller class says how many tokens the unions must share; ga has the smaller class
+    smallest = F.floor(F.pow(F.lit(CLASS), F.shiftright("ga", _HASH)) - 1e-6)
+    bounded = shared_by.where(F.col("tokens") >= F.floor(smallest / 20) + 1)
     ga, gb = (groups.select(*(F.col(c).alias(f"{c}_{s}") for c in groups.columns)) for s in "ab")
-    fits = (F.col("tokens") >= F.least("level_a", "level_b")) & (100 * F.col("high_a") >= percent * F.col("low_b")) & (100 * F.col("high_b") >= percent * F.col("low_a"))
-    pairs = shared_by.join(ga, F.col("ga") == F.col("g_a")).join(gb, F.col("gb") == F.col("g_b")).where(fits).select("ga", "gb")
+    fits = (100 * F.col("high_a") >= percent * F.col("low_b")) & (100 * F.col("high_b") >= percent * F.col("low_a"))
+    pairs = bounded.join(ga, F.col("ga") == F.col("g_a")).join(gb, F.col("gb") == F.col("g_b")).where(fits).select("ga", "gb")
     pairs = staged(pairs.unionByName(groups.where("sets > 1").select(F.col("g").alias("ga"), F.col("g").alias("gb"))))
 
     active = pairs.select(F.explode(F.array("ga", "gb")).alias("g")).distinct()
