@@ -40,7 +40,7 @@ BROADCAST_ROWS = 200_000
 #: Sizes of a class are within this factor; a group's number has its class above its hash.
 CLASS, _HASH = 1.25, 56
 #: A token in one of so many documents (and in 64 at least) is ordered last.
-COMMON = 1000
+COMMON = 4000
 #: Tokens a partition counts at a time before it forgets the rarest.
 COUNTED = 1 << 20
 
