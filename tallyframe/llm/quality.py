@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Model:
     sample = docs.sparkSession.createDataFrame(pd.concat(chosen), "doc_id bigint, good int, place double")
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most 2 * per_class rows
-        .dropDuplicates(["doc_id"]).select("good", "place", "text").mapInArrow(_features, "good int, place double, idx array<int>, val array<float>").toPandas()
+        .dropDuplicates(["doc_id"]).select("good", "place", "text").mapInArrow(_features, "good int, place double, idx array<int>, val array<float>").toArrow()
     )
     return _train(rows, total)
 
@@ -153,17 +153,18 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("good"), part.column("place"), pa.array(ids, pa.list_(pa.int32())), pa.array(vals, pa.list_(pa.float32()))], names=["good", "place", "idx", "val"])
 
 
-def _train(rows, total: dict[bool, int], epochs: int = 200, rate: float = 0.5, decay: float = 1e-6) -> Model:
+def _train(rows: pa.Table, total: dict[bool, int], epochs: int = 200, rate: float = 0.5, decay: float = 1e-6) -> Model:
     """Full-batch Adagrad on four fifths, Platt scaling on the rest, both weighted to the labels' true shares."""
-    rows = rows.sort_values("place", kind="stable").reset_index(drop=True)
+    rows = rows.sort_by("place")
     y = rows["good"].to_numpy().astype(float)
     held = (rows["place"].to_numpy() * (1 << 40)).astype(np.int64) % 5 == 0
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(y), bool)
-    counts = np.array([len(i) for i in rows["idx"]])
-    cols = np.concatenate(rows["idx"].to_list()).astype(np.int64)
-    vals = np.concatenate(rows["val"].to_list()).astype(float) * SCALE
-    of = np.repeat(np.arange(len(y)), counts)
+    lists = rows["idx"].combine_chunks()
+    of = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    cols = lists.flatten().to_numpy()
+    vals = rows["val"].combine_chunks().flatten().to_numpy() * np.float32(SCALE)
+    del lists, rows
     share = {c: max(1, int((y == c).sum())) for c in (0.0, 1.0)}
     weight = np.where(y > 0, total.get(True, 1) / share[1.0], total.get(False, 1) / share[0.0])
 
