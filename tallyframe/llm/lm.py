@@ -142,7 +142,7 @@ def train(docs: DataFrame, words: DataFrame, tokens: int, kinds: int, max_arcs:
     """docs: training texts; words (word, c): their counts; tokens, kinds: N and V."""
     spark = docs.sparkSession
     small_batches(spark)
-    top = words.orderBy(F.desc("c"), "word").limit(CONTEXT_WORDS).toPandas()
+    top = words.orderBy(F.desc("c"), "word").limit(CONTEXT_WORDS).toArrow().to_pandas()
     ones, twos = words.agg(F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
     discount = ones / (ones + 2 * twos) if ones and twos else 0.5
     hashes = top["word"].to_numpy().astype(np.int64).view(w.U)
@@ -157,8 +157,8 @@ def train(docs: DataFrame, words: DataFrame, tokens: int, kinds: int, max_arcs:
     cutoff = 1
     while sum(a for b, a in bins if b >= cutoff) > max_arcs:
         cutoff += 1
-    arcs = grams.where(is_arc & (F.col("n") >= 1 << cutoff)).toPandas()
-    sizes = grams.groupBy(state.alias("state")).agg(F.sum("n").alias("n")).toPandas()  # at most CONTEXT_WORDS + 1 + (PAIR_WORDS + 1) ** 2
+    arcs = grams.where(is_arc & (F.col("n") >= 1 << cutoff)).toArrow().to_pandas()
+    sizes = grams.groupBy(state.alias("state")).agg(F.sum("n").alias("n")).toArrow().to_pandas()  # at most CONTEXT_WORDS + 1 + (PAIR_WORDS + 1) ** 2
     own = np.isin(sizes["state"].to_numpy(), arcs["gram"].to_numpy() >> _PLACE)
     return Automaton(known, rank, sizes["state"].to_numpy()[own], sizes["n"].to_numpy()[own], arcs["gram"].to_numpy(), arcs["n"].to_numpy(), tokens, kinds, discount)
 
