@@ -192,7 +192,7 @@ def test_lines_against_brute_force(spark):
     assert out.columns == df.columns and out.count() == len(docs)
     # SimHashes as Spark has them; the links by brute force
     flat = sorted({normal(x) for _, t in docs for x in (t or "").split("\n") if len(normal(x).split(" ")) >= 5})
-    sims = {x["norm"]: x["sim"] for x in lines.with_simhash(spark.createDataFrame([(x, len(x.split(" "))) for x in flat], "norm string, n_words int")).collect()}
+    sims = {x["norm"]: x["sim"] for x in lines.with_simhash(spark.createDataFrame([(x, len(x.split(" "))) for x in flat], "norm string, n_words int"), ["norm"]).collect()}
     parent = {x: x for x in flat}
 
     def find(x):

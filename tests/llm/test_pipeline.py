@@ -19,7 +19,7 @@ def root_of(parent, x):
 
 def without_repeated_lines(spark, docs):
     flat = sorted({normal(x) for t in docs.values() for x in t.split("\n") if len(normal(x).split(" ")) >= 5})
-    sims = {x["norm"]: x["sim"] for x in lines.with_simhash(spark.createDataFrame([(x, len(x.split(" "))) for x in flat], "norm string, n_words int")).collect()}
+    sims = {x["norm"]: x["sim"] for x in lines.with_simhash(spark.createDataFrame([(x, len(x.split(" "))) for x in flat], "norm string, n_words int"), ["norm"]).collect()}
     parent = {x: x for x in flat}
     for i, a in enumerate(flat):
         for b in flat[:i]:
