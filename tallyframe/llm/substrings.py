@@ -7,14 +7,14 @@ of two rows; each partition sends its non-empty cells, merging adds them up bloc
 only "two or more" is kept, as bits. A sketch overestimates, so no repeated window is lost. Pass 2
 sends the windows whose anchor may repeat (80 hash bits, one row for each distinct window of a
 chunk; windows that repeat within a chunk are marked there and then) to be grouped exactly. Marks
-go back to their documents by id and text hash.
+go back to their documents by 84 bits of hashes of id and text.
 
 The bits take 2 * 2**max_bits / 8 bytes at most, whatever the input; a corpus that outgrows them is
 still treated exactly, but more windows pass the prefilter (raise ``max_bits``).
 
 Edge cases: null or empty text has no words and keeps an empty digest; rows that occur twice are
 repeats of each other; texts shorter than a window lose nothing; null ids are kept apart by their
-texts; other columns are not read.
+texts, however many there are; other columns are not read.
 """
 
 from __future__ import annotations
@@ -116,13 +116,13 @@ def _may_repeat(bitmap: np.ndarray, anchors: np.ndarray, bits: int) -> np.ndarra
     return out
 
 
-#: Places in the packed half of a row: bits of a word's number, of the text hash, of the window's second hash.
+#: Places in the packed half of a row: bits of a word's number, of the second hash of id and text, of the window's second hash.
 _POS, _TEXT, _MORE = 26, 20, 16
 _NOWHERE = (1 << _POS) - 1
 
 
 def _candidates(shared, size: int, bits: int):
-    """Rows (w1, packed, doc_id); packed: mark bit, second hash, text hash, place.
+    """Rows (w1, packed, key); key: hash of id and text; packed: mark bit, the window's second hash, that of id and text, place.
 
     Without the mark, a window (w1 and the second hash) to be grouped; at no place if this chunk has marked
     it. With the mark, w1 windows from the place on that repeat inside the chunk."""
@@ -157,7 +157,7 @@ def _candidates(shared, size: int, bits: int):
                 where = np.concatenate([pos[run_at], np.where(more[one], _NOWHERE, pos[one])])
                 of = doc[rows] + a
                 text = batch.column("h").to_numpy().astype(np.int64)[of]
-                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array((high << _TEXT | text) << _POS | where), batch.column("doc_id").take(pa.array(of))], names=["w1", "packed", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array((high << _TEXT | text) << _POS | where), batch.column("key").take(pa.array(of))], names=["w1", "packed", "key"])
 
     return run
 
@@ -166,22 +166,23 @@ def mark(docs: DataFrame, size: int = 35, max_bits: int = 26) -> DataFrame:
     """docs (doc_id, text) with spans: where repeated windows begin (words; high 32 bits) and how many follow each other (low); null: none."""
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << _TEXT) - 1).cast("int").alias("h"))
+    row = ("doc_id", F.coalesce("text", F.lit("")))
+    docs = docs.select("doc_id", "text", F.xxhash64(*row).alias("key"), F.hash(*row).bitwiseAND((1 << _TEXT) - 1).alias("h"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # an anchor for about every 75 bytes; eight cells for each
     bits = min(max_bits, max(BLOCK_BITS, math.ceil(math.log2(total / 75 * 8 + 1))))
     shared = spark.sparkContext.broadcast(sketch(docs, size, bits))  # 2 * 2**max_bits / 8 bytes at most
-    found = docs.mapInArrow(_candidates(shared, size, bits), "w1 bigint, packed bigint, doc_id bigint")
+    found = docs.mapInArrow(_candidates(shared, size, bits), "w1 bigint, packed bigint, key bigint")
     high = F.shiftright("packed", _POS + _TEXT)
     grouped = found.withColumn("in_all", F.count("*").over(Window.partitionBy("w1", high)))
     marked, place = high >= 1 << _MORE, F.col("packed").bitwiseAND(_NOWHERE)
     grouped = grouped.where(marked | ((F.col("in_all") > 1) & (place != _NOWHERE)))
     spans = grouped.select(
-        "doc_id", F.shiftright("packed", _POS).bitwiseAND((1 << _TEXT) - 1).cast("int").alias("h"),
+        "key", F.shiftright("packed", _POS).bitwiseAND((1 << _TEXT) - 1).cast("int").alias("h"),
         F.shiftleft(place, 32).bitwiseOR(F.when(marked, F.col("w1")).otherwise(F.lit(1))).alias("span"),
-    ).groupBy("doc_id", "h").agg(F.collect_list("span").alias("spans"))
+    ).groupBy("key", "h").agg(F.collect_list("span").alias("spans"))
     left, right = docs.alias("l"), spans.alias("r")
-    return left.join(right, F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.h") == F.col("r.h")), "left").select("l.doc_id", "l.text", "r.spans")
+    return left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.h") == F.col("r.h")), "left").select("l.doc_id", "l.text", "r.spans")
 
 
 def removed(marked: DataFrame, size: int = 35, with_text: bool = False) -> DataFrame:

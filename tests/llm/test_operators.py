@@ -285,6 +285,14 @@ def test_substrings(spark, size, bits):
     assert substrings.removed(substrings.mark(frame(spark, []))).count() == 0
 
 
+def test_substrings_of_many_null_ids(spark):
+    """Of thousands of texts without an id, only those with the passage lose it."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(None, f"{i} {passage}" if i % 2 else f"{i} alone") for i in range(12000)]
+    got = substrings.removed(substrings.mark(frame(spark, rows)), with_text=True)
+    assert {tuple(r) for r in got.select("n_removed", "kept").collect()} == {(40 * (i % 2), f"{i}" if i % 2 else f"{i} alone") for i in range(12000)}
+
+
 # ------------------------------------------------------------------ 6 quality
 
 
