@@ -9,11 +9,12 @@ each token's state follows from the token before it and is carried on, and the a
 probability is added up. At the empty context a word has (c - D) / N, and the unknown token the
 discounted D * V / N, so the probabilities of all tokens add up to 1 in every state.
 
-States have words among the ``CONTEXT_WORDS`` (pairs: ``PAIR_WORDS``) most frequent and their arcs
-lead to those, which with ``max_arcs`` (arcs under a count cutoff are left to the failure arc)
-bounds what is broadcast. Counts of words are not broadcast: documents are dealt into blocks, each
-block asks for its distinct words once, counts are summed by word over all documents, and only
-counts go back to the block. So a word, however common, is one row for each block.
+Every word, and every pair of words of the training documents, is a state, and every n-gram seen
+after it an arc, however rare: there is no ceiling and no cutoff. Nothing of it is broadcast.
+Documents are dealt into blocks; each block asks for its distinct words, pairs and triples once (by
+64-bit hashes), counts are summed over all documents, the kinds of tokens seen after a state (its
+failure weight is DISCOUNT * kinds / count) are counted from them, and only counts and kinds go back
+to the block. So an n-gram, however common, is one row for each block.
 
 Edge cases: a null or empty text is just the end token; a null id is a training document; with no
 training documents every token is unknown, with probability 1; rows that occur twice are learned and
@@ -33,21 +34,20 @@ from . import words as w
 from .hashing import remainder
 from .scratch import small_batches, staged
 
-CONTEXT_WORDS, PAIR_WORDS = 4096, 128
-#: Beside the ranks of frequent words, in the 13 bits of a gram's places: the text's begin, its end, any other token.
+#: Words that ``Automaton`` has in its states of two words. Scoring of tables has no such bound.
+PAIR_WORDS = 128
+#: Beside the ranks of words, in the 13 bits of a gram's places: the text's begin, its end, any other token.
 BEGIN, END, OTHER = 8189, 8190, 8191
 _PLACE = 13
 #: Absolute discount of n-grams in the states of one and two words.
 DISCOUNT = 0.75
 #: Bytes of text in a block that asks for counts.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: Distinct words, or n-grams, that a task holds before it sums them up.
 FLUSH = 1 << 20
-
-
-def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    u, inverse = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
-    return u, np.bincount(inverse, weights=np.concatenate([c for _, c in held])).astype(np.int64)
+#: Kinds of rows that a block asks for, and the hashes that stand for a text's end and begin.
+_WORD, _PAIR, _TRIPLE, _START = range(4)
+_END, _BEGIN = w.U(0x5851F42D4C957F2D), w.U(0x14057B7EF767814F)
 
 
 def _ranked(known: np.ndarray, rank: np.ndarray, t: w.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -77,37 +77,10 @@ def _states(before: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndar
     return one, np.where(pair, (second + 1) << _PLACE | before, -1)
 
 
-def _count_grams(shared):
-    """Counts of (state, token) over the training documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = shared.value
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            for _, _, data, offsets in w.texts(batch.column("text")):
-                t = w.Words(data, offsets, w.SPACED, lower=True)
-                token, before, second, _ = _ranked(known, rank, t, t.hashes())
-                for state in _states(before, second):
-                    on = state >= 0
-                    held.append(np.unique(state[on] << _PLACE | token[on], return_counts=True))
-            if sum(len(u) for u, _ in held) > FLUSH:
-                held = [_summed(held)]
-                if len(held[0][0]) > FLUSH:
-                    yield _sent(*held[0])
-                    held = []
-        if held:
-            yield _sent(*_summed(held))
-
-    return run
-
-
-def _sent(grams: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(grams.astype(np.int64)), pa.array(counts)], names=["gram", "n"])
-
-
 class Automaton:
-    """States (sorted) with the weight of their failure arc; arcs (sorted, state and token) with their probability.
+    """The model over a small vocabulary as one table, to compare with.
 
+    States (sorted) with the weight of their failure arc; arcs (sorted, state and token) with their probability.
     known, rank: hashes of the frequent words, sorted, and their ranks."""
 
     def __init__(self, known, rank, states, sizes, arcs, counts, tokens: int, kinds: int, discount: float):
@@ -138,39 +111,58 @@ class Automaton:
         return w.per_doc(np.log10(p), bounds)
 
 
-def train(docs: DataFrame, words: DataFrame, tokens: int, kinds: int, max_arcs: int = 1 << 20) -> Automaton:
-    """docs: training texts; words (word, c): their counts; tokens, kinds: N and V."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    top = words.orderBy(F.desc("c"), "word").limit(CONTEXT_WORDS).toArrow().to_pandas()
-    ones, twos = words.agg(F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
-    discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-    hashes = top["word"].to_numpy().astype(np.int64).view(w.U)
-    order = np.argsort(hashes)
-    known, rank = hashes[order], order.astype(np.int64)
-    grams = docs.select("text").mapInArrow(_count_grams(spark.sparkContext.broadcast((known, rank))), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    grams = staged(grams)
-    state = F.shiftright("gram", _PLACE)
-    is_arc = F.col("gram").bitwiseAND(OTHER) != OTHER
-    # the least power of two as a cutoff under which the arcs fit
-    bins = sorted((r["bin"], r["arcs"]) for r in grams.where(is_arc).groupBy(F.floor(F.log2("n")).alias("bin")).agg(F.count("*").alias("arcs")).collect())
-    cutoff = 1
-    while sum(a for b, a in bins if b >= cutoff) > max_arcs:
-        cutoff += 1
-    arcs = grams.where(is_arc & (F.col("n") >= 1 << cutoff)).toArrow().to_pandas()
-    sizes = grams.groupBy(state.alias("state")).agg(F.sum("n").alias("n")).toArrow().to_pandas()  # at most CONTEXT_WORDS + 1 + (PAIR_WORDS + 1) ** 2
-    own = np.isin(sizes["state"].to_numpy(), arcs["gram"].to_numpy() >> _PLACE)
-    return Automaton(known, rank, sizes["state"].to_numpy()[own], sizes["n"].to_numpy()[own], arcs["gram"].to_numpy(), arcs["n"].to_numpy(), tokens, kinds, discount)
+def _keys(t: w.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all tokens, ends included: the token's key, that of the pair and of the triple it ends; each text's bounds.
+
+    A text's first token ends a pair with the begin and no triple; its key there is without meaning."""
+    bounds = t.first + np.arange(len(t.first))
+    token = np.insert(hashes, t.first[1:], _END)
+    before = np.empty_like(token)
+    before[1:] = token[:-1]
+    before[bounds[:-1]] = _BEGIN
+    pair = w.mix(w.mix(before) * w.U(w._Q) + token)
+    state = np.zeros_like(pair)
+    state[1:] = pair[:-1]
+    return token, pair, w.mix(w.mix(state) * w.U(w._R) + token), bounds
+
+
+def _asked(t: w.Words, hashes: np.ndarray, learn: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of words, pairs, triples and the begin: the kind, distinct keys, their states' keys, training counts. learn: of each text."""
+    token, pair, triple, bounds = _keys(t, hashes)
+    start = np.zeros(len(token), bool)
+    start[bounds[:-1]] = True
+    state = np.empty_like(token)
+    state[1:] = token[:-1]
+    state[start] = _BEGIN
+    longer = np.empty_like(pair)
+    longer[1:] = pair[:-1]
+    learned = np.repeat(learn, np.diff(bounds))
+    word = np.ones(len(token), bool)
+    word[bounds[1:] - 1] = False
+    yield _WORD, *_distinct(token[word], np.zeros(word.sum(), w.U), learned[word])
+    yield _PAIR, *_distinct(pair, state, learned)
+    yield _TRIPLE, *_distinct(triple[~start], longer[~start], learned[~start])
+    yield _START, np.array([_BEGIN], w.U), np.zeros(1, w.U), np.array([learn.sum()], np.int64)
+
+
+def _distinct(keys: np.ndarray, states: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    u, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    return u, states[at], np.bincount(inverse, weights=counts, minlength=len(u)).astype(np.int64)
 
 
 def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by block: of each block its distinct words (hash) and their training counts."""
+    """From rows sorted by block: of each block its distinct n-grams (hash), their states and their training counts."""
     block: int | None = None
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+
+    def summed(kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return _distinct(*(np.concatenate(x) for x in zip(*held[kind], strict=True)))
 
-    def send() -> pa.RecordBatch:
-        u, c = _summed(held)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), block, dtype=np.int32)), pa.array(u.view(np.int64)), pa.array(c)], names=["block", "word", "own"])
+    def send() -> Iterator[pa.RecordBatch]:
+        for kind in held:
+            u, state, c = summed(kind)
+            cols = [pa.array(np.full(len(u), block, dtype=np.int32)), pa.array(np.full(len(u), kind, dtype=np.int8)), pa.array(u.view(np.int64)), pa.array(state.view(np.int64)), pa.array(c)]
+            yield pa.RecordBatch.from_arrays(cols, names=["block", "kind", "key", "state", "own"])
 
     for batch in batches:
         own_blocks = batch.column("block").to_numpy()
@@ -178,40 +170,56 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             part = batch.slice(lo, hi - lo)
             if own_blocks[lo] != block:
-                if held:
-                    yield send()
-                block, held = int(own_blocks[lo]), []
+                yield from send()
+                block, held = int(own_blocks[lo]), {}
             learn = ~part.column("held_out").to_numpy(zero_copy_only=False)
             for a, b, data, offsets in w.texts(part.column("text")):
                 t = w.Words(data, offsets, w.SPACED, lower=True)
-                u, inverse = np.unique(t.hashes(), return_inverse=True)
-                held.append((u, np.bincount(inverse, weights=np.repeat(learn[a:b], t.counts), minlength=len(u)).astype(np.int64)))
-            if sum(len(u) for u, _ in held) > FLUSH:
-                held = [_summed(held)]
-    if held:
-        yield send()
+                for kind, *found in _asked(t, t.hashes(), learn[a:b]):
+                    held.setdefault(kind, []).append(tuple(found))
+                    if sum(len(u) for u, _, _ in held[kind]) > FLUSH:
+                        held[kind] = [summed(kind)]
+    yield from send()
 
 
-def _answer(shared, total: int, kinds: int, ends: int):
+def _answer(total: int, kinds: int, ends: int, discount: float):
     """Scores a block's documents with the counts that came back for it."""
 
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        automaton = shared.value
-        known = counts.column("word").to_numpy().view(w.U)
+        known = counts.column("key").to_numpy().view(w.U)
         order = np.argsort(known)
-        known, c = known[order], counts.column("c").to_numpy()[order]
-        # a word that is not there has count 0
-        known, c = np.append(known, w.U(0xFFFFFFFFFFFFFFFF)), np.append(c, 0)
+        # at the end, an n-gram that is not there
+        c, followers = (np.append(counts.column(x).to_numpy()[order], 0) for x in ("c", "followers"))
+        known = known[order]
+
+        def find(keys: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(known, keys)
+            hit = at < len(known)
+            hit[hit] = known[at[hit]] == keys[hit]
+            return np.where(hit, at, len(known))
+
+        begin = find(np.array([_BEGIN], w.U))[0]
         parts = []
         for a, b, data, offsets in w.texts(docs.column("text")):
             t = w.Words(data, offsets, w.SPACED, lower=True)
-            h = t.hashes()
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            n = np.where(known[at] == h, c[at], 0)
-            tokens = (t.counts + 1).astype(np.int64)
-            base = w.per_doc(np.log10(n + 1.0), t.first) + np.log10(ends + 1.0) - tokens * np.log10(total + kinds + 1.0)
+            token, pair, triple, bounds = _keys(t, t.hashes())
+            start, stop = bounds[:-1], bounds[1:] - 1
+            one, two, three = find(token), find(pair), find(triple)
+            three[start] = len(known)
+            n = c[one]
+            n[stop] = ends
+            tokens = np.diff(bounds)
+            p = np.where(n > 0, (n - discount) / max(total, 1), discount * kinds / total if total else 1.0)
+            for states, arcs, first in ((one, two, begin), (two, three, len(known))):  # from the shorter state to the longer
+                state = np.empty_like(states)
+                state[1:] = states[:-1]
+                state[start] = first
+                on = c[state] > 0
+                at = state[on]
+                p[on] = (p[on] * DISCOUNT * followers[at] + np.maximum(c[arcs[on]] - DISCOUNT, 0)) / c[at]
+            base = w.per_doc(np.log10(n + 1.0), bounds) - tokens * np.log10(total + kinds + 1.0)
             part = docs.slice(a, b - a)
-            cols = [part.column("doc_id"), part.column("held_out"), tokens, w.per_doc(n > 0, t.first) + (ends > 0), np.full(b - a, total, dtype=np.int64), base, automaton.score(t, h, n, ends)]
+            cols = [part.column("doc_id"), part.column("held_out"), tokens, w.per_doc(n > 0, bounds), np.full(b - a, total, dtype=np.int64), base, w.per_doc(np.log10(p), bounds)]
             parts.append(pa.table(dict(zip(_SCORED, cols, strict=True))))
         return pa.concat_tables(parts) if parts else pa.table({k: pa.array([], v) for k, v in _SCORED.items()})
 
@@ -230,12 +238,17 @@ def score(docs: DataFrame, held_out_mod: int = 7, held_out_rest: int = 2) -> Dat
     sizes = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.when(~F.col("held_out"), 1)).alias("ends")).first()
     blocks = max(1, -(-(sizes["bytes"] or 0) // BLOCK_BYTES))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition("block")
-    asked = dealt.sortWithinPartitions("block").mapInArrow(_ask, "block int, word bigint, own bigint")
-    of_word = Window.partitionBy("word")
-    counted = staged(asked.withColumn("c", F.sum("own").over(of_word)).withColumn("head", F.min("block").over(of_word) == F.col("block")).where("c > 0").select("block", "word", "c", "head"))
-    words = counted.where("head").select("word", "c")
-    sums = words.agg(F.sum("c").alias("tokens"), F.count("*").alias("kinds")).first()
+    asked = dealt.sortWithinPartitions("block").mapInArrow(_ask, "block int, kind tinyint, key bigint, state bigint, own bigint")
+    of_key = Window.partitionBy("key")
+    counted = asked.withColumn("c", F.sum("own").over(of_key)).where("c > 0").withColumn("head", F.min("block").over(of_key) == F.col("block"))
+    # the state is needed of one row for each n-gram
+    counted = staged(counted.select("block", "kind", "key", "c", "head", F.when(F.col("head"), F.col("state")).alias("state")))
+    words = counted.where(F.col("head") & (F.col("kind") == _WORD))
+    sums = words.agg(F.sum("c").alias("tokens"), F.count("*").alias("kinds"), F.count(F.when(F.col("c") == 1, 1)).alias("ones"), F.count(F.when(F.col("c") == 2, 1)).alias("twos")).first()
     total, kinds = (sums["tokens"] or 0) + sizes["ends"], sums["kinds"] + (sizes["ends"] > 0)
-    automaton = spark.sparkContext.broadcast(train(docs.where("not held_out"), words, total, kinds))
+    discount = sums["ones"] / (sums["ones"] + 2 * sums["twos"]) if sums["ones"] and sums["twos"] else 0.5
+    followers = counted.where(F.col("head") & F.col("kind").isin(_PAIR, _TRIPLE)).groupBy(F.col("state").alias("key")).agg(F.count("*").alias("followers"))
+    states = counted.where(F.col("kind") != _TRIPLE).join(followers, "key", "left").select("block", "key", "c", F.coalesce("followers", F.lit(0)).alias("followers"))
+    answers = states.unionAll(counted.where(F.col("kind") == _TRIPLE).select("block", "key", "c", F.lit(0).cast("bigint")))
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return dealt.groupBy("block").cogroup(counted.select("block", "word", "c").groupBy("block")).applyInArrow(_answer(automaton, total, kinds, sizes["ends"]), schema)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_answer(total, kinds, sizes["ends"], discount), schema)

@@ -352,6 +352,38 @@ def test_lm(spark):
     assert all(r["score"] == 0 and r["train_tokens"] == 0 for r in alone)
 
 
+def test_lm_counts_every_ngram(spark):
+    """Scores of a backoff model of all words, pairs and triples, seen once or more, over more words than any table of frequent ones."""
+    r = random.Random(4)
+    rows = [(i, " ".join(f"w{r.choice([r.randrange(20), r.randrange(9000)])}" for _ in range(r.randint(0, 200)))) for i in range(200)] + [(200, None), (None, "w1 w2 once"), (201, "w1 w2 once")]
+    held = [doc is not None and zlib.crc32(str(doc).encode()) % 7 == 2 for doc, _ in rows]
+    tokens = [["<", *(t or "").split(), ">"] for _, t in rows]
+    after = collections.defaultdict(collections.Counter)
+    for own, h in zip(tokens, held, strict=True):
+        for i in range(1, len(own) * (not h)):
+            for k in range(3):
+                if i >= k:
+                    after[tuple(own[i - k : i])][own[i]] += 1
+    n, v = sum(after[()].values()), len(after[()])
+    ones, twos = (sum(c == k for x, c in after[()].items() if x != ">") for k in (1, 2))
+    d = ones / (ones + 2 * twos)
+
+    def log10(own):
+        out = 0
+        for i in range(1, len(own)):
+            p = (after[()][own[i]] - d) / n if own[i] in after[()] else d * v / n
+            for k in (1, 2):
+                state = tuple(own[i - k : i])
+                if i >= k and state in after:
+                    size = sum(after[state].values())
+                    p = (p * 0.75 * len(after[state]) + max(after[state][own[i]] - 0.75, 0)) / size
+            out += math.log10(p)
+        return out
+
+    want = sorted((str(doc), round(log10(own), 6)) for (doc, _), own in zip(rows, tokens, strict=True))
+    assert v > 5000 and sorted((str(x["doc_id"]), round(x["score"], 6)) for x in lm.score(frame(spark, rows)).collect()) == want
+
+
 def test_lm_probabilities_add_up():
     """In every state, over all known tokens, the end and the unknown one."""
     from tallyframe.llm import words as w
