@@ -231,6 +231,21 @@ def test_lines_empty(spark):
     assert {r["doc_id"]: r["text"] for r in one} == {1: None, None: "a b c d e f", 2: ""}
 
 
+def test_a_line_beyond_the_lanes_has_its_simhash(spark):
+    r = random.Random(3)
+    words = [f"w{chr(97 + i)}" for i in range(20)]
+    own = [r.choice(words) for _ in range(lines.MOST_WORDS + 9000)]
+    docs = frame(spark, [(1, " ".join(own)), (2, " ".join(own[:50]))]).withColumn("h", F.xxhash64("text"))
+    hashes = {x["w"]: x["h"] for x in spark.createDataFrame([(x,) for x in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+
+    def majority(own):
+        count = collections.Counter(own)
+        return sum((2 * sum(n for x, n in count.items() if hashes[x] >> b & 1) > len(own)) << b for b in range(64))
+
+    got = {x["doc_id"]: x["sim"] for x in lines.keyed_lines(docs, 5).collect()}
+    assert got[1] is not None and {k: v & (2**64 - 1) for k, v in got.items()} == {1: majority(own), 2: majority(own[:50])}
+
+
 # ------------------------------------------------------------------ 4 decontamination
 
 
