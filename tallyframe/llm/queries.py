@@ -94,4 +94,4 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short_lines=True)

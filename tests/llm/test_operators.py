@@ -231,6 +231,13 @@ def test_lines_empty(spark):
     assert {r["doc_id"]: r["text"] for r in one} == {1: None, None: "a b c d e f", 2: ""}
 
 
+def test_repeated_short_lines_go_in_the_query(spark, tmp_path):
+    """Equal lines of few words, or of a script without blanks; unequal ones of few words stay, and empty ones."""
+    frame(spark, [(1, "All rights reserved\n\n天地玄黄宇宙洪荒\nall rights deserved"), (2, "all rights reserved!\n\n天地玄黄宇宙洪荒\nown"), (None, "天地玄黄宇宙洪荒")]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x["text"] for x in queries.QUERIES["op3_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {None: "天地玄黄宇宙洪荒", 1: "All rights reserved\n\nall rights deserved", 2: "\nown"}
+
+
 def test_a_line_beyond_the_lanes_has_its_simhash(spark):
     r = random.Random(3)
     words = [f"w{chr(97 + i)}" for i in range(20)]
