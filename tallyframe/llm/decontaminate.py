@@ -64,7 +64,7 @@ def _window_shingles(words: np.ndarray) -> np.ndarray:
     k = min(SHINGLE, len(words))
     u = words.view(w.U)
     at = np.arange(len(u) - k + 1)
-    return w.ranges(w.prefix(u, w._Q), at, at + k, w._Q)
+    return w.ranges(u, at, at + k, w._Q)
 
 
 def _blocks(windows: DataFrame, block: int) -> Iterator[list]:

@@ -52,11 +52,10 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, list[np.ndarray]
         hashes = t.hashes()
         begin, shingles = t.windows(hashes, k)
         cut = np.searchsorted(begin, t.first)
-        sums = w.prefix(hashes, w._Q)
         out = []
         for i, n in enumerate(t.counts.tolist()):
             if 0 < n < k:
-                out.append(w.ranges(sums, t.first[i : i + 1], t.first[i + 1 : i + 2], w._Q))
+                out.append(w.ranges(hashes[t.first[i] : t.first[i + 1]], np.array([0]), np.array([n]), w._Q))
             else:
                 out.append(np.unique(shingles[cut[i] : cut[i + 1]]))
         yield a, out

@@ -62,7 +62,7 @@ def measures(t: w.Words, hashes: np.ndarray) -> dict[str, np.ndarray]:
     has_word = np.searchsorted(t.starts, stops) > np.searchsorted(t.starts, starts)
     starts, stops = starts[has_word], stops[has_word]
     of = np.searchsorted(t.offsets, starts, side="right") - 1
-    keys = w.mix(w.ranges(t.sums, starts, stops, w._R) ^ w.mix(of.astype(w.U) + w.U(1)))
+    keys = w.mix(t.spans(starts, stops) ^ w.mix(of.astype(w.U) + w.U(1)))
     dup = np.bincount(of[w.repeated(keys)[1]], minlength=n)
     begin, hashed = t.windows(hashes, 5)
     doc = np.searchsorted(t.first, begin, side="right") - 1

@@ -5,38 +5,69 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+#: Folders written, with their session and the names of the scopes that they were written in.
+_written: dict[str, tuple[SparkSession, tuple[str, ...]]] = {}
+_scopes: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; only where none is set (tests on one machine), a new temporary folder."""
+    """The session's spark.checkpoint.dir. Only where none is set and all runs on one machine (tests), a new temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can read")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyframe-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def staged(df: DataFrame, rows_per_file: int | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: lineage is cut, and a lost
-    executor costs its own tasks only. Columns stay prunable. Removed when the process ends."""
+    executor costs its own tasks only. Columns stay prunable. Removed when the process ends, or by ``release``.
+
+    Shuffle files of what was written are of no more use; the driver's collector lets go of them."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyframe-stage-{uuid.uuid4().hex}"
-    writer = df.write
+    writer = df.write.option("compression", "zstd")
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
+    _written[path] = (spark, tuple(_scopes))
     writer.parquet(path)
-    _written.append((spark, path))
+    del writer
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Marks what is written inside, for ``release``."""
+    _scopes.append(name)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+
+
+def release(name: str, keep: DataFrame | None = None) -> None:
+    """Remove what was written in the scope of that name and ``keep`` does not read."""
+    used = keep.inputFiles() if keep is not None else []
+    for path, (spark, scopes) in list(_written.items()):
+        if name in scopes and not any(path.rpartition("/")[2] in f for f in used):
+            _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
+    del _written[path]
+    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+        return
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(conf).delete(where, True)
@@ -44,16 +75,18 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _tidy() -> None:
-    for spark, path in _written:
-        if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
-            continue
+    for path, (spark, _) in list(_written.items()):
         _remove(spark, path)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Whole texts can be long: bound the Arrow batches handed to Python by bytes, not only by rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+    """Whole texts can be long: bound the Arrow batches handed to Python by bytes, not only by rows.
+
+    Sets two settings of the session, which only say how rows are handed over; never above what the session has."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20), ("spark.sql.execution.arrow.maxRecordsPerBatch", 4000)):
+        now = spark.conf.get(key, None)
+        if not (now and now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def int_conf(spark: SparkSession, key: str, default: int) -> int:

@@ -50,7 +50,7 @@ def _anchors(t: w.Words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.
     bits = w.U(max(24, n.bit_length()))
     g = np.full(n, np.iinfo(np.uint64).max, dtype=w.U)
     at = np.arange(n - GRAM + 1)
-    g[: len(at)] = w.ranges(w.prefix(hashes, w._Q), at, at + GRAM, w._Q)
+    g[: len(at)] = w.ranges(hashes, at, at + GRAM, w._Q)
     least = (g >> bits << bits) | np.arange(n, dtype=w.U)
     have = 1
     while have < span:
@@ -139,8 +139,8 @@ def _candidates(shared, size: int, bits: int):
                 begin = begin[_may_repeat(bitmap, values, bits)[anchor]] if len(begin) else begin
                 if not len(begin):
                     continue
-                w1 = w.ranges(w.prefix(hashes, w._Q), begin, begin + size, w._Q)
-                w2 = (w.ranges(w.prefix(hashes, _Q2), begin, begin + size, _Q2) & w.U((1 << _MORE) - 1)).astype(np.int64)
+                w1 = w.ranges(hashes, begin, begin + size, w._Q)
+                w2 = (w.ranges(hashes, begin, begin + size, _Q2) & w.U((1 << _MORE) - 1)).astype(np.int64)
                 more, later = w.repeated(w1 ^ w.mix(w2.astype(w.U)))
                 doc = np.searchsorted(t.first, begin, side="right") - 1
                 pos = begin - t.first[doc]

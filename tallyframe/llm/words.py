@@ -2,18 +2,22 @@
 
 Separators of all word rules used here are ASCII, so splitting bytes equals splitting code points.
 Hashes are 64-bit polynomials over bytes (words) or word hashes (windows), taken from prefix sums
-modulo 2**64 and then mixed.
+modulo 2**64 and then mixed. Prefix sums are made a piece at a time and kept only where a range begins
+or ends, so a text takes memory for its words, not for eight numbers a byte.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at a time: the numpy arrays of a step take some 60 times as much.
-CHUNK = 1 << 21
+#: Bytes of text handled at a time (one longer text is handled whole: it takes some 20 times its size).
+CHUNK = 1 << 19
+#: Values of a prefix sum that are made at a time.
+PIECE = 1 << 16
 
 U = np.uint64
 _R, _Q = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
@@ -38,31 +42,38 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length()) if n > 1 else 1 << 16
+    if base not in _powers or len(_powers[base][0]) < n:
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, dtype=U)
+            p = np.full(n, b, dtype=U)
             p[0] = 1
             both.append(np.multiply.accumulate(p))
-        have = _powers[base] = (both[0], both[1])
-    return have[0][:n], have[1][:n]
+        _powers[base] = (both[0], both[1])
+    return _powers[base][0][:n], _powers[base][1][:n]
 
 
-def prefix(values: np.ndarray, base: int) -> np.ndarray:
-    """Prefix sums of values[i] * base**i, with a leading zero."""
-    out = np.zeros(len(values) + 1, dtype=U)
-    np.cumsum(values.astype(U) * powers(base, len(values))[0], out=out[1:])
-    return out
-
-
-def ranges(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Hashes of the ranges, the same for equal contents wherever they start."""
+def ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """Hashes of the ranges of values, the same for equal contents wherever they start. starts and ends rise."""
     if not len(starts):
         return np.zeros(0, dtype=U)
-    inverse = powers(base, int(starts.max()) + 1)[1]
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + mix((ends - starts).astype(U)))
+    up, down = powers(base, PIECE)
+    inverse, total = pow(base, -1, 1 << 64), np.zeros(1, U)
+    at_start, at_end, back = np.empty(len(starts), U), np.empty(len(starts), U), np.empty(len(starts), U)
+    sums = np.zeros(min(PIECE, len(values)) + 1, dtype=U)
+    s = e = 0
+    for a in range(0, len(values) + 1, PIECE):
+        own = values[a : a + PIECE]
+        part = sums[: len(own) + 1]
+        np.cumsum(own.astype(U) * up[: len(own)], out=part[1:])
+        part[1:] *= U(pow(base, a, 1 << 64))
+        s_to, e_to = np.searchsorted(starts, a + PIECE), np.searchsorted(ends, a + PIECE)
+        here = starts[s:s_to] - a
+        at_start[s:s_to] = part[here] + total
+        back[s:s_to] = down[here] * U(pow(inverse, a, 1 << 64))
+        at_end[e:e_to] = part[ends[e:e_to] - a] + total
+        total += part[-1:]
+        s, e = s_to, e_to
+    return mix((at_end - at_start) * back + mix((ends - starts).astype(U)))
 
 
 class Words:
@@ -86,8 +97,11 @@ class Words:
         self.counts = np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        self.sums = prefix(self.data.astype(U) + U(1), _R)
-        return ranges(self.sums, self.starts, self.ends, _R)
+        return self.spans(self.starts, self.ends)
+
+    def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of runs of bytes."""
+        return ranges(self.data, starts, ends, _R)
 
     def doc(self) -> np.ndarray:
         """Of each word, the number of its text."""
@@ -97,7 +111,7 @@ class Words:
         """First words and hashes of all windows of k words inside one text."""
         room = np.maximum(self.counts - k + 1, 0)
         begin = np.repeat(self.first[:-1] - (np.cumsum(room) - room), room) + np.arange(room.sum())
-        return begin, ranges(prefix(hashes, base), begin, begin + k, base)
+        return begin, ranges(hashes, begin, begin + k, base)
 
 
 def texts(column: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -120,6 +134,27 @@ def texts(column: pa.Array, chunk: int = CHUNK) -> Iterator[tuple[int, int, np.n
         b = min(b, n)
         yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         a = b
+    give_back()
+
+
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library: it keeps its own ways
+        return None
+
+
+_c = _libc()
+if _c is not None:
+    # glibc raises this limit to 32 MB by itself, and then keeps what arrays up to that size had
+    _c.mallopt(-3, 2 << 20)
+
+
+def give_back() -> None:
+    """Workers live on from task to task: what this batch took goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _c is not None:
+        _c.malloc_trim(0)
 
 
 def per_doc(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
