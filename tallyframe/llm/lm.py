@@ -1,24 +1,26 @@
 """Language-model scoring (operator 7).
 
 Tokens are the words of a text, A-Z lower-cased, and then one end; any word that training has not
-seen is one and the same unknown token. The model is a weighted backoff automaton: its states are
-the empty context, single words and pairs of words met in the training documents; arcs carry
-discounted n-gram probabilities, and what a state has no arc for takes its failure arc, at the
-weight of the mass left over, to the next shorter context. A text is one left-to-right traversal:
-each token's state follows from the token before it and is carried on, and the arc's log10
-probability is added up. At the empty context a word has (c - D) / N, and the unknown token the
-discounted D * V / N, so the probabilities of all tokens add up to 1 in every state.
-
-Every word, and every pair of words of the training documents, is a state, and every n-gram seen
-after it an arc, however rare: there is no ceiling and no cutoff. Nothing of it is broadcast.
-Documents are dealt into blocks; each block asks for its distinct words, pairs and triples once (by
-64-bit hashes), counts are summed over all documents, the kinds of tokens seen after a state (its
-failure weight is DISCOUNT * kinds / count) are counted from them, and only counts and kinds go back
-to the block. So an n-gram, however common, is one row for each block.
+seen is one and the same unknown token. The model is a weighted backoff automaton. Its states are the empty
+context, the text's begin, and every word and every pair of neighbouring words of the training documents;
+its arcs are all their n-grams, however rare. In a state seen n times, an arc of count c has the
+probability (c + PRIOR * q) / (n + PRIOR), where q is the token's probability in the next shorter context
+(Dirichlet smoothing); a token without an arc takes the failure arc there, of weight PRIOR / (n + PRIOR). The empty
+context has (c + 1) / (N + V + 1) for every token, the unknown one too (c is 0), so that the probabilities
+of all tokens add up to 1 in every state. A text is one left-to-right traversal, which carries the
+state and adds up the arcs' log10 probabilities; all texts of a block go step by step together, longer ones in
+stretches that first run over the two tokens before them, since these fix the state.
+
+Nothing of the model is broadcast or gathered in one place. Texts become blocks of about ``BLOCK_BYTES``, held as
+word hashes and numbers of words. Each block asks for its distinct words (64 bits), and its pairs and triples (as
+many bits as the corpus needs for one collision in a million at most) once: sorted hashes, written as
+differences, to the shard of each. A shard adds up the training counts of all blocks and sends each
+block the totals in the order it asked. A block then has all states and arcs that its texts can meet.
 
 Edge cases: a null or empty text is just the end token; a null id is a training document; with no
 training documents every token is unknown, with probability 1; rows that occur twice are learned and
-scored twice; other columns are not read.
+scored twice; one text is never in two blocks, and takes some 60 bytes for each of its words; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -27,228 +29,301 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as w
 from .hashing import remainder
 from .scratch import small_batches, staged
 
-#: Words that ``Automaton`` has in its states of two words. Scoring of tables has no such bound.
-PAIR_WORDS = 128
-#: Beside the ranks of words, in the 13 bits of a gram's places: the text's begin, its end, any other token.
-BEGIN, END, OTHER = 8189, 8190, 8191
-_PLACE = 13
-#: Absolute discount of n-grams in the states of one and two words.
-DISCOUNT = 0.75
-#: Bytes of text in a block that asks for counts.
-BLOCK_BYTES = 4 << 20
-#: Distinct words, or n-grams, that a task holds before it sums them up.
-FLUSH = 1 << 20
-#: Kinds of rows that a block asks for, and the hashes that stand for a text's end and begin.
-_WORD, _PAIR, _TRIPLE, _START = range(4)
+#: Weight of the shorter context in states of one and of two words.
+PRIOR = (4.0, 2.0)
+#: Bytes of text in a block, and keys asked for in a shard.
+BLOCK_BYTES, SHARD_KEYS = 8 << 20, 1 << 21
+#: Tokens of a stretch, and those before it that fix its state.
+STRETCH, BEFORE = 512, 2
+#: The hashes that stand for a text's end and begin.
 _END, _BEGIN = w.U(0x5851F42D4C957F2D), w.U(0x14057B7EF767814F)
 
 
-def _ranked(known: np.ndarray, rank: np.ndarray, t: w.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all tokens, ends included: the token, the one before and the one before that as places; each text's bounds."""
-    r = np.full(len(hashes), OTHER, dtype=np.int64)
-    if len(known):
-        at = np.searchsorted(known, hashes)
-        at[at == len(known)] = 0
-        r = np.where(known[at] == hashes, rank[at], OTHER)
-    bounds = t.first + np.arange(len(t.first))
-    token = np.insert(r, t.first[1:], END)
-    before = np.empty_like(token)
-    before[1:] = token[:-1]
-    before[bounds[:-1]] = BEGIN
-    second = np.full_like(token, OTHER)
-    second[2:] = token[:-2]
-    second[bounds[:-1]] = OTHER
-    short = bounds[:-1] + 1
-    second[short[short < bounds[1:]]] = BEGIN
-    return token, before, second, bounds
-
-
-def _states(before: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The one-word and the two-word state of each token, -1 where there is none."""
-    one = np.where(before == OTHER, -1, before)
-    pair = (one >= 0) & ((before < PAIR_WORDS) | (before == BEGIN)) & ((second < PAIR_WORDS) | (second == BEGIN))
-    return one, np.where(pair, (second + 1) << _PLACE | before, -1)
+def pack(values: np.ndarray) -> bytes:
+    """Numbers as planes of bytes, compressed."""
+    values = np.ascontiguousarray(values, dtype="<u8")
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    planes = values.view(np.uint8).reshape(len(values), 8)[:, :width].T
+    return bytes([width]) + pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True) if len(values) else b""
 
 
-class Automaton:
-    """The model over a small vocabulary as one table, to compare with.
-
-    States (sorted) with the weight of their failure arc; arcs (sorted, state and token) with their probability.
-    known, rank: hashes of the frequent words, sorted, and their ranks."""
-
-    def __init__(self, known, rank, states, sizes, arcs, counts, tokens: int, kinds: int, discount: float):
-        self.known, self.rank = known, rank
-        order = np.argsort(states)
-        self.states, sizes = states[order], sizes[order]
-        order = np.argsort(arcs)
-        self.arcs, counts = arcs[order], counts[order]
-        at = np.searchsorted(self.states, self.arcs >> _PLACE)
-        self.weights = (counts - DISCOUNT) / sizes[at] if len(at) else np.zeros(0)
-        self.fail = 1 - np.bincount(at, weights=self.weights, minlength=len(self.states))
-        self.tokens, self.kinds, self.discount = tokens, kinds, discount
-
-    def score(self, t: w.Words, hashes: np.ndarray, counts: np.ndarray, ends: int) -> np.ndarray:
-        """log10 probability of each text. counts: training counts of its words."""
-        token, before, second, bounds = _ranked(self.known, self.rank, t, hashes)
-        c = np.insert(counts, t.first[1:], ends)
-        unknown = self.discount * self.kinds / self.tokens if self.tokens else 1.0
-        p = np.where(c > 0, (c - self.discount) / max(self.tokens, 1), unknown)
-        for state in _states(before, second):  # from the shorter state to the longer
-            at = np.minimum(np.searchsorted(self.states, state), len(self.states) - 1)
-            on = np.flatnonzero((self.states[at] == state) & (state >= 0)) if len(self.states) else np.zeros(0, np.int64)
-            p[on] *= self.fail[at[on]]
-            arc = state[on] << _PLACE | token[on]
-            to = np.minimum(np.searchsorted(self.arcs, arc), len(self.arcs) - 1)
-            hit = (self.arcs[to] == arc) & (token[on] != OTHER) if len(self.arcs) else np.zeros(len(on), bool)
-            p[on[hit]] += self.weights[to[hit]]
-        return w.per_doc(np.log10(p), bounds)
-
-
-def _keys(t: w.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all tokens, ends included: the token's key, that of the pair and of the triple it ends; each text's bounds.
-
-    A text's first token ends a pair with the begin and no triple; its key there is without meaning."""
-    bounds = t.first + np.arange(len(t.first))
-    token = np.insert(hashes, t.first[1:], _END)
-    before = np.empty_like(token)
-    before[1:] = token[:-1]
-    before[bounds[:-1]] = _BEGIN
-    pair = w.mix(w.mix(before) * w.U(w._Q) + token)
-    state = np.zeros_like(pair)
-    state[1:] = pair[:-1]
-    return token, pair, w.mix(w.mix(state) * w.U(w._R) + token), bounds
-
-
-def _asked(t: w.Words, hashes: np.ndarray, learn: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of words, pairs, triples and the begin: the kind, distinct keys, their states' keys, training counts. learn: of each text."""
-    token, pair, triple, bounds = _keys(t, hashes)
-    start = np.zeros(len(token), bool)
-    start[bounds[:-1]] = True
-    state = np.empty_like(token)
-    state[1:] = token[:-1]
-    state[start] = _BEGIN
-    longer = np.empty_like(pair)
-    longer[1:] = pair[:-1]
-    learned = np.repeat(learn, np.diff(bounds))
-    word = np.ones(len(token), bool)
-    word[bounds[1:] - 1] = False
-    yield _WORD, *_distinct(token[word], np.zeros(word.sum(), w.U), learned[word])
-    yield _PAIR, *_distinct(pair, state, learned)
-    yield _TRIPLE, *_distinct(triple[~start], longer[~start], learned[~start])
-    yield _START, np.array([_BEGIN], w.U), np.zeros(1, w.U), np.array([learn.sum()], np.int64)
-
-
-def _distinct(keys: np.ndarray, states: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    u, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    return u, states[at], np.bincount(inverse, weights=counts, minlength=len(u)).astype(np.int64)
-
-
-def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by block: of each block its distinct n-grams (hash), their states and their training counts."""
-    block: int | None = None
-    held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-
-    def summed(kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return _distinct(*(np.concatenate(x) for x in zip(*held[kind], strict=True)))
-
-    def send() -> Iterator[pa.RecordBatch]:
-        for kind in held:
-            u, state, c = summed(kind)
-            cols = [pa.array(np.full(len(u), block, dtype=np.int32)), pa.array(np.full(len(u), kind, dtype=np.int8)), pa.array(u.view(np.int64)), pa.array(state.view(np.int64)), pa.array(c)]
-            yield pa.RecordBatch.from_arrays(cols, names=["block", "kind", "key", "state", "own"])
+def unpack(data: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, w.U)
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, : data[0]] = np.frombuffer(pa.decompress(data[1:], decompressed_size=n * data[0], codec="zstd", asbytes=True), dtype=np.uint8).reshape(data[0], n).T
+    return out.reshape(-1).view("<u8")
+
+
+_BLOCK = "block bigint, doc_id array<bigint>, held_out array<boolean>, n_words array<bigint>, n_vocab bigint, vocab binary, stream binary, tokens bigint, ends bigint"
+
+
+def _encode(block_bytes: int):
+    """Rows (doc_id, text, held_out) as blocks: the distinct word hashes, commonest first, and the words' numbers among them."""
+    return lambda batches: _encoded(batches, block_bytes)
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
+    ids, outs, counts, hashes, size, made = [], [], [], [], 0, 0
+    part = TaskContext.get().partitionId()
+
+    def block() -> pa.RecordBatch:
+        out, n = pa.concat_arrays(outs), np.concatenate(counts)
+        vocab, stream, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        learn = ~out.to_numpy(zero_copy_only=False)
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        cols = [
+            pa.array([part << 32 | made]), one(pa.concat_arrays(ids)), one(out), one(pa.array(n, pa.int64())), pa.array([len(vocab)]), pa.array([pack(vocab[order])], pa.binary()),
+            pa.array([pack(number[stream])], pa.binary()), pa.array([int(n[learn].sum() + learn.sum())]), pa.array([int(learn.sum())]),
+        ]
+        return pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in _BLOCK.split(", ")])
 
     for batch in batches:
-        own_blocks = batch.column("block").to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(own_blocks)) + 1, [len(own_blocks)]]) if len(own_blocks) else [0]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            part = batch.slice(lo, hi - lo)
-            if own_blocks[lo] != block:
-                yield from send()
-                block, held = int(own_blocks[lo]), {}
-            learn = ~part.column("held_out").to_numpy(zero_copy_only=False)
-            for a, b, data, offsets in w.texts(part.column("text")):
-                t = w.Words(data, offsets, w.SPACED, lower=True)
-                for kind, *found in _asked(t, t.hashes(), learn[a:b]):
-                    held.setdefault(kind, []).append(tuple(found))
-                    if sum(len(u) for u, _, _ in held[kind]) > FLUSH:
-                        held[kind] = [summed(kind)]
-    yield from send()
-
-
-def _answer(total: int, kinds: int, ends: int, discount: float):
-    """Scores a block's documents with the counts that came back for it."""
-
-    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        known = counts.column("key").to_numpy().view(w.U)
-        order = np.argsort(known)
-        # at the end, an n-gram that is not there
-        c, followers = (np.append(counts.column(x).to_numpy()[order], 0) for x in ("c", "followers"))
-        known = known[order]
-
-        def find(keys: np.ndarray) -> np.ndarray:
-            at = np.searchsorted(known, keys)
-            hit = at < len(known)
-            hit[hit] = known[at[hit]] == keys[hit]
-            return np.where(hit, at, len(known))
-
-        begin = find(np.array([_BEGIN], w.U))[0]
-        parts = []
-        for a, b, data, offsets in w.texts(docs.column("text")):
+        for a, b, data, offsets in w.texts(batch.column("text")):
             t = w.Words(data, offsets, w.SPACED, lower=True)
-            token, pair, triple, bounds = _keys(t, t.hashes())
-            start, stop = bounds[:-1], bounds[1:] - 1
-            one, two, three = find(token), find(pair), find(triple)
-            three[start] = len(known)
-            n = c[one]
-            n[stop] = ends
-            tokens = np.diff(bounds)
-            p = np.where(n > 0, (n - discount) / max(total, 1), discount * kinds / total if total else 1.0)
-            for states, arcs, first in ((one, two, begin), (two, three, len(known))):  # from the shorter state to the longer
-                state = np.empty_like(states)
-                state[1:] = states[:-1]
-                state[start] = first
-                on = c[state] > 0
-                at = state[on]
-                p[on] = (p[on] * DISCOUNT * followers[at] + np.maximum(c[arcs[on]] - DISCOUNT, 0)) / c[at]
-            base = w.per_doc(np.log10(n + 1.0), bounds) - tokens * np.log10(total + kinds + 1.0)
-            part = docs.slice(a, b - a)
-            cols = [part.column("doc_id"), part.column("held_out"), tokens, w.per_doc(n > 0, bounds), np.full(b - a, total, dtype=np.int64), base, w.per_doc(np.log10(p), bounds)]
-            parts.append(pa.table(dict(zip(_SCORED, cols, strict=True))))
-        return pa.concat_tables(parts) if parts else pa.table({k: pa.array([], v) for k, v in _SCORED.items()})
+            ids.append(batch.column("doc_id").slice(a, b - a))
+            outs.append(batch.column("held_out").slice(a, b - a))
+            counts.append(t.counts.astype(np.int64))
+            hashes.append(t.hashes())
+            size += len(data) + 64 * (b - a)
+            if size >= block_bytes:
+                yield block()
+                ids, outs, counts, hashes, size, made = [], [], [], [], 0, made + 1
+    if ids:
+        yield block()
+    w.give_back()
+
+
+class Block:
+    """A block's tokens (number in the vocabulary; ``end`` for a text's end), and its distinct pairs and triples.
+
+    grams: their sorted keys; pair, triple: of each token, the place there of the pair and of the triple that it ends
+    (no triple at a text's first token: -1); bounds: of the texts among the tokens."""
+
+    def __init__(self, row: dict, bits: int):
+        self.n = np.array(row["n_words"], dtype=np.int64)
+        self.learn = ~np.array(row["held_out"], dtype=bool)
+        self.vocab = unpack(row["vocab"], row["n_vocab"])
+        self.end = len(self.vocab)
+        first = np.concatenate([[0], np.cumsum(self.n)])
+        self.token = np.insert(unpack(row["stream"], int(first[-1])).astype(np.int64), first[1:], self.end)
+        self.bounds = first + np.arange(len(first))
+        self.start = self.bounds[:-1]
+        hashed = np.append(self.vocab, _END)[self.token]
+        before = np.empty_like(hashed)
+        before[1:] = hashed[:-1]
+        before[self.start] = _BEGIN
+        pair = w.mix(w.mix(before) * w.U(w._Q) + hashed)
+        del before
+        state = np.zeros_like(pair)
+        state[1:] = pair[:-1]
+        triple = w.mix(w.mix(state) * w.U(w._R) + hashed + w.U(1))
+        del state, hashed
+        inner = np.ones(len(pair), bool)
+        inner[self.start] = False
+        keys = np.concatenate([pair, triple[inner]]) >> w.U(64 - bits)
+        self.grams, self.at, place = np.unique(keys, return_index=True, return_inverse=True)
+        self.pair, self.triple = place[: len(pair)], np.full(len(pair), -1, dtype=np.int64)
+        self.triple[inner] = place[len(pair) :]
+        self.inner = np.flatnonzero(inner)
+        # vocab in the order of its hashes, as it is asked for
+        self.sorted = np.argsort(self.vocab)
+
+    def own(self) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts in this block: of the sorted vocabulary and of the grams."""
+        learned = np.repeat(self.learn, np.diff(self.bounds))
+        in_vocab = np.bincount(self.token[learned], minlength=self.end + 1)[: self.end]
+        of = np.bincount(self.pair[learned], minlength=len(self.grams))
+        some = self.inner[learned[self.inner]]
+        return in_vocab[self.sorted], of + np.bincount(self.triple[some], minlength=len(self.grams))
+
+
+_ASKED = "shard int, block bigint, n_words bigint, words binary, own_words binary, n_grams bigint, grams binary, own_grams binary"
+
+
+def _differences(keys: np.ndarray) -> bytes:
+    return pack(np.diff(keys, prepend=w.U(0)))
+
+
+def _rows(batch: pa.RecordBatch | pa.Table) -> list[dict]:
+    return batch.to_pylist()
+
+
+def _ask(bits: int, shard_bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in _rows(batch):
+                b = Block(row, bits)
+                lists = []
+                for keys, own, size in ((b.vocab[b.sorted], b.own()[0], 64), (b.grams, b.own()[1], bits)):
+                    low = w.U(size - shard_bits)
+                    cut = np.searchsorted(keys, np.arange(1, 1 << shard_bits, dtype=w.U) << low) if shard_bits else np.zeros(0, np.int64)
+                    cut = np.concatenate([[0], cut, [len(keys)]]).astype(np.int64)
+                    low_part = keys & ((w.U(1) << low) - w.U(1)) if shard_bits else keys
+                    lists.append([(y - x, _differences(low_part[x:y]), pack(own[x:y])) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)])
+                rows = [(s, row["block"], *x, *y) for s, (x, y) in enumerate(zip(*lists, strict=True))]
+                names = [c.split()[0] for c in _ASKED.split(", ")]
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        w.give_back()
 
     return run
 
 
+_ANSWER = "block bigint, shard int, n_words bigint, words binary, n_grams bigint, grams binary, known bigint"
+
+
+def _add_up(asked: pa.Table) -> pa.Table:
+    """Of one shard: to each block the training counts of what it asked for; known (in one row): distinct words of the training documents."""
+    out = {c.split()[0]: [] for c in _ANSWER.split(", ")}
+    out["block"], out["shard"] = asked.column("block").to_pylist(), asked.column("shard").to_pylist()
+    for name in ("words", "grams"):
+        n = asked.column(f"n_{name}").to_pylist()
+        out[f"n_{name}"] = n
+        keys = [np.cumsum(unpack(x, k), dtype=w.U) for x, k in zip(asked.column(name).to_pylist(), n, strict=True)]
+        _, place = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        own = np.concatenate([unpack(x, k) for x, k in zip(asked.column(f"own_{name}").to_pylist(), n, strict=True)])
+        total = np.bincount(place, weights=own).astype(np.int64)
+        cut = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+        out[name] = [pack(total[place[x:y]]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        if name == "words":
+            out["known"] = [int((total > 0).sum()), *[0] * (len(n) - 1)]
+    w.give_back()
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64()]
+    return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
+
+
+class Automaton:
+    """The states and arcs that a block's texts can meet.
+
+    States: 0 the empty context, then the words of the vocabulary (the one at ``end`` is the text's begin), then grams that are pairs.
+    Arcs: tokens of the empty context, then grams. seen: whether the arc exists; log: its log10 probability. fail, to: the
+    log10 weight and the target of a state's failure arc."""
+
+    def __init__(self, b: Block, words: np.ndarray, grams: np.ndarray, total: int, kinds: int, ends: int):
+        self.b, self.words, size = b, b.end + 1, len(b.grams)
+        count = np.zeros(b.end + 1, dtype=np.int64)
+        count[b.sorted] = words
+        count[b.end] = ends
+        self.count = count
+        unigram = (count + 1.0) / (total + kinds + 1.0)
+        # a gram's token and contexts are those of its first place
+        both = np.concatenate([np.arange(len(b.token)), b.inner])[b.at]
+        is_pair = b.pair[both] == np.arange(size)
+        is_pair &= b.at < len(b.token)
+        first = np.zeros(len(b.token), bool)
+        first[b.start] = True
+        before = np.where(first[both], b.end, b.token[both - 1])
+        p = np.zeros(size)
+        i = np.flatnonzero(is_pair)
+        n = count[before[i]]
+        p[i] = (grams[i] + PRIOR[0] * unigram[b.token[both[i]]]) / (n + PRIOR[0])
+        shorter = p.copy()
+        i = np.flatnonzero(~is_pair)
+        n = grams[b.pair[both[i] - 1]]
+        p[i] = (grams[i] + PRIOR[1] * shorter[b.pair[both[i]]]) / (n + PRIOR[1])
+        self.log = np.log10(np.concatenate([unigram, np.where(p > 0, p, 1.0)]))
+        self.seen = np.concatenate([np.ones(b.end + 1, bool), grams > 0])
+        totals = np.concatenate([[0], count, np.where(is_pair, grams, 0)])
+        prior = np.concatenate([[1.0], np.full(b.end + 1, PRIOR[0]), np.full(size, PRIOR[1])])
+        self.fail = np.log10(prior / (totals + prior))
+        # a pair falls back to its last word, a word to the empty context
+        self.to = np.concatenate([np.zeros(b.end + 2, np.int64), 1 + b.token[both]])
+        self.alive = np.concatenate([[True], count > 0, is_pair & (grams > 0)])
+
+    def target(self, at: np.ndarray) -> np.ndarray:
+        """The state behind the token at each place: its longest context that is a state."""
+        b = self.b
+        pair, word = 1 + self.words + b.pair[at], 1 + b.token[at]
+        return np.where(self.alive[pair], pair, np.where(self.alive[word], word, 0))
+
+    def scores(self) -> np.ndarray:
+        """log10 probability of each text: all stretches take a step at a time, carrying their states."""
+        b = self.b
+        length = np.diff(b.bounds)
+        pieces = -(-length // STRETCH)
+        text = np.repeat(np.arange(len(length)), pieces)
+        skip = (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * STRETCH
+        counted = b.start[text] + skip
+        at = np.maximum(counted - BEFORE, b.start[text])
+        stop = np.minimum(counted + STRETCH, b.bounds[1:][text])
+        order = np.argsort(at - stop, kind="stable")  # the longest first: those that go on stand in front
+        text, counted, at, stop = text[order], counted[order], at[order], stop[order]
+        begin = 1 + b.end if self.alive[1 + b.end] else 0
+        state = np.where(at == b.start[text], begin, 0)
+        sums = np.zeros(len(text))
+        steps = stop - at
+        for step in range(int(steps.max(initial=0))):
+            live = int(np.searchsorted(-steps, -step))
+            here = at[:live] + step
+            s = state[:live]
+            gained = np.zeros(live)
+            todo = np.arange(live)
+            arc = np.zeros(live, np.int64)
+            while len(todo):
+                own, place = s[todo], here[todo]
+                one = np.where(own == 0, b.token[place], self.words + np.where(own <= self.words, b.pair[place], b.triple[place]))
+                arc[todo] = one
+                missing = ~self.seen[one]
+                todo, own = todo[missing], own[missing]
+                gained[todo] += self.fail[own]
+                s[todo] = self.to[own]
+                # the shorter context of a pair is a word that has been seen
+            gained += self.log[arc]
+            sums[:live] += np.where(here >= counted[:live], gained, 0.0)
+            state[:live] = self.target(here)
+        return np.bincount(text, weights=sums, minlength=len(length))
+
+
 _SCORED = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 
 
-def score(docs: DataFrame, held_out_mod: int = 7, held_out_rest: int = 2) -> DataFrame:
+def _answer(bits: int, total: int, kinds: int, ends: int):
+    """Scores a block's texts with the counts that came back for it."""
+
+    def run(blocks: pa.Table, counts: pa.Table) -> pa.Table:
+        parts = [pa.table({k: pa.array([], v) for k, v in _SCORED.items()})]
+        for row in _rows(blocks):
+            b = Block(row, bits)
+            own = sorted(_rows(counts), key=lambda r: r["shard"])
+            words, grams = (np.concatenate([unpack(r[k], r[f"n_{k}"]) for r in own]).astype(np.int64) for k in ("words", "grams"))
+            auto = Automaton(b, words, grams, total, kinds, ends)
+            c = auto.count[b.token]
+            tokens = np.diff(b.bounds)
+            base = w.per_doc(np.log10(c + 1.0), b.bounds) - tokens * np.log10(total + kinds + 1.0)
+            cols = [row["doc_id"], row["held_out"], tokens, w.per_doc(c > 0, b.bounds), np.full(len(tokens), total), base, auto.scores()]
+            parts.append(pa.table({k: pa.array(x, v) for (k, v), x in zip(_SCORED.items(), cols, strict=True)}))
+        w.give_back()
+        return pa.concat_tables(parts)
+
+    return run
+
+
+def score(docs: DataFrame, held_out_mod: int = 7, held_out_rest: int = 2, block_bytes: int = BLOCK_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     small_batches(spark)
     out = F.coalesce(remainder(F.col("doc_id"), held_out_mod) == held_out_rest, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", out.alias("held_out"))
-    sizes = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.when(~F.col("held_out"), 1)).alias("ends")).first()
-    blocks = max(1, -(-(sizes["bytes"] or 0) // BLOCK_BYTES))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition("block")
-    asked = dealt.sortWithinPartitions("block").mapInArrow(_ask, "block int, kind tinyint, key bigint, state bigint, own bigint")
-    of_key = Window.partitionBy("key")
-    counted = asked.withColumn("c", F.sum("own").over(of_key)).where("c > 0").withColumn("head", F.min("block").over(of_key) == F.col("block"))
-    # the state is needed of one row for each n-gram
-    counted = staged(counted.select("block", "kind", "key", "c", "head", F.when(F.col("head"), F.col("state")).alias("state")))
-    words = counted.where(F.col("head") & (F.col("kind") == _WORD))
-    sums = words.agg(F.sum("c").alias("tokens"), F.count("*").alias("kinds"), F.count(F.when(F.col("c") == 1, 1)).alias("ones"), F.count(F.when(F.col("c") == 2, 1)).alias("twos")).first()
-    total, kinds = (sums["tokens"] or 0) + sizes["ends"], sums["kinds"] + (sizes["ends"] > 0)
-    discount = sums["ones"] / (sums["ones"] + 2 * sums["twos"]) if sums["ones"] and sums["twos"] else 0.5
-    followers = counted.where(F.col("head") & F.col("kind").isin(_PAIR, _TRIPLE)).groupBy(F.col("state").alias("key")).agg(F.count("*").alias("followers"))
-    states = counted.where(F.col("kind") != _TRIPLE).join(followers, "key", "left").select("block", "key", "c", F.coalesce("followers", F.lit(0)).alias("followers"))
-    answers = states.unionAll(counted.where(F.col("kind") == _TRIPLE).select("block", "key", "c", F.lit(0).cast("bigint")))
+    blocks = staged(docs.mapInArrow(_encode(block_bytes), _BLOCK))
+    sums = blocks.agg(F.sum("tokens").alias("tokens"), F.sum("ends").alias("ends"), F.sum(F.expr("aggregate(n_words, 0L, (a, n) -> a + n + 1)")).alias("all")).first()
+    total, ends, size = sums["tokens"] or 0, sums["ends"] or 0, sums["all"] or 0
+    bits = min(64, max(48, size.bit_length() + 20))
+    shard_bits = max(0, (2 * size // shard_keys).bit_length())
+    asked = blocks.mapInArrow(_ask(bits, shard_bits), _ASKED)
+    answers = staged(asked.groupBy("shard").applyInArrow(_add_up, _ANSWER))
+    kinds = (answers.agg(F.sum("known")).first()[0] or 0) + (ends > 0)
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_answer(total, kinds, sizes["ends"], discount), schema)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_answer(bits, total, kinds, ends), schema)

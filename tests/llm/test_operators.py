@@ -190,9 +190,10 @@ def test_lines_against_brute_force(spark):
     df = frame(spark, docs)
     out = lines.dedup_lines(df)
     assert out.columns == df.columns and out.count() == len(docs)
-    # SimHashes as Spark has them; the links by brute force
+    # hashes of words as Spark has them; SimHashes, stretches and links by brute force
     flat = sorted({normal(x) for _, t in docs for x in (t or "").split("\n") if len(normal(x).split(" ")) >= 5})
-    sims = {x["norm"]: x["sim"] for x in lines.with_simhash(spark.createDataFrame([(x, len(x.split(" "))) for x in flat], "norm string, n_words int"), ["norm"]).collect()}
+    hashes = {x["w"]: x["h"] for x in spark.createDataFrame([(x,) for x in {w for t in flat for w in t.split(" ")}], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    sims, cuts = {x: majority([hashes[w] for w in x.split(" ")]) for x in flat}, {x: stretches(x.split(" ")) for x in flat}
     parent = {x: x for x in flat}
 
     def find(x):
@@ -202,7 +203,7 @@ def test_lines_against_brute_force(spark):
 
     for i, a in enumerate(flat):
         for b in flat[:i]:
-            if bin((sims[a] ^ sims[b]) & (2**64 - 1)).count("1") <= 3 and levenshtein(a, b) <= max(len(a), len(b)) * 20 // 100:
+            if cuts[a] & cuts[b] and bin(sims[a] ^ sims[b]).count("1") <= 18 and levenshtein(a, b) <= max(len(a), len(b)) * 20 // 100:
                 parent[find(a)] = find(b)
     first, want = {}, {}
     for doc, text in sorted(set(docs[:-1]), key=lambda x: x[0]):
@@ -238,19 +239,44 @@ def test_repeated_short_lines_go_in_the_query(spark, tmp_path):
     assert got == {None: "天地玄黄宇宙洪荒", 1: "All rights reserved\n\nall rights deserved", 2: "\nown"}
 
 
-def test_a_line_beyond_the_lanes_has_its_simhash(spark):
+def majority(hashes):
+    return sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64))
+
+
+def stretches(words):
+    """Up to six stretches from each end, of as many words as the greatest power of two that is a sixth of the line at most, and of three at least."""
+    n, size = len(words), 1
+    while size * 2 * 6 <= n:
+        size *= 2
+    size = max(3, size)
+    each = [(k * size, (k + 1) * size) for k in range(6) if (k + 1) * size <= n]
+    return {(size, *words[a:b]) for x, y in each for a, b in ((x, y), (n - y, n - x))}
+
+
+def test_simhashes_of_lines(spark):
     r = random.Random(3)
-    words = [f"w{chr(97 + i)}" for i in range(20)]
-    own = [r.choice(words) for _ in range(lines.MOST_WORDS + 9000)]
-    docs = frame(spark, [(1, " ".join(own)), (2, " ".join(own[:50]))]).withColumn("h", F.xxhash64("text"))
-    hashes = {x["w"]: x["h"] for x in spark.createDataFrame([(x,) for x in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    own = [[r.choice("abcdefgh") * r.randint(1, 3) for _ in range(n)] for n in (1, 2, 5, 300, 70_000)]
+    hashes = {x["w"]: x["h"] for x in spark.createDataFrame([(x * n,) for x in "abcdefgh" for n in (1, 2, 3)], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    got = lines.sketched(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(own)], "k1 long, norm string")).collect()
+    assert {x["k1"]: x["sim"] % 2**64 for x in got} == {i: majority([hashes[w] for w in x]) for i, x in enumerate(own)}
+    assert all(x["longest"] == max(map(len, own[x["k1"]])) and len(x["code"]) == len(own[x["k1"]]) for x in got)
 
-    def majority(own):
-        count = collections.Counter(own)
-        return sum((2 * sum(n for x, n in count.items() if hashes[x] >> b & 1) > len(own)) << b for b in range(64))
 
-    got = {x["doc_id"]: x["sim"] for x in lines.keyed_lines(docs, 5).collect()}
-    assert got[1] is not None and {k: v & (2**64 - 1) for k, v in got.items()} == {1: majority(own), 2: majority(own[:50])}
+def test_a_crowd_of_near_lines(spark):
+    """More lines with common stretches than meet pair by pair, of two families, each of which has one line left; and 3000 equal ones."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    common = [word() for _ in range(12)]
+    families = [[*common, *(word() for _ in range(60))] for _ in range(2)]
+    rows = []
+    for i in range(200):
+        own = list(families[i % 2])
+        for _ in range(3):
+            own[r.randrange(12, len(own))] = word()
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, "the very same line of seven words") for i in range(3000)]
+    out = {x["doc_id"]: x["text"] for x in lines.dedup_lines(frame(spark, rows)).where("text <> ''").collect()}
+    assert out == {0: rows[0][1], 1: rows[1][1], 1000: rows[200][1]}
 
 
 # ------------------------------------------------------------------ 4 decontamination
@@ -374,106 +400,45 @@ def test_lm(spark):
     assert all(r["score"] == 0 and r["train_tokens"] == 0 for r in alone)
 
 
-def test_lm_counts_every_ngram(spark):
-    """Scores of a backoff model of all words, pairs and triples, seen once or more, over more words than any table of frequent ones."""
+class BackoffModel:
+    """All words, pairs and triples, by dictionaries."""
+
+    def __init__(self, texts):
+        self.after = collections.defaultdict(collections.Counter)
+        for own in texts:
+            for i in range(1, len(own)):
+                for k in range(3):
+                    if i >= k:
+                        self.after[tuple(own[i - k : i])][own[i]] += 1
+        self.n, self.v = sum(self.after[()].values()), len(self.after[()])
+
+    def p(self, history, token):
+        """A seen context's own share and the shorter one's; the text begins with <, ends with >."""
+        out = (self.after[()][token] + 1) / (self.n + self.v + 1)
+        for k, prior in ((1, 4.0), (2, 2.0)):
+            state = tuple(history[-k:])
+            if len(history) >= k and state in self.after:
+                size = sum(self.after[state].values())
+                out = (self.after[state][token] + prior * out) / (size + prior)
+        return out
+
+
+@pytest.mark.parametrize("block_bytes, shard_keys", [(2000, 500), (1 << 23, 1 << 21)])
+def test_lm_scores(spark, block_bytes, shard_keys):
+    """Every n-gram counts, seen once or more, over many words; in blocks and shards of any size; texts longer than a stretch."""
     r = random.Random(4)
     rows = [(i, " ".join(f"w{r.choice([r.randrange(20), r.randrange(9000)])}" for _ in range(r.randint(0, 200)))) for i in range(200)] + [(200, None), (None, "w1 w2 once"), (201, "w1 w2 once")]
+    rows += [(i, " ".join(f"w{r.randrange(50)}" for _ in range(n))) for i, n in ((300, 511), (301, 512), (302, 513), (303, 3000))]
     held = [doc is not None and zlib.crc32(str(doc).encode()) % 7 == 2 for doc, _ in rows]
+    assert any(held[-4:]) or len(set(held)) == 2
     tokens = [["<", *(t or "").split(), ">"] for _, t in rows]
-    after = collections.defaultdict(collections.Counter)
-    for own, h in zip(tokens, held, strict=True):
-        for i in range(1, len(own) * (not h)):
-            for k in range(3):
-                if i >= k:
-                    after[tuple(own[i - k : i])][own[i]] += 1
-    n, v = sum(after[()].values()), len(after[()])
-    ones, twos = (sum(c == k for x, c in after[()].items() if x != ">") for k in (1, 2))
-    d = ones / (ones + 2 * twos)
-
-    def log10(own):
-        out = 0
-        for i in range(1, len(own)):
-            p = (after[()][own[i]] - d) / n if own[i] in after[()] else d * v / n
-            for k in (1, 2):
-                state = tuple(own[i - k : i])
-                if i >= k and state in after:
-                    size = sum(after[state].values())
-                    p = (p * 0.75 * len(after[state]) + max(after[state][own[i]] - 0.75, 0)) / size
-            out += math.log10(p)
-        return out
-
-    want = sorted((str(doc), round(log10(own), 6)) for (doc, _), own in zip(rows, tokens, strict=True))
-    assert v > 5000 and sorted((str(x["doc_id"]), round(x["score"], 6)) for x in lm.score(frame(spark, rows)).collect()) == want
-
-
-def test_lm_probabilities_add_up():
-    """In every state, over all known tokens, the end and the unknown one."""
-    from tallyframe.llm import words as w
-
-    r = random.Random(1)
-    vocabulary = [f"w{i}" for i in range(30)]
-    train = [[r.choice(vocabulary[: r.choice([3, 30])]) for _ in range(50)] for _ in range(40)]
-    count = collections.Counter(x for t in train for x in [*t, None])
-    hashes = {}
-
-    def words_of(texts):
-        import pyarrow as pa
-
-        for _, _, data, offsets in w.texts(pa.array(texts)):
-            t = w.Words(data, offsets, w.SPACED, True)
-            return t, t.hashes()
-
-    for x in vocabulary:
-        hashes[x] = int(words_of([x])[1][0])
-    top = [x for x, _ in count.most_common() if x]
-    order = np.argsort(np.array([hashes[x] for x in top], dtype=np.uint64))
-    known, rank = np.array([hashes[top[i]] for i in order], dtype=np.uint64), order.astype(np.int64)
-    grams = collections.Counter()
-    t, h = words_of([" ".join(x) for x in train])
-    token, before, second, _ = lm._ranked(known, rank, t, h)
-    for state in lm._states(before, second):
-        for s, x in zip(state.tolist(), token.tolist(), strict=True):
-            if s >= 0:
-                grams[s << 13 | x] += 1
-    arcs = {g: c for g, c in grams.items() if g & lm.OTHER != lm.OTHER and c >= 2}
-    sizes = collections.Counter()
-    for g, c in grams.items():
-        sizes[g >> 13] += c
-    states = sorted({g >> 13 for g in arcs})
-    n, v = sum(count.values()), len(count)
-    model = lm.Automaton(known, rank, np.array(states), np.array([sizes[s] for s in states]), np.array(list(arcs)), np.array(list(arcs.values())), n, v, 0.5)
-
-    def score(text):
-        t, h = words_of([text])
-        return float(model.score(t, h, np.array([count[x] for x in text.split()], dtype=np.int64), count[None])[0])
-
-    for begin in ("", "w0", "w0 w1", "w7 w2", "zz w1", "w29 w0 w0"):
-        stop = 10 ** (score(begin) if begin else score(""))
-        total = stop  # the text ends here
-        base = begin.split()
-        for x in [*vocabulary, "unknownword"]:
-            # probability of the next token: that of the longer text, without its own end
-            longer = " ".join([*base, x])
-            t, h = words_of([longer])
-            end = end_probability(model, t, h, longer, count)
-            total += 10 ** (score(longer)) / end
-        head = stop / end_probability(model, *words_of([begin]), begin, count)
-        assert total == pytest.approx(head, rel=1e-6)
-
-
-def end_probability(model, t, h, text, count):
-    """Of the end after the text: the ratio of the text's score with and without its last token."""
-    whole = model.score(t, h, np.array([count[x] for x in text.split()], dtype=np.int64), count[None])[0]
-    token, before, second, bounds = lm._ranked(model.known, model.rank, t, h)
-    p = (count[None] - model.discount) / model.tokens
-    for state in lm._states(before[-1:], second[-1:]):
-        at = np.flatnonzero(model.states == state[0])
-        if state[0] >= 0 and len(at):
-            p *= model.fail[at[0]]
-            arc = np.flatnonzero(model.arcs == (state[0] << 13 | token[-1]))
-            p += model.weights[arc[0]] if len(arc) else 0
-    assert math.isfinite(whole)
-    return p
+    model = BackoffModel([own for own, h in zip(tokens, held, strict=True) if not h])
+    want = sorted((str(doc), round(sum(math.log10(model.p(own[max(0, i - 2) : i], own[i])) for i in range(1, len(own))), 6)) for (doc, _), own in zip(rows, tokens, strict=True))
+    got = lm.score(frame(spark, rows), block_bytes=block_bytes, shard_keys=shard_keys).collect()
+    assert model.v > 5000 and sorted((str(x["doc_id"]), round(x["score"], 6)) for x in got) == want
+    # in every state the probabilities add up to 1
+    for history in (["<"], ["<", "w1"], ["w1", "w2"], ["w3", "w8999"], ["unseen", "w1"], ["w1", "unseen"]):
+        assert sum(model.p(history, x) for x in [*model.after[()], "unseen"]) == pytest.approx(1)
 
 
 # ------------------------------------------------------------------ 8 chat

@@ -4,11 +4,12 @@ import collections
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from tests.conftest import SF
-from tests.llm.test_operators import ALNUM, WORD_BPE, levenshtein, low, normal, shingles
+from tests.llm.test_operators import ALNUM, WORD_BPE, levenshtein, low, majority, normal, shingles, stretches
 
 import corpus_pipeline
-from tallyframe.llm import lines, quality, wordbpe
+from tallyframe.llm import quality, wordbpe
 
 
 def root_of(parent, x):
@@ -19,11 +20,12 @@ def root_of(parent, x):
 
 def without_repeated_lines(spark, docs):
     flat = sorted({normal(x) for t in docs.values() for x in t.split("\n") if len(normal(x).split(" ")) >= 5})
-    sims = {x["norm"]: x["sim"] for x in lines.with_simhash(spark.createDataFrame([(x, len(x.split(" "))) for x in flat], "norm string, n_words int"), ["norm"]).collect()}
+    hashes = {x["w"]: x["h"] for x in spark.createDataFrame([(x,) for x in {w for t in flat for w in t.split(" ")}], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    sims, cuts = {x: majority([hashes[w] for w in x.split(" ")]) for x in flat}, {x: stretches(x.split(" ")) for x in flat}
     parent = {x: x for x in flat}
     for i, a in enumerate(flat):
         for b in flat[:i]:
-            if ((sims[a] ^ sims[b]) & (2**64 - 1)).bit_count() <= 3 and levenshtein(a, b) <= max(len(a), len(b)) * 20 // 100:
+            if cuts[a] & cuts[b] and (sims[a] ^ sims[b]).bit_count() <= 18 and levenshtein(a, b) <= max(len(a), len(b)) * 20 // 100:
                 parent[root_of(parent, a)] = root_of(parent, b)
     first, out = {}, {}
     for doc in sorted(docs):
