@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from . import words as w
 from .hashing import remainder
-from .scratch import small_batches, staged
+from .scratch import small_batches, staged, sweep
 
 #: Weight of the shorter context in states of one and of two words.
 PRIOR = (4.0, 2.0)
@@ -324,6 +324,8 @@ def score(docs: DataFrame, held_out_mod: int = 7, held_out_rest: int = 2, block_
     shard_bits = max(0, (2 * size // shard_keys).bit_length())
     asked = blocks.mapInArrow(_ask(bits, shard_bits), _ASKED)
     answers = staged(asked.groupBy("shard").applyInArrow(_add_up, _ANSWER))
+    del asked
     kinds = (answers.agg(F.sum("known")).first()[0] or 0) + (ends > 0)
+    sweep(spark)  # what was asked for is the largest shuffle of all
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_answer(bits, total, kinds, ends), schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,10 +43,16 @@ def staged(df: DataFrame, rows_per_file: int | None = None) -> DataFrame:
     _written[path] = (spark, tuple(_scopes))
     writer.parquet(path)
     del writer
-    spark.sparkContext._jvm.System.gc()
+    sweep(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Shuffle files that nothing refers to any more are deleted as soon as the driver's collector finds that out."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @contextmanager
 def scope(name: str) -> Iterator[None]:
     """Marks what is written inside, for ``release``."""
