@@ -27,7 +27,8 @@ def stage(f: Stage) -> Stage:
     @wraps(f)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release("pipeline", keep=docs)
-        with scope("pipeline"):
+        # what the last stage returns reads its tables until the process ends
+        with scope("result" if f.__name__ == "packing_stage" else "pipeline"):
             return f(spark, docs, sf_dir)
 
     return run_stage
