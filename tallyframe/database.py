@@ -6,7 +6,7 @@ import time
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import distributions as d
@@ -48,6 +48,7 @@ class Database:
             if self.store:
                 self.store.write_meta(self.meta)
         self._memory: tuple[DataFrame, DataFrame, DataFrame] | None = None
+        self._seen: dict[str, DataFrame] = {}
 
     def __enter__(self) -> Database:
         return self
@@ -115,43 +116,47 @@ class Database:
 
     # ------------------------------------------------------------ ingest
 
-    def ingest(self, df: DataFrame, mapping: dict[str, str] | None = None, *, stream: tuple[str, int] | None = None, mark: tuple[str, int] | None = None) -> IngestReport:
-        """Adds the rows of df. A version of a distribution is the number of ingests that touched it.
+    def ingest(self, df: DataFrame, mapping: dict[str, str] | None = None, *, stream: tuple[str, int] | None = None, mark: tuple[str, str | None, DataFrame] | None = None) -> IngestReport:
+        """Adds the rows of df, in one pass over them. A version of a distribution is the number of ingests that touched it.
 
-        ``stream``: (name, batch); a batch that is in already is left out. ``mark``: (source, rows read)."""
+        ``stream``: (name, batch); a batch that is in already is left out. ``mark``: (source, highest value
+        read, the rows there). Nothing has changed if it fails, here or on disk, so that it can be tried again."""
         self._changes()
         began = time.time()
         if stream and self.meta.batches.get(stream[0], -1) >= stream[1]:
             return IngestReport(0, 0, 0, 0, 0.0)
-        total = df.count()
-        processed = g.encoded(df, self.schema, mapping)[0].count()
-        new, joints = g.cells(df, self.schema, mapping), g.joint_cells(df, self.schema, mapping)
-        keys = ["variable", *g.dim_columns(self.schema)]
-        # a touched distribution is few cells; written or held before it is used twice
-        new = new.persist()
+        keys = [f"`{k}`" for k in ("variable", *g.dim_columns(self.schema))]
+        # few rows, whatever they count
+        counts = g.counted(df, self.schema, mapping).persist()
         try:
-            touched = new.select(*(f"`{k}`" for k in keys)).distinct().withColumns({"version": F.lit(1).cast("bigint"), "last_updated": F.current_timestamp()})
+            sums = {r["kind"]: r["n"] for r in counts.groupBy("kind").agg(F.sum("cnt").alias("n")).where(F.col("kind") < g.CELL).collect()}
+            total, processed = sums.get(g.READ, 0), sums.get(g.MAPPED, 0)
+            new, joints = g.split(counts, self.schema)
+            touched = new.select(*keys).distinct().withColumns({"version": F.lit(1).cast("bigint"), "last_updated": F.current_timestamp()})
             updated = touched.count()
             tables = self._tables()
             if tables:
                 old, old_joints, versions = tables
                 # a version starts at 1, and each later ingest adds 1
-                both = versions.unionByName(touched).groupBy(*(f"`{k}`" for k in keys)).agg(F.sum("version").alias("version"), F.max("last_updated").alias("last_updated"))
+                both = versions.unionByName(touched).groupBy(*keys).agg(F.sum("version").alias("version"), F.max("last_updated").alias("last_updated"))
                 result = g.added(old, new), g.added(old_joints, joints), both
             else:
                 result = new, joints, touched
+            meta = self.meta.copy()
             if stream:
-                self.meta.batches[stream[0]] = stream[1]
+                meta.batches[stream[0]] = stream[1]
             if mark:
-                self.meta.marks[mark[0]] = mark[1]
+                meta.marks[mark[0]] = mark[1]
             if self.store:
-                if self.meta.raw_log:
-                    self.store.append_raw(df.select(*(v.name for v in self.schema.variables if v.name in df.columns)))
-                self.store.commit(self.meta, *result)
+                self.store.commit(meta, *result, raw=df if meta.raw_log else None, seen=(mark[0], mark[2]) if mark else None)
             else:
-                self._memory = tuple(self._held(r) for r in result)
+                held = tuple(self._held(r) for r in result)
+                seen = {mark[0]: self._held(mark[2])} if mark else {}
+                self._memory = held
+                self._seen |= seen
+            self.meta = meta
         finally:
-            new.unpersist()
+            counts.unpersist()
         return IngestReport(total, processed, total - processed, updated, time.time() - began)
 
     def _held(self, df: DataFrame) -> DataFrame:
@@ -184,12 +189,28 @@ class Database:
         return self.ingest(df)
 
     def ingest_delta(self, path: str, order_by: str, mapping: dict[str, str] | None = None) -> IngestReport:
-        """Rows of a growing source beyond those read before, in the order of ``order_by`` (which only grows). The mark is of rows read, kept with the data."""
+        """Rows of a growing source beyond those read before, in the order of ``order_by``, of any type that has one.
+
+        The mark is its highest value among rows read, kept with the data. Rows at the mark, and rows without a value, may
+        still come: those that were there are listed by hash, with their number, and only more of them are new."""
         df = readers.read(self.spark, path)
-        past = self.meta.marks.get(path)
-        top = df.agg(F.max(F.col(order_by).cast("bigint")).alias("m")).first()["m"]
-        new = df.where(F.col(order_by).cast("bigint") > past) if past is not None else df
-        return self.ingest(new, mapping, mark=(path, top if top is not None else past))
+        order, kind = F.col(f"`{order_by}`"), df.schema[order_by].dataType
+        text, more = order.cast("string"), self.meta.marks.get(path)
+        mark = F.lit(more).cast(kind)
+        row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+        hashed = {"_h1": F.xxhash64(F.to_json(row)), "_h2": F.hash(F.to_json(row))}
+        past = self.store.read_seen(self.meta, path) if self.store else self._seen.get(path)
+        new = df
+        if past is not None:
+            ahead = df.where(order > mark) if more is not None else df.where(order.isNotNull())
+            level = df.where(order.isNull() | (order == mark) if more is not None else order.isNull()).withColumns(hashed)
+            level = level.withColumn("_n", F.row_number().over(Window.partitionBy("_h1", "_h2").orderBy(F.lit(1))))
+            level = level.join(past, ["_h1", "_h2"], "left").where("_n > coalesce(_seen, 0)").select(*(f"`{c}`" for c in df.columns))
+            new = ahead.unionByName(level)
+        top = df.agg(F.max(order).cast("string").alias("m")).first()["m"]
+        top = more if top is None else top
+        there = df.where(order.isNull() | (text == top) if top is not None else order.isNull()).withColumns(hashed)
+        return self.ingest(new, mapping, mark=(path, top, there.groupBy("_h1", "_h2").agg(F.count("*").alias("_seen"))))
 
     # ------------------------------------------------------------ snapshots
 

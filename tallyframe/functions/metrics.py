@@ -108,7 +108,7 @@ def rebin(counts: Column, low: float, high: float, to_low: float, to_high: float
 
 
 def register(spark: SparkSession) -> None:
-    """The measures as SQL functions: entropy(counts, total), jsd(a, b), psi(a, b), hellinger(a, b), kl(a, b)."""
+    """The measures as SQL functions: tf_entropy(counts), tf_jsd(a, b), tf_psi(a, b), tf_hellinger(a, b), tf_kl(a, b)."""
     c = "array<bigint>"
     total = "aggregate({0}, 0D, (s, x) -> s + x)"
     p = f"if({total} > 0, x / {total}, 0D)"
@@ -119,5 +119,11 @@ def register(spark: SparkSession) -> None:
         "tf_jsd": (f"a {c}, b {c}", f"greatest(0D, least(1D, aggregate(zip_with({share('a')}, {share('b')}, (p, q) -> ({plog.replace('m', '((p + q) / 2)')} + if(q > 0, q * log2(q / ((p + q) / 2)), 0D)) / 2), 0D, (s, x) -> s + x)))"),
         "tf_hellinger": (f"a {c}, b {c}", f"sqrt(aggregate(zip_with({share('a')}, {share('b')}, (p, q) -> power(sqrt(p) - sqrt(q), 2)), 0D, (s, x) -> s + x) / 2)"),
     }
+
+    def kl(a: str, b: str) -> str:
+        smooth = f"transform({b}, x -> (x + 1e-10D) / ({total.format(b)} + size({b}) * 1e-10D))"
+        return f"if({total.format(a)} = 0 or {total.format(b)} = 0, 0D, aggregate(zip_with({share(a)}, {smooth}, (p, m) -> {plog}), 0D, (s, x) -> s + x))"
+
+    bodies |= {"tf_kl": (f"a {c}, b {c}", kl("a", "b")), "tf_psi": (f"a {c}, b {c}", f"{kl('a', 'b')} + {kl('b', 'a')}")}
     for name, (args, body) in bodies.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS double RETURN {body}")

@@ -51,12 +51,8 @@ def dist(cells: DataFrame, schema: Schema, by: list[str] = (), where: Where | No
     keys = [f"`{dim(d)}`" for d in by]
     kept = _filter(cells, schema, where).where(F.col("variable").isin(names))
     merged = kept.groupBy("variable", *keys, "cell").agg(F.sum("cnt").alias("cnt"))
-    size: Column = F.lit(0)
-    for n in names:
-        size = F.when(F.col("variable") == n, schema.variable(n).kind.size).otherwise(size)
     held = merged.groupBy("variable", *keys).agg(F.map_from_entries(F.collect_list(F.struct("cell", "cnt"))).alias("m"), F.sum("cnt").alias("total"))
-    counts = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("bigint")))
-    out = held.select("variable", *keys, counts.alias("counts"), F.coalesce(F.try_element_at("m", F.lit(encode.UNKNOWN)), F.lit(0).cast("bigint")).alias("unknown"), "total")
+    out = held.select("variable", *keys, _dense("m", _size(schema, names)).alias("counts"), F.coalesce(F.try_element_at("m", F.lit(encode.UNKNOWN)), F.lit(0).cast("bigint")).alias("unknown"), "total")
     return out.withColumn("entropy", m.entropy(F.col("counts"), F.col("total")))
 
 
@@ -65,10 +61,32 @@ def _width(schema: Schema, variable: str) -> float | None:
     return kind.width if isinstance(kind, Continuous) else None
 
 
+def _dense(counts: str, size: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.coalesce(F.try_element_at(counts, i), F.lit(0).cast("bigint")))
+
+
+def _size(schema: Schema, names: list[str]) -> Column:
+    size: Column = F.lit(0)
+    for n in names:
+        size = F.when(F.col("variable") == n, schema.variable(n).kind.size).otherwise(size)
+    return size
+
+
+def _matches(schema: Schema, where: Where) -> Column:
+    _check(schema, where)
+    out = F.lit(True)
+    for k, v in where.items():
+        out = out & (F.col(f"`{dim(k)}`") == F.lit(v))
+    return out
+
+
 def _two(cells: DataFrame, schema: Schema, variables: list[str], a: Where, b: Where) -> DataFrame:
-    """counts_a, counts_b, ... of each variable, from one pass over the cells of both."""
-    left, right = (dist(cells, schema, where=w, variables=variables).select("variable", *(F.col(c).alias(f"{c}_{s}") for c in ("counts", "total", "entropy"))) for w, s in ((a, "a"), (b, "b")))
-    return left.join(right, "variable")
+    """counts_a, counts_b, ... of each variable that has both, from one pass over the cells."""
+    in_a, in_b = _matches(schema, a), _matches(schema, b)
+    sums = cells.where(F.col("variable").isin(variables) & (in_a | in_b)).groupBy("variable", "cell").agg(F.sum(F.when(in_a, F.col("cnt"))).alias("a"), F.sum(F.when(in_b, F.col("cnt"))).alias("b"))
+    held = sums.groupBy("variable").agg(*(x for s in "ab" for x in (F.map_from_entries(F.collect_list(F.struct("cell", s))).alias(f"m_{s}"), F.sum(s).alias(f"total_{s}")))).where("total_a is not null and total_b is not null")
+    dense = held.select("variable", *(x for s in "ab" for x in (_dense(f"m_{s}", _size(schema, variables)).alias(f"counts_{s}"), f"total_{s}")))
+    return dense.withColumns({f"entropy_{s}": m.entropy(F.col(f"counts_{s}"), F.col(f"total_{s}")) for s in "ab"})
 
 
 def _abt() -> tuple[Column, Column, Column, Column]:
@@ -105,13 +123,34 @@ def movers(cells: DataFrame, schema: Schema, variables: list[str], a: Where, b:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+#: Blocks of values that face each other in ``pairs``: two values meet in one of BLOCKS * (BLOCKS + 1) / 2 places.
+BLOCKS = 8
+
+
+def _each_value(cells: DataFrame, schema: Schema, variable: str, dimension: str, where: Where | None = None) -> DataFrame:
+    """value, counts, total, entropy of every value of the dimension in the database, by one pass; null where it has no distribution."""
+    schema.dimension(dimension)
+    own = (F.col("variable") == variable) & _matches(schema, where or {})
+    sums = cells.groupBy(F.col(f"`{dim(dimension)}`").alias("value"), F.when(own, F.col("cell")).alias("cell")).agg(F.sum(F.when(own, F.col("cnt"))).alias("cnt"))
+    held = sums.groupBy("value").agg(F.map_from_entries(F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", "cnt")))).alias("m"), F.sum("cnt").alias("total"))
+    counts = F.when(F.col("total").isNotNull(), _dense("m", F.lit(schema.variable(variable).kind.size)))
+    return held.select("value", counts.alias("counts"), "total", m.entropy(counts, F.col("total")).alias("entropy"))
+
+
 def pairs(cells: DataFrame, schema: Schema, variable: str, dimension: str, where: Where | None = None) -> DataFrame:
-    """All pairs a < b of the dimension's values in the database with their counts; null where a value has no distribution."""
-    values = dimension_values(cells, schema, dimension)
-    held = dist(cells, schema, [dimension], where, [variable]).select(F.col(f"`{dim(dimension)}`").alias("value"), "counts", "total", "entropy")
-    each = values.join(held, "value", "left")
-    left, right = (each.select(*(F.col(c).alias(f"{c}_{s}") for c in each.columns)) for s in "ab")
-    return left.join(right, F.col("value_a") < F.col("value_b"))
+    """All pairs a < b of the dimension's values in the database with their counts; null where a value has no distribution.
+
+    Values are dealt into blocks that face each other, so that no side is held whole anywhere."""
+    each = _each_value(cells, schema, variable, dimension, where).withColumn("block", F.pmod(F.hash("value"), F.lit(BLOCKS)))
+    other = F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))
+
+    def side(s: str) -> DataFrame:
+        met = each.withColumn("other", other)
+        return met.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *(F.col(c).alias(f"{c}_{s}") for c in ("value", "counts", "total", "entropy", "block")))
+
+    # two of one block meet where it faces itself only
+    here = "value_a < value_b and least(block_a, block_b) = low and greatest(block_a, block_b) = high"
+    return side("a").join(side("b"), ["low", "high"]).where(here).drop("low", "high", "block_a", "block_b")
 
 
 def across(cells: DataFrame, schema: Schema, variable: str, dimension: str, where: Where | None = None) -> DataFrame:

@@ -64,19 +64,20 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
 
 
-def lineitem_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Schema]:
+def lineitem_cells(spark: SparkSession, sf_dir: str, *variables: str) -> tuple[DataFrame, Schema]:
+    """Cells of the variables (none named: of all), from the rows."""
     s = lineitem_schema()
-    return ingest.cells(table(spark, sf_dir, "lineitem"), s), s
+    return ingest.cells(table(spark, sf_dir, "lineitem"), s, variables=list(variables) or None), s
 
 
-def orders_cells(spark: SparkSession, sf_dir: str, granularity: str = "yearly") -> tuple[DataFrame, Schema]:
-    s = orders_schema(granularity)
-    return ingest.cells(orders(spark, sf_dir), s), s
+def orders_cells(spark: SparkSession, sf_dir: str, *variables: str) -> tuple[DataFrame, Schema]:
+    s = orders_schema()
+    return ingest.cells(orders(spark, sf_dir), s, variables=list(variables) or None), s
 
 
-def events_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Schema]:
+def events_cells(spark: SparkSession, sf_dir: str, *variables: str) -> tuple[DataFrame, Schema]:
     s = events_schema()
-    return ingest.cells(table(spark, sf_dir, "events"), s), s
+    return ingest.cells(table(spark, sf_dir, "events"), s, variables=list(variables) or None), s
 
 
 def rounded(df: DataFrame, places: int = 9) -> DataFrame:
@@ -152,13 +153,13 @@ def _union(source: str, kinds: dict[str, object], keys: dict[str, str]) -> str:
 
 @register(f"SELECT variable, time AS dim_time, cell, cnt FROM ({_union('lineitem', {'l_quantity': QUANTITY, 'l_extendedprice': PRICE, 'l_discount': DISCOUNT, 'l_tax': TAX}, LINE_SHORT)}) u")
 def cells_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, _ = lineitem_cells(spark, sf_dir)
+    c, _ = lineitem_cells(spark, sf_dir, "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     return c.where(F.col("variable").isin("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
 
 
 @register(f"SELECT variable, time AS dim_time, cell, cnt FROM ({_union('lineitem', {'l_returnflag': FLAG, 'l_linestatus': STATUS}, LINE_SHORT)}) u")
 def cells_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, _ = lineitem_cells(spark, sf_dir)
+    c, _ = lineitem_cells(spark, sf_dir, "l_returnflag", "l_linestatus")
     return c.where(F.col("variable").isin("l_returnflag", "l_linestatus"))
 
 
@@ -213,14 +214,14 @@ def joint_cont_cont(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"SELECT time, cell, CAST(sum(cnt) AS BIGINT) AS cnt FROM ({sql_cells(ORDERS, 'o_totalprice', TOTAL, {'time': YEAR['orders']})}) s GROUP BY ALL")
 def merge_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, s = orders_cells(spark, sf_dir)
+    c, s = orders_cells(spark, sf_dir, "o_totalprice")
     one_ = d.dist(c, s, ["time"], variables=["o_totalprice"])
     return one_.select(F.col("dim_time").alias("time"), F.posexplode("counts").alias("cell", "cnt")).where("cnt > 0")
 
 
 @register(f"WITH {sql_dense(sql_cells(ORDERS, 'o_orderpriority', PRIORITY, {'k': 'c_mktsegment'}), PRIORITY)} SELECT k AS segment, {r9(ENTROPY)} AS entropy, CAST(any_value(total) AS BIGINT) AS samples FROM g GROUP BY k")
 def entropy_by_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, s = orders_cells(spark, sf_dir)
+    c, s = orders_cells(spark, sf_dir, "o_orderpriority")
     return rounded(d.dist(c, s, ["segment"], variables=["o_orderpriority"]).select(F.col("dim_segment").alias("segment"), "entropy", F.col("total").alias("samples")))
 
 
@@ -239,19 +240,19 @@ def _compare_sql(cells: str, kind, a: str, b: str) -> str:
 
 @register(_compare_sql(sql_cells("lineitem", "l_returnflag", FLAG, {"k": YEAR["lineitem"]}), FLAG, "1995", "2000"))
 def compare_cat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, s = lineitem_cells(spark, sf_dir)
+    c, s = lineitem_cells(spark, sf_dir, "l_returnflag")
     return rounded(d.compare(c, s, "l_returnflag", {"time": "1995"}, {"time": "2000"}).drop("variable"))
 
 
 @register(_compare_sql(sql_cells("lineitem", "l_extendedprice", PRICE, {"k": YEAR["lineitem"]}), PRICE, "1996", "1999"))
 def compare_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, s = lineitem_cells(spark, sf_dir)
+    c, s = lineitem_cells(spark, sf_dir, "l_extendedprice")
     return rounded(d.compare(c, s, "l_extendedprice", {"time": "1996"}, {"time": "1999"}).drop("variable"))
 
 
 @register(_compare_sql(sql_cells(ORDERS, "o_totalprice", TOTAL, {"k": YEAR["orders"]}, "c_mktsegment = 'BUILDING'"), TOTAL, "1996", "1998"))
 def compare_where(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, s = orders_cells(spark, sf_dir)
+    c, s = orders_cells(spark, sf_dir, "o_totalprice")
     return rounded(d.compare(c, s, "o_totalprice", {"time": "1996"}, {"time": "1998"}, {"segment": "BUILDING"}).drop("variable"))
 
 
@@ -264,7 +265,7 @@ _MOVERS = f"WITH {sql_dense(sql_cells('events', 'event_type', EVENT, {'k': YEAR[
 
 @register(f"{_MOVERS} SELECT l.category, {r9('p')} AS prob_a, {r9('q')} AS prob_b, {r9('q - p')} AS delta, {r9(f'({plog('p', '(p + q) / 2')} + {plog('q', '(p + q) / 2')}) / 2')} AS contribution, CAST(row_number() OVER (ORDER BY abs(q - p) DESC, l.category) AS INTEGER) AS rank FROM x JOIN (VALUES {_labels(EVENT)}) l(cell, category) ON l.cell = x.cell WHERE ka = '2024-01-02' AND kb = '2024-01-20' QUALIFY rank <= 3")
 def top_movers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, s = events_cells(spark, sf_dir)
+    c, s = events_cells(spark, sf_dir, "event_type")
     return rounded(d.movers(c, s, ["event_type"], {"time": "2024-01-02"}, {"time": "2024-01-20"}, 3).drop("variable"))
 
 
@@ -275,13 +276,13 @@ def _across_sql(cells: str, kind) -> str:
 
 @register(_across_sql(sql_cells("lineitem", "l_returnflag", FLAG, {"k": YEAR["lineitem"]}), FLAG))
 def compare_across(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, s = lineitem_cells(spark, sf_dir)
+    c, s = lineitem_cells(spark, sf_dir, "l_returnflag")
     return rounded(d.across(c, s, "l_returnflag", "time"))
 
 
 @register(_across_sql(sql_cells(ORDERS, "c_acctbal", BALANCE, {"k": "c_mktsegment"}, f"{YEAR['orders']} = '1997'"), BALANCE))
 def compare_across_where(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, s = orders_cells(spark, sf_dir)
+    c, s = orders_cells(spark, sf_dir, "c_acctbal")
     return rounded(d.across(c, s, "c_acctbal", "segment", {"time": "1997"}))
 
 
@@ -311,7 +312,7 @@ def _explain_movers_sql() -> str:
 
 @register(_explain_movers_sql())
 def explain_movers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, s = orders_cells(spark, sf_dir)
+    c, s = orders_cells(spark, sf_dir, "o_orderstatus", "o_orderpriority")
     return rounded(d.movers(c, s, ["o_orderstatus", "o_orderpriority"], {"segment": "AUTOMOBILE"}, {"segment": "MACHINERY"}, 5))
 
 
@@ -320,19 +321,19 @@ _TRACK = f"WITH {sql_dense(sql_cells('events', 'value', VALUE, {'k': YEAR['event
 
 @register(f"{_TRACK} SELECT time, {r9('entropy')} AS entropy, samples, next_time, {r9('drift')} AS drift FROM series")
 def track(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, s = events_cells(spark, sf_dir)
+    c, s = events_cells(spark, sf_dir, "value")
     return rounded(d.track(c, s, "value"))
 
 
 @register(f"{_TRACK} SELECT time, {r9('entropy')} AS entropy, samples, next_time, {r9('drift')} AS drift FROM series WHERE time >= '2024-01-10' AND time < '2024-01-20' UNION ALL SELECT time, {r9('entropy')}, samples, NULL, NULL FROM series WHERE time = '2024-01-20'")
 def track_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, s = events_cells(spark, sf_dir)
+    c, s = events_cells(spark, sf_dir, "value")
     return rounded(d.track(c, s, "value", start="2024-01-10", end="2024-01-20"))
 
 
 @register(f"{_TRACK}, o AS (SELECT drift, row_number() OVER (ORDER BY drift) AS i, count(*) OVER () AS n FROM series WHERE drift IS NOT NULL), q AS (SELECT max(CASE WHEN i = n // 4 + 1 THEN drift END) AS q1, max(CASE WHEN i = n // 2 + 1 THEN drift END) AS q2, max(CASE WHEN i = 3 * n // 4 + 1 THEN drift END) AS q3 FROM o), th AS (SELECT CASE WHEN q3 - q1 < 1e-12 THEN 3 * q2 ELSE q3 + 1.5::DOUBLE * (q3 - q1) END AS threshold FROM q) SELECT time AS time_from, next_time AS time_to, {r9('drift')} AS jsd, {r9('threshold')} AS threshold FROM series, th WHERE drift > threshold AND threshold > 0")
 def track_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, s = events_cells(spark, sf_dir)
+    c, s = events_cells(spark, sf_dir, "value")
     return rounded(d.drift_events(d.track(c, s, "value")))
 
 
@@ -345,31 +346,31 @@ def _show_sql(source: str, column: str, kind, key: str, value: str, tail: str =
 
 @register(_show_sql(ORDERS, "o_orderpriority", PRIORITY, "c_mktsegment", "HOUSEHOLD"))
 def show_cat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, s = orders_cells(spark, sf_dir)
+    c, s = orders_cells(spark, sf_dir, "o_orderpriority")
     return rounded(d.show(c, s, "o_orderpriority", {"segment": "HOUSEHOLD"}))
 
 
 @register(_show_sql("events", "value", VALUE, YEAR["events"], "2024-01-05"))
 def show_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, s = events_cells(spark, sf_dir)
+    c, s = events_cells(spark, sf_dir, "value")
     return rounded(d.show(c, s, "value", {"time": "2024-01-05"}))
 
 
 @register(_show_sql("events", "value", VALUE, YEAR["events"], "2024-01-05", "ORDER BY n DESC, g.cell LIMIT 5"))
 def show_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, s = events_cells(spark, sf_dir)
+    c, s = events_cells(spark, sf_dir, "value")
     return rounded(d.show(c, s, "value", {"time": "2024-01-05"}, top=5))
 
 
 @register(_show_sql("events", "value", VALUE, YEAR["events"], "2024-01-05", "ORDER BY n, g.cell LIMIT 5"))
 def show_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, s = events_cells(spark, sf_dir)
+    c, s = events_cells(spark, sf_dir, "value")
     return rounded(d.show(c, s, "value", {"time": "2024-01-05"}, bottom=5))
 
 
 @register(f"WITH {sql_dense(sql_cells('lineitem', 'l_extendedprice', PRICE, {'k': YEAR['lineitem']}), PRICE)} SELECT k AS value, {r9(ENTROPY)} AS entropy, CAST(any_value(total) AS BIGINT) AS samples FROM g GROUP BY k")
 def rank_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, s = lineitem_cells(spark, sf_dir)
+    c, s = lineitem_cells(spark, sf_dir, "l_extendedprice")
     return rounded(d.rank_entropy(c, s, "l_extendedprice", "time"))
 
 
@@ -433,7 +434,7 @@ def _distance_sql(metric: str, kind) -> str:
 for _metric in ("jsd", "hellinger", "psi", "wasserstein"):
 
     def _pairwise(spark: SparkSession, sf_dir: str, metric: str = _metric) -> DataFrame:
-        c, s = lineitem_cells(spark, sf_dir)
+        c, s = lineitem_cells(spark, sf_dir, "l_quantity")
         return rounded(d.pairwise(c, s, "l_quantity", "time", metric), 8)
 
     QUERIES[f"pairwise_{_metric}"] = _pairwise
@@ -442,7 +443,7 @@ for _metric in ("jsd", "hellinger", "psi", "wasserstein"):
 for _metric in ("jsd", "hellinger", "psi"):
 
     def _nearest(spark: SparkSession, sf_dir: str, metric: str = _metric) -> DataFrame:
-        c, s = events_cells(spark, sf_dir)
+        c, s = events_cells(spark, sf_dir, "event_type")
         return rounded(d.nearest(c, s, "event_type", {"time": "2024-01-15"}, "time", 5, metric))
 
     QUERIES[f"nearest_{_metric}"] = _nearest
@@ -451,7 +452,7 @@ for _metric in ("jsd", "hellinger", "psi"):
 
 @register(f"WITH {sql_dense(sql_cells(ORDERS, 'o_orderpriority', PRIORITY, {'k': 'c_mktsegment'}), PRIORITY)}, {FACED}, m AS (SELECT kb, {JSD} AS jsd, any_value(ta) AS ta, any_value(tb) AS tb FROM x WHERE ka = 'AUTOMOBILE' AND kb <> ka GROUP BY kb), e AS (SELECT *, sqrt(greatest(jsd, 1e-12::DOUBLE) * greatest(1 - jsd, 1e-12::DOUBLE) / (ta * tb / (ta + tb))) AS se FROM m) SELECT kb AS value, {r9('jsd')} AS jsd, {r9('greatest(CAST(0 AS DOUBLE), jsd - 1.96::DOUBLE * se)')} AS ci_lower, {r9('least(CAST(1 AS DOUBLE), jsd + 1.96::DOUBLE * se)')} AS ci_upper FROM e")
 def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, s = orders_cells(spark, sf_dir)
+    c, s = orders_cells(spark, sf_dir, "o_orderpriority")
     both = d.across(c, s, "o_orderpriority", "segment").where("value_a = 'AUTOMOBILE'")
     low, high, _ = metrics.confidence(F.col("jsd"), F.col("samples_a"), F.col("samples_b"))
     return rounded(both.select(F.col("value_b").alias("value"), "jsd", low.alias("ci_lower"), high.alias("ci_upper")))
@@ -459,7 +460,7 @@ def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"WITH {sql_dense(sql_cells('lineitem', 'l_quantity', QUANTITY, {'k': YEAR['lineitem']}), QUANTITY)} SELECT k AS time, CAST(j AS INTEGER) AS cell, CAST(sum(round(n * greatest(CAST(0 AS DOUBLE), least({dbl(1.0)} + (j + 1) * {dbl(50 / 7)}, {dbl(1.0)} + g.cell * {dbl(2.5)} + {dbl(2.5)}) - greatest({dbl(1.0)} + j * {dbl(50 / 7)}, {dbl(1.0)} + g.cell * {dbl(2.5)})) / {dbl(2.5)})) AS BIGINT) AS cnt FROM g CROSS JOIN (SELECT range AS j FROM range(7)) r GROUP BY k, j")
 def rebin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, s = lineitem_cells(spark, sf_dir)
+    c, s = lineitem_cells(spark, sf_dir, "l_quantity")
     held = d.dist(c, s, ["time"], variables=["l_quantity"])
     return held.select(F.col("dim_time").alias("time"), F.posexplode(metrics.rebin(F.col("counts"), 1.0, 51.0, 1.0, 51.0, 7)).alias("cell", "cnt"))
 
@@ -504,26 +505,11 @@ _PART_TEXT = "SELECT '{0}', CASE WHEN count(DISTINCT {0}) > 50 THEN 'dimension'
 
 @register(" UNION ALL ".join([*(_PART_SQL.format(c) for c in ("p_partkey", "p_size", "p_retailprice")), *(_PART_TEXT.format(c) for c in ("p_name", "p_brand", "p_type"))]))
 def infer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = ingest.infer_schema(table(spark, sf_dir, "part"), sample_size=1_000_000)
+    s = ingest.infer_schema(table(spark, sf_dir, "part"), sample_size=None)
     rows = [(v.name, type(v.kind).__name__.lower(), v.kind.size, *((v.kind.low, round(v.kind.high, 9)) if isinstance(v.kind, Continuous) else (None, None))) for v in s.variables]
     return spark.createDataFrame(rows + [(x.name, "dimension", 0, None, None) for x in s.dimensions], "name string, kind string, size bigint, low double, high double")
 
 
-@register(f"SELECT 'o_orderstatus' AS variable, time AS dim_time, cell, cnt FROM ({sql_cells('orders', 'o_orderstatus', ORDER_STATUS, {'time': YEAR['orders']})}) s")
-def delta_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three ingests of rows beyond the mark of the one before."""
-    s = one("o_orderstatus", ORDER_STATUS, "o_orderdate", "yearly")
-    o = table(spark, sf_dir, "orders")
-    return ingest.added(*(ingest.cells(o.where(w), s) for w in ("o_orderkey <= 1000", "o_orderkey > 1000 and o_orderkey <= 5000", "o_orderkey > 5000")))
-
-
-@register(f"WITH b AS ({sql_cells('orders', 'o_orderstatus', ORDER_STATUS, {'time': YEAR['orders']}, 'o_totalprice < 250000')}), a AS ({sql_cells('orders', 'o_orderstatus', ORDER_STATUS, {'time': YEAR['orders']})}) SELECT 'o_orderstatus' AS variable, a.time AS dim_time, a.cell, CAST(coalesce(b.cnt, 0) AS BIGINT) AS cnt_before, a.cnt AS cnt_after FROM a LEFT JOIN b ON a.time = b.time AND a.cell = b.cell WHERE coalesce(b.cnt, 0) <> a.cnt")
-def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = one("o_orderstatus", ORDER_STATUS, "o_orderdate", "yearly")
-    o = table(spark, sf_dir, "orders")
-    return d.changes(ingest.cells(o.where("o_totalprice < 250000"), s), ingest.cells(o, s), s)
-
-
 def _database(spark: SparkSession, sf_dir: str):
     from .database import Database
 
@@ -552,7 +538,10 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     db = Database(spark).define_variable("event_type", EVENT).define_variable("value", VALUE).define_dimension("time", "ts", "daily")
     stream = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyframe-stream-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can write to")
+    folder = folder or tempfile.mkdtemp(prefix="tallyframe-stream-")
     ingest_stream(stream, db, f"{folder}/stream-{uuid.uuid4().hex}").awaitTermination()
     return db.cells
 

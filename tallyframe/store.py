@@ -1,8 +1,9 @@
 """A database on disk: Parquet versions of cells and joint cells, and one small file that points at the current one.
 
 Every commit writes a new version folder and then replaces ``meta.json``, so a reader sees the old version or
-the new one, and nothing is overwritten while it is read. One writer at a time. Through Hadoop's file
-system, so paths may be in any store that Spark reads.
+the new one, and nothing is overwritten while it is read. Writers exclude each other for the moment of the
+replacement by a lock file, and one that began from an older version than the current one is refused. Through
+Hadoop's file system, so paths may be in any store that Spark reads.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,22 +21,43 @@ from pyspark.sql import functions as F
 from .schema import Schema
 
 
+#: Of ``meta.json`` and the folders beside it.
+FORMAT = 2
+
+
+class FormatError(ValueError):
+    """The database was written by a later release."""
+
+
+class Conflict(RuntimeError):
+    """Another writer was faster, or holds the lock."""
+
+
 @dataclass
 class Meta:
     schema: Schema
     version: str = ""
     batches: dict[str, int] = field(default_factory=dict)  # of each stream, the last batch that is in
-    marks: dict[str, int] = field(default_factory=dict)  # of each source, the rows that were read
+    marks: dict[str, str | None] = field(default_factory=dict)  # of each source, the highest value of its order that was read, as text
     raw_log: bool = False
     snapshots: list[tuple[str, float]] = field(default_factory=list)
+    seen: dict[str, str] = field(default_factory=dict)  # of each source, where its rows at the mark are listed
+    raws: list[str] = field(default_factory=list)  # folders of the raw log
 
     def to_json(self) -> str:
-        return json.dumps({"schema": json.loads(self.schema.to_json()), "version": self.version, "batches": self.batches, "marks": self.marks, "raw_log": self.raw_log, "snapshots": self.snapshots})
+        rest = {k: getattr(self, k) for k in ("version", "batches", "marks", "raw_log", "snapshots", "seen", "raws")}
+        return json.dumps({"format": FORMAT, "schema": json.loads(self.schema.to_json()), **rest})
 
     @classmethod
     def from_json(cls, text: str) -> Meta:
         raw = json.loads(text)
-        return cls(Schema.from_json(json.dumps(raw["schema"])), raw["version"], raw["batches"], raw["marks"], raw["raw_log"], [tuple(s) for s in raw["snapshots"]])
+        if raw.get("format", 1) > FORMAT:
+            raise FormatError(f"format {raw['format']} is later than {FORMAT}")
+        marks = {k: None if v is None else str(v) for k, v in raw["marks"].items()}
+        return cls(Schema.from_json(json.dumps(raw["schema"])), raw["version"], raw["batches"], marks, raw["raw_log"], [tuple(s) for s in raw["snapshots"]], raw.get("seen", {}), raw.get("raws", []))
+
+    def copy(self) -> Meta:
+        return Meta.from_json(self.to_json())
 
 
 class Store:
@@ -56,7 +80,27 @@ class Store:
         finally:
             stream.close()
 
-    def write_meta(self, meta: Meta) -> None:
+    @contextmanager
+    def _locked(self) -> Iterator[None]:
+        lock = self._path("meta.lock")
+        self._fs.mkdirs(self._path(""))
+        try:
+            self._fs.create(lock, False).close()
+        except Exception as e:
+            raise Conflict(f"another writer holds {lock.toString()}; delete it if there is none") from e
+        try:
+            yield
+        finally:
+            self._fs.delete(lock, False)
+
+    def write_meta(self, meta: Meta, after: str | None = None) -> None:
+        """``after``: the version that the change began from, if it has to be the current one still."""
+        with self._locked():
+            if after is not None and self.exists() and self.read_meta().version != after:
+                raise Conflict("the database was changed meanwhile")
+            self._replace(meta)
+
+    def _replace(self, meta: Meta) -> None:
         """Written aside, then renamed over the old one."""
         aside, real = self._path(f".meta-{uuid.uuid4().hex}"), self._path("meta.json")
         self._fs.mkdirs(self._path(""))
@@ -73,13 +117,36 @@ class Store:
     def read(self, meta: Meta, table: str) -> DataFrame | None:
         return self.spark.read.parquet(f"{self.path}/{meta.version}/{table}") if meta.version else None
 
-    def commit(self, meta: Meta, cells: DataFrame, joints: DataFrame, versions: DataFrame) -> None:
-        version = f"v-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+    def commit(self, meta: Meta, cells: DataFrame, joints: DataFrame, versions: DataFrame, raw: DataFrame | None = None, seen: tuple[str, DataFrame] | None = None) -> None:
+        """Write a version and point at it; ``meta`` is changed only by that. Folders of a commit that failed are never read."""
+        began, version = meta.version, f"v-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
         for name, df in (("cells", cells), ("joint_cells", joints), ("versions", versions)):
             writer = df.write.option("compression", "zstd")
             (writer.partitionBy("variable") if name == "cells" else writer).parquet(f"{self.path}/{version}/{name}")
-        meta.version = version
-        self.write_meta(meta)
+        new = meta.copy()
+        if raw is not None:
+            raw.write.json(f"{self.path}/raw/{version}")
+            new.raws.append(f"raw/{version}")
+        if seen is not None:
+            seen[1].write.option("compression", "zstd").parquet(f"{self.path}/seen/{version}")
+            new.seen[seen[0]] = f"seen/{version}"
+        new.version = version
+        self.write_meta(new, after=began)
+        meta.__dict__.update(new.__dict__)
+
+    def read_seen(self, meta: Meta, source: str) -> DataFrame | None:
+        return self.spark.read.parquet(f"{self.path}/{meta.seen[source]}") if source in meta.seen else None
+
+    def read_raw(self, meta: Meta) -> DataFrame | None:
+        return self.spark.read.json([f"{self.path}/{x}" for x in meta.raws]) if meta.raws else None
+
+    def forget(self, meta: Meta, keep: int = 2) -> int:
+        """Remove the folders of all versions but the last ``keep``; returns how many. For when no reader uses older ones."""
+        found = sorted(x.getPath().getName() for x in self._fs.listStatus(self._path("")) if x.getPath().getName().startswith("v-"))
+        old = [x for x in found if x <= meta.version][:-keep]
+        for name in old:
+            self._fs.delete(self._path(name), True)
+        return len(old)
 
     def append_snapshot(self, meta: Meta, cells: DataFrame) -> None:
         name = f"snapshots/s-{len(meta.snapshots) + 1:06d}"
@@ -92,6 +159,3 @@ class Store:
             one = self.spark.read.parquet(f"{self.path}/{name}").withColumns({"snapshot": F.lit(i + 1), "taken_at": F.timestamp_seconds(F.lit(taken))})
             out = one if out is None else out.unionByName(one)
         return out
-
-    def append_raw(self, df: DataFrame) -> None:
-        df.write.mode("append").json(f"{self.path}/raw")

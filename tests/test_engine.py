@@ -12,80 +12,97 @@ from tallyframe.operators import distributions as d
 from tallyframe.operators import ingest as g
 from tallyframe.schema import Categorical, Continuous, Schema, SchemaError
 from tallyframe.sources import readers
+from tallyframe.store import Conflict, FormatError, Meta
 from tallyframe.streaming import ingest_stream
-
-NOTES = """sentiment_score,political_leaning,topic_label,created_at
-0.8,right,russia-ukraine,2024-01-05
-0.2,center,russia-ukraine,2024-01-12
--0.4,left,climate-change,2024-01-09
--0.3,left,climate-change,2024-02-10
-0.7,right,russia-ukraine,2024-02-11
-0.1,center,climate-change,2024-02-22
+from tests.test_metrics import h, hellinger, jsd, kl, wasserstein
+
+#: Eight readings at two sites; 0.4 and -0.2 stand where a bin's edge and its floating-point value part.
+READINGS = """reading,sky,place,day
+0.6,rain,north,2023-06-01
+-0.2,cloud,north,2023-06-02
+0.6,rain,north,2023-07-09
+0.95,clear,north,2023-07-20
+-0.2,cloud,south,2023-06-11
+-0.75,cloud,south,2023-06-30
+-0.75,clear,south,2023-07-02
+0.4,cloud,south,2023-07-31
 """
-LEANING = Categorical(("center", "left", "right"))
+SKY = Categorical(("clear", "cloud", "rain"))
 
 
 @pytest.fixture
-def notes(tmp_path):
-    (tmp_path / "notes.csv").write_text(NOTES)
-    return str(tmp_path / "notes.csv")
+def readings(tmp_path):
+    (tmp_path / "readings.csv").write_text(READINGS)
+    return str(tmp_path / "readings.csv")
 
 
 def defined(db):
-    return db.define_variable("sentiment", Continuous(10, (-1.0, 1.0))).define_variable("leaning", LEANING).define_dimension("topic", "topic_label").define_joint("sentiment", "leaning")
+    return db.define_variable("reading", Continuous(10, (-1.0, 1.0))).define_variable("sky", SKY).define_dimension("site", "place").define_joint("reading", "sky")
+
+
+MAPPING = {"reading": "reading", "sky": "sky", "site": "place"}
+#: Counts by hand: of readings in bins of 0.2 from -1 on, and of skies.
+NORTH, SOUTH = [0, 0, 0, 0, 1, 0, 0, 0, 2, 1], [0, 2, 0, 0, 1, 0, 1, 0, 0, 0]
+NORTH_SKY, SOUTH_SKY = [1, 1, 2], [1, 3, 0]
 
 
-MAPPING = {"sentiment": "sentiment_score", "leaning": "political_leaning", "topic": "topic_label"}
+def known(a, b):
+    """The distances of two counts, by plain Python."""
+    return jsd(a, b, 4, 4), kl(a, b, 4, 4), kl(b, a, 4, 4), hellinger(a, b, 4, 4)
 
 
-def test_six_rows(spark, notes, tmp_path):
+def test_eight_rows(spark, readings, tmp_path):
     with defined(Database(spark, str(tmp_path / "db"))) as db:
-        report = db.ingest_file(notes, MAPPING)
-        assert (report.total_rows, report.processed, report.skipped, report.distributions_updated) == (6, 6, 0, 4)
-        a, b = {"topic": "russia-ukraine"}, {"topic": "climate-change"}
-        r = d.compare(db.cells, db.schema, "sentiment", a, b).first()
-        assert r["jsd"] == pytest.approx(2 / 3, abs=1e-12) and r["kl_a_to_b"] == pytest.approx(22.1461872997, abs=1e-9) and r["psi"] == pytest.approx(44.2923745994, abs=1e-9)
-        assert r["hellinger"] == pytest.approx(0.8164965809, abs=1e-9) and r["wasserstein"] == pytest.approx(0.8) and r["entropy_a"] == pytest.approx(math.log2(3))
-        assert (r["ci_lower"], r["ci_upper"], r["sufficient_samples"]) == (pytest.approx(0), pytest.approx(1), False)
-        r = d.compare(db.cells, db.schema, "leaning", a, b).first()
-        assert r["jsd"] == pytest.approx(2 / 3) and r["kl_b_to_a"] == pytest.approx(22.8128539660, abs=1e-9) and r["wasserstein"] is None
-        counts = {x["dim_topic"]: x["counts"] for x in d.dist(db.cells, db.schema, ["topic"], variables=["sentiment"]).collect()}
-        assert [i for i, n in enumerate(counts["russia-ukraine"]) if n] == [5, 8, 9] and [i for i, n in enumerate(counts["climate-change"]) if n] == [2, 3, 5]
-        table = db.query("COMPARE sentiment BETWEEN topic:russia-ukraine AND topic:climate-change")
-        assert table.to_dicts()[0] == {"Metric": "JSD", "Value": "0.666667"} and table.rows[-1] == ["Wasserstein", "0.800000"]
+        report = db.ingest_file(readings, MAPPING)
+        assert (report.total_rows, report.processed, report.skipped, report.distributions_updated) == (8, 8, 0, 4)
+        a, b = {"site": "north"}, {"site": "south"}
+        counts = {x["dim_site"]: x["counts"] for x in d.dist(db.cells, db.schema, ["site"], variables=["reading"]).collect()}
+        assert counts == {"north": NORTH, "south": SOUTH}
+        r = d.compare(db.cells, db.schema, "reading", a, b).first()
+        want = known(NORTH, SOUTH)
+        assert r["jsd"] == pytest.approx(0.75, abs=1e-12) and r["hellinger"] == pytest.approx(math.sqrt(0.75)) and r["entropy_a"] == pytest.approx(1.5)
+        assert (r["jsd"], r["kl_a_to_b"], r["kl_b_to_a"], r["hellinger"]) == pytest.approx(want) and r["psi"] == pytest.approx(want[1] + want[2])
+        assert r["wasserstein"] == pytest.approx(wasserstein(NORTH, SOUTH, 4, 4, 0.2)) and (r["ci_upper"], r["sufficient_samples"]) == (pytest.approx(1), False)
+        r = d.compare(db.cells, db.schema, "sky", a, b).first()
+        assert (r["jsd"], r["kl_a_to_b"], r["kl_b_to_a"], r["hellinger"]) == pytest.approx(known(NORTH_SKY, SOUTH_SKY)) and r["wasserstein"] is None
+        table = db.query("COMPARE reading BETWEEN site:north AND site:south")
+        assert table.to_dicts()[0] == {"Metric": "JSD", "Value": "0.750000"} and table.rows[-1] == ["Wasserstein", f"{wasserstein(NORTH, SOUTH, 4, 4, 0.2):.6f}"]
     again = Database(spark, str(tmp_path / "db"), mode="ro")
-    assert again.query("COMPARE sentiment BETWEEN topic:russia-ukraine AND topic:climate-change").to_csv() == table.to_csv()
+    assert again.query("COMPARE reading BETWEEN site:north AND site:south").to_csv() == table.to_csv()
     with pytest.raises(ReadOnly):
         again.define_variable("x", Continuous(2))
 
 
-def test_every_statement_answers(spark, notes):
+def test_every_statement_answers(spark, readings):
     db = defined(Database(spark))
-    db.ingest_file(notes, MAPPING)
-    movers = db.query("COMPARE leaning BETWEEN topic:russia-ukraine AND topic:climate-change").rows
-    assert ["--- Top Movers ---", ""] in movers and movers[-1][0] == "center"
-    assert db.query("COMPARE leaning ACROSS topic").rows == [["climate-change", "russia-ukraine", "0.666667", "0.816497", "45.625708", "3 vs 3"]]
-    ex = db.query("EXPLAIN topic:russia-ukraine VS topic:climate-change").rows
-    assert ex[0][:3] == ["TOTAL", "1.333333", "100.0%"] and ex[1][2] == "50.0%"
-    show = db.query("SHOW leaning AT topic:russia-ukraine TOP 1").rows
-    assert show[1:3] == [["Samples", "3"], ["Version", "1"]] and show[4][0] == "right" and show[4][1].endswith("#" * 26)
-    assert db.query("RANK leaning BY ENTROPY OVER topic").rows[0][:3] == ["climate-change", "0.9183 bits", "3"]
-    mi = dict(db.query("MI leaning, sentiment AT topic:russia-ukraine").rows)
-    assert mi["MI"] == "0.9183 bits" and mi["NMI"] == "1.0000" and mi["Strength"] == "strong"
-    assert db.query("CMI leaning sentiment GIVEN topic").rows[0][1] == "0.9183 bits"
-    assert len(db.query("CORRELATIONS OVER topic LIMIT 1")) == 1 and db.query("CORRELATIONS").rows[0][0] == "leaning × sentiment"
-    assert db.query("PAIRWISE topic ON leaning").rows[0] == ["climate-change", "—", "0.6667"]
-    assert db.query("NEAREST topic:climate-change ON topic USING hellinger").rows == [["russia-ukraine", "0.816497"]]
-    assert db.query("STATS").rows == [["Distributions", "4"], ["Total samples", "12"], ["Variables", "2"], ["Dimensions", "1"]]
-    assert len(db.query("SCHEMA")) == 4 and db.query("DIMENSIONS").rows == [["topic", "2 values"]]
-    assert db.query("DIMENSIONS topic").rows == [["climate-change"], ["russia-ukraine"]]
-    out = db.query("EXPORT DIMENSIONS topic AS JSON")
-    assert json.loads(out.rows[0][0]) == [{"topic": "climate-change"}, {"topic": "russia-ukraine"}]
-    for bad in ("COMPARE leaning BETWEEN topic:none AND topic:climate-change", "SHOW leaning AT topic:none", "EXPLAIN topic:none VS topic:climate-change"):
+    db.ingest_file(readings, MAPPING)
+    j, ab, ba, hell = known(NORTH_SKY, SOUTH_SKY)
+    movers = db.query("COMPARE sky BETWEEN site:north AND site:south").rows
+    assert ["--- Top Movers ---", ""] in movers and [x[0] for x in movers[-3:]] == ["cloud", "rain", "clear"]
+    assert db.query("COMPARE sky ACROSS site").rows == [["north", "south", f"{j:.6f}", f"{hell:.6f}", f"{ab + ba:.6f}", "4 vs 4"]]
+    ex = db.query("EXPLAIN site:north VS site:south").rows
+    assert ex[0][:3] == ["TOTAL", f"{j + 0.75:.6f}", "100.0%"] and ex[1][:3] == ["reading", "0.750000", f"{75 / (j + 0.75):.1f}%"]
+    show = db.query("SHOW sky AT site:north TOP 1").rows
+    assert show[1:3] == [["Samples", "4"], ["Version", "1"]] and show[4][0] == "rain" and show[4][1].endswith(" " + "#" * 20)
+    assert db.query("RANK sky BY ENTROPY OVER site").rows[0][:3] == ["north", "1.5000 bits", "4"]
+    # at the north a bin has one sky; at the south one bin of three has two
+    mi = dict(db.query("MI sky, reading AT site:north").rows)
+    assert mi["MI"] == "1.5000 bits" and mi["NMI"] == "1.0000" and mi["Strength"] == "strong"
+    south = h(SOUTH, 4) + h(SOUTH_SKY, 4) - h([1, 1, 1, 1], 4)
+    assert db.query("CMI sky reading GIVEN site").rows[0][1] == f"{(1.5 + south) / 2:.4f} bits"
+    assert len(db.query("CORRELATIONS OVER site LIMIT 1")) == 1 and db.query("CORRELATIONS").rows[0][0] == "reading × sky"
+    assert db.query("PAIRWISE site ON sky").rows[0] == ["north", "—", f"{j:.4f}"]
+    assert db.query("NEAREST site:south/variable:sky ON site USING hellinger").rows == [["north", f"{hell:.6f}"]]
+    assert db.query("STATS").rows == [["Distributions", "4"], ["Total samples", "16"], ["Variables", "2"], ["Dimensions", "1"]]
+    assert len(db.query("SCHEMA")) == 4 and db.query("DIMENSIONS").rows == [["site", "2 values"]]
+    assert db.query("DIMENSIONS site").rows == [["north"], ["south"]]
+    out = db.query("EXPORT DIMENSIONS site AS JSON")
+    assert json.loads(out.rows[0][0]) == [{"site": "north"}, {"site": "south"}]
+    for bad in ("COMPARE sky BETWEEN site:none AND site:south", "SHOW sky AT site:none", "EXPLAIN site:none VS site:south"):
         with pytest.raises(d.NotFound):
             db.query(bad)
     with pytest.raises(SchemaError):
-        db.query("PAIRWISE topic ON leaning USING nope")
+        db.query("PAIRWISE site ON sky USING nope")
 
 
 def test_cells_at_the_edges(spark):
@@ -155,11 +172,61 @@ def test_store_versions_snapshots_and_delta(spark, tmp_path):
     assert db.ingest_delta(source, "id").processed == 2 and db.ingest_delta(source, "id").processed == 0
     again = Database(spark, str(tmp_path / "db"))
     assert again.query("SHOW v AT t:x").rows[1:3] == [["Samples", "3"], ["Version", "2"]]
-    assert again.snapshots().agg(F.sum("cnt")).first()[0] == 2 and spark.read.json(str(tmp_path / "db/raw")).count() == 4
+    assert again.snapshots().agg(F.sum("cnt")).first()[0] == 2 and again.store.read_raw(again.meta).count() == 4
     again.update_cells(spark.createDataFrame([("v", "y", 1, 5)], "variable string, dim_t string, cell int, cnt bigint"))
     assert again.query("SHOW v AT t:y").rows[1] == ["Samples", "6"] and again.snapshots().select("snapshot").distinct().count() == 2
 
 
+def test_a_failed_ingest_changes_nothing(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([("a", "x"), ("b", "y")], "w string, u string")
+    for path in (None, str(tmp_path / "db")):
+        db = Database(spark, path, raw_log=bool(path)).define_variable("v", Categorical(("a", "b"))).define_dimension("t")
+        broken = db.store if path else db
+        with monkeypatch.context() as m:
+            m.setattr(broken, "write_meta" if path else "_held", lambda *a, **k: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                db.ingest(df, {"v": "w", "t": "u"}, stream=("s", 3))
+        assert db.meta.batches == {} and db._tables() is None
+        assert db.ingest(df, {"v": "w", "t": "u"}, stream=("s", 3)).processed == 2 and db.ingest(df, {"v": "w", "t": "u"}, stream=("s", 3)).processed == 0
+    # the log has the whole rows, dimensions too, once, though the first try had written them
+    assert sorted(map(tuple, db.store.read_raw(db.meta).select("w", "u").collect())) == [("a", "x"), ("b", "y")]
+
+
+@pytest.mark.parametrize("stored", [False, True])
+def test_delta_at_the_mark(spark, tmp_path, stored):
+    """Rows with the mark's value, equal rows and rows without a value, of a type finer than seconds."""
+    source, kind = str(tmp_path / "in.parquet"), "id string, v string, t string"
+
+    def add(*rows):
+        spark.createDataFrame(rows, kind).select(F.col("id").cast("timestamp").alias("id"), "v", "t").write.mode("append").parquet(source)
+
+    db = Database(spark, str(tmp_path / "db") if stored else None).define_variable("v", Categorical(("a", "b"))).define_dimension("t")
+    add(("2024-01-01 00:00:00.25", "a", "x"), (None, "a", "x"))
+    assert db.ingest_delta(source, "id").processed == 2
+    add(("2024-01-01 00:00:00.25", "a", "x"), ("2024-01-01 00:00:00.25", "b", "x"), (None, "a", "x"), ("2024-01-01 00:00:00.5", "b", "x"))
+    assert db.ingest_delta(source, "id").processed == 4 and db.ingest_delta(source, "id").processed == 0
+    add((None, "b", "x"))
+    assert db.ingest_delta(source, "id").processed == 1 and db.query("SHOW v AT t:x").rows[1] == ["Samples", "7"]
+
+
+def test_writers_and_formats(spark, tmp_path):
+    df = spark.createDataFrame([("a", "x")], "v string, t string")
+    one = Database(spark, str(tmp_path / "db")).define_variable("v", Categorical(("a", "b"))).define_dimension("t")
+    one.ingest(df)
+    two = Database(spark, str(tmp_path / "db"))
+    two.ingest(df)
+    with pytest.raises(Conflict):
+        one.ingest(df)
+    assert Database(spark, str(tmp_path / "db")).query("SHOW v AT t:x").rows[1] == ["Samples", "2"]
+    two.ingest(df)
+    assert two.store.forget(two.meta, keep=1) >= 1 and two.query("SHOW v AT t:x").rows[1] == ["Samples", "3"]
+    (tmp_path / "db/meta.lock").write_text("")
+    with pytest.raises(Conflict):
+        two.ingest(df)
+    with pytest.raises(FormatError):
+        Meta.from_json('{"format": 99}')
+
+
 def test_stream_equals_batch_and_replays_once(spark, tmp_path):
     r = random.Random(1)
     rows = [(r.choice("abc"), r.uniform(0, 10), r.choice(["p", "q"])) for _ in range(300)]
@@ -201,7 +268,7 @@ def test_inner_group_structure(spark):
     assert d.pairwise_matrix(cells, s, "x", "topic").columns == ["value", "t0", "t1", "t2", "t3", "t4"]
 
 
-def test_server_and_tools(spark, notes, tmp_path):
+def test_server_and_tools(spark, readings, tmp_path):
     from tallyframe.server import answer
     from tallyframe.tools import Tools
 
@@ -214,10 +281,10 @@ def test_server_and_tools(spark, notes, tmp_path):
     with pytest.raises(ValueError, match="open"):
         tools.call("query", q="STATS")
     tools.call("create_database", path=str(tmp_path / "db"))
-    assert json.loads(tools.call("ingest_file", path=notes))["processed"] == 6
+    assert json.loads(tools.call("ingest_file", path=readings))["processed"] == 8
     assert "PAIRWISE" in tools.call("help") and len(tools.names()) == 8
-    assert {r["Name"] for r in json.loads(tools.call("schema"))} == {"sentiment_score", "political_leaning", "topic_label", "created_at"}
-    assert json.loads(tools.call("list_dimensions"))[0]["Dimension"] == "created_at"
+    assert {r["Name"] for r in json.loads(tools.call("schema"))} == {"reading", "sky", "place", "day"}
+    assert json.loads(tools.call("list_dimensions"))[0]["Dimension"] == "day"
     tools.call("open_database", path=str(tmp_path / "db"))
     with pytest.raises(ReadOnly):
-        tools.call("ingest_file", path=notes)
+        tools.call("ingest_file", path=readings)
