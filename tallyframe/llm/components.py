@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import staged
@@ -16,13 +16,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = staged(edges.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(max_rounds):
-        # large star: of each node, its greater neighbours go to its least one
+        # least neighbours are sums made before the shuffle, and joined back: a node of any degree is no task of its own
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = both.withColumn("low", F.least(F.min("b").over(Window.partitionBy("a")), F.col("a")))
-        large = near.where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        # large star: of each node, its greater neighbours go to its least one
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
+        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         # small star: of each node, its smaller neighbours and itself go to its least one
-        near = large.withColumn("low", F.min("b").over(Window.partitionBy("a")))
-        small = near.select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        small = large.join(low, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b"))).distinct()
         edges = staged(small)
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
         if now == before:
