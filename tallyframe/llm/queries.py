@@ -73,15 +73,17 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_edits() -> Column:
-    """Three edits of every document, at places that follow from its id: a replacement, an insertion and a deletion."""
+    """Four edits of every kept document, at places that follow from its id: a replacement, an insertion, a deletion, and a tenth of the text made new."""
 
     def at(key: str) -> Column:
-        return F.coalesce(F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(key)).cast("binary")), F.lit(0)) % (F.coalesce(F.length("text"), F.lit(0)) + 1)
+        return F.coalesce(F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(key)).cast("binary")), F.lit(0)) % (F.col("n_chars") + 1)
 
-    def one(start: Column, length: int, text: str) -> Column:
-        return F.struct(start.cast("bigint").alias("start"), F.lit(length).cast("bigint").alias("length"), F.lit(text).alias("text"))
+    def one(start: Column, length: Column | int, text: Column | str) -> Column:
+        length, text = (x if isinstance(x, Column) else F.lit(x) for x in (length, text))
+        return F.struct(start.cast("bigint").alias("start"), length.cast("bigint").alias("length"), text.alias("text"))
 
-    return F.array(one(at("a"), 7, " revised 2024 "), one(at("b"), 0, "'s \n"), one(at("c"), 3, ""))
+    tenth = F.floor(F.col("n_chars") / 10)
+    return F.array(one(at("a"), 7, " revised 2024 "), one(at("b"), 0, "'s \n"), one(at("c"), 3, ""), one(at("d"), tenth, F.expr("repeat(' a new line,\n', cast(n_chars div 130 as int))")))
 
 
 @query

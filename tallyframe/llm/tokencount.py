@@ -1,7 +1,8 @@
 """Token counts (operator 9) that follow edits.
 
-A document is kept as its pre-tokens, in leaves under a segment tree of (characters, tokens) sums.
-Pre-tokens are found left to right without memory, each looking at most two characters past its
+A document is kept, in a table of trees, as its text, the lengths and token counts of its pre-tokens, and their leaves, over
+which stands a segment tree of (characters, tokens) sums. Edits come later, to the kept trees: only the
+leaves that they touch are opened. Pre-tokens are found left to right without memory, each looking at most two characters past its
 end. So after an edit, counting starts anew at the first pre-token that could see the edit, and
 stops where a new pre-token ends at an old boundary behind it; leaves that were touched, and the sums above
 them, are updated, and nothing else is tokenized again.
@@ -17,13 +18,14 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small_batches
+from .scratch import small_batches, staged
 
 #: Pre-tokens in a leaf when built, and from how many on the leaves are dealt anew.
 LEAF, FULL = 64, 256
@@ -51,28 +53,67 @@ class Counter(dict):
         return n
 
 
+class Leaf:
+    """A run of pre-tokens. Until an edit touches it, it is a range of its document's kept arrays and text."""
+
+    __slots__ = ("parts", "counts", "first", "last", "begin", "chars", "tokens")
+
+    def __init__(self, parts: list[str] | None, counts: list[int] | None, first: int, last: int, begin: int, chars: int, tokens: int):
+        self.parts, self.counts, self.first, self.last, self.begin, self.chars, self.tokens = parts, counts, first, last, begin, chars, tokens
+
+    @classmethod
+    def of(cls, parts: list[str], counts: list[int]) -> Leaf:
+        return cls(parts, counts, 0, 0, 0, sum(map(len, parts)), sum(counts))
+
+
 class TokenTree:
-    """One document. ``tokens`` is its count; ``encoded`` the number of pre-tokens that were ever tokenized."""
+    """One document. ``encoded``: the number of pre-tokens that were tokenized since it was made or read.
 
-    def __init__(self, text: str, counter: Counter):
-        self.counter = counter
-        found = counter.pattern.findall(text)
-        self.encoded = len(found)
-        self._deal([found[i : i + LEAF] for i in range(0, len(found), LEAF)])
+    text, lens, counts: of all pre-tokens as kept; sizes: of the leaves, in pre-tokens."""
 
-    def _deal(self, leaves: list[list[str]]) -> None:
-        self.leaves = leaves or [[]]
+    def __init__(self, text: str, lens: np.ndarray, counts: np.ndarray, sizes: np.ndarray, counter: Counter):
+        self.counter, self.kept, self.lens, self.counts, self.encoded = counter, text, lens, counts, 0
+        ends = np.cumsum(sizes)
+        chars, tokens = (np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([[0], ends])]).tolist() for x in (lens, counts))
+        begins = np.concatenate([[0], np.cumsum(chars)]).tolist()
+        self.leaves = [Leaf(None, None, e - n, e, x, c, t) for e, n, x, c, t in zip(ends.tolist(), sizes.tolist(), begins, chars, tokens, strict=False)]
+        self._grow()
+
+    @classmethod
+    def build(cls, text: str, counter: Counter) -> TokenTree:
+        """Tokenizes a whole text."""
+        found = counter.pattern.findall(text)
+        n = len(found)
+        lens, counts = np.fromiter(map(len, found), np.int64, n), np.fromiter(map(counter.__getitem__, found), np.int64, n)
+        tree = cls(text, lens, counts, np.full(-(-n // LEAF), LEAF) if n % LEAF == 0 else np.append(np.full(n // LEAF, LEAF), n % LEAF), counter)
+        tree.encoded = n
+        return tree
+
+    def rows(self) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        """What is to be kept: text, lens, counts, sizes. Untouched leaves are copied as they are."""
+        lens, counts, sizes = [], [], []
+        for leaf in self.leaves:
+            if leaf.parts is None:
+                lens.append(self.lens[leaf.first : leaf.last])
+                counts.append(self.counts[leaf.first : leaf.last])
+            else:
+                lens.append(np.fromiter(map(len, leaf.parts), np.int64, len(leaf.parts)))
+                counts.append(np.array(leaf.counts, dtype=np.int64))
+            sizes.append(len(lens[-1]))
+        none = np.zeros(0, np.int64)
+        return self.text(), np.concatenate([none, *lens]), np.concatenate([none, *counts]), np.array(sizes, dtype=np.int64)
+
+    def _grow(self) -> None:
+        """The sums over the leaves, of which there is one at least; no pre-token is looked at."""
+        if not self.leaves:
+            self.leaves = [Leaf.of([], [])]
         self.base = 1 << (len(self.leaves) - 1).bit_length()
-        self.chars, self.sums = [0] * 2 * self.base, [0] * 2 * self.base
-        for i in range(len(self.leaves)):
-            self._leaf(i)
+        rest = [0] * (self.base - len(self.leaves))
+        self.chars = [0] * self.base + [x.chars for x in self.leaves] + rest
+        self.sums = [0] * self.base + [x.tokens for x in self.leaves] + rest
         for i in range(self.base - 1, 0, -1):
             self._sum(i)
 
-    def _leaf(self, i: int) -> None:
-        self.chars[self.base + i] = sum(map(len, self.leaves[i]))
-        self.sums[self.base + i] = sum(map(self.counter.__getitem__, self.leaves[i]))
-
     def _sum(self, i: int) -> None:
         self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
         self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
@@ -85,15 +126,29 @@ class TokenTree:
     def length(self) -> int:
         return self.chars[1]
 
+    def _text(self, leaf: Leaf) -> str:
+        return "".join(leaf.parts) if leaf.parts is not None else self.kept[leaf.begin : leaf.begin + leaf.chars]
+
     def text(self) -> str:
-        return "".join(t for leaf in self.leaves for t in leaf)
+        return "".join(map(self._text, self.leaves))
+
+    def _open(self, i: int) -> tuple[list[str], list[int]]:
+        """A leaf's pre-tokens and their counts."""
+        leaf = self.leaves[i]
+        if leaf.parts is None:
+            at, leaf.parts = leaf.begin, []
+            for n in self.lens[leaf.first : leaf.last].tolist():
+                leaf.parts.append(self.kept[at : at + n])
+                at += n
+            leaf.counts = self.counts[leaf.first : leaf.last].tolist()
+        return leaf.parts, leaf.counts
 
     def _find(self, at: int) -> tuple[int, int]:
         """The leaf of the character at a place (the last leaf for the end), and where it begins."""
         i, begin = 1, 0
         while i < self.base:
             i *= 2
-            if at >= begin + self.chars[i] and i + 1 - self.base < len(self.leaves) and self.chars[i + 1] or not self._has(i):
+            if at >= begin + self.chars[i] and self._has(i + 1) and (self.chars[i + 1] or not self.chars[i]):
                 begin += self.chars[i]
                 i += 1
         return min(i - self.base, len(self.leaves) - 1), begin
@@ -108,16 +163,18 @@ class TokenTree:
         start = max(0, min(start, self.length))
         end = min(start + max(0, length), self.length)
         first, at = self._find(max(0, start - SIGHT))
-        keep: list[str] = []  # of the first leaf, what cannot see the edit
-        for t in self.leaves[first]:
-            if at + len(t) >= start - SIGHT + 1:
-                break
-            keep.append(t)
-            at += len(t)
-        last, ahead = self._find(end)
+        own, own_counts = self._open(first)
+        head = 0  # of the first leaf, what cannot see the edit
+        while head < len(own) and at + len(own[head]) < start - SIGHT + 1:
+            at += len(own[head])
+            head += 1
+        last = max(first, self._find(end)[0])
         while True:
             # the old text from the first affected pre-token to the end of leaf `last`, and its boundaries
-            old = [*self.leaves[first][len(keep) :], *(t for leaf in self.leaves[first + 1 : last + 1] for t in leaf)]
+            old, counts = own[head:], own_counts[head:]
+            for i in range(first + 1, last + 1):
+                more, more_counts = self._open(i)
+                old, counts = old + more, counts + more_counts
             whole = "".join(old)
             text = whole[: start - at] + new + whole[end - at :]
             ends, shift = {0: 0}, len(new) - (end - start)
@@ -126,14 +183,14 @@ class TokenTree:
                 p += len(t)
                 if p >= end - at:
                     ends[p + shift] = i + 1
-            behind = "".join(self._behind(last, SIGHT + 1))
+            behind = self._behind(last, SIGHT + 1)
             closed = not behind
             fresh, done = [], None
             for m in self.counter.pattern.finditer(text + behind):
                 if m.end() > len(text) or (not closed and m.end() + SIGHT > len(text) + len(behind)):
                     break
                 fresh.append(m[0])
-                if m.end() >= start - at + len(new) and m.end() in ends and (m.end() > 0):
+                if m.end() >= start - at + len(new) and m.end() in ends and m.end() > 0:
                     done = ends[m.end()]
                     break
             else:
@@ -141,32 +198,40 @@ class TokenTree:
                     done = len(old)
             if done is not None:
                 break
-            last = min(last + 1, len(self.leaves) - 1)
-        rest = old[done:]
-        self.leaves[first] = keep + fresh + rest
-        for i in range(first + 1, last + 1):
-            self.leaves[i] = []
+            # as much again, so that a long run of leaves is not gone through leaf by leaf
+            last = min(2 * last - first + 1, len(self.leaves) - 1)
+        parts = own[:head] + fresh + old[done:]
+        counts = own_counts[:head] + [self.counter[t] for t in fresh] + counts[done:]
         self.encoded += len(fresh)
-        if len(self.leaves[first]) > FULL or last > first:
-            flat = [t for leaf in self.leaves for t in leaf]
-            self._deal([flat[i : i + LEAF] for i in range(0, len(flat), LEAF)])
-        else:
-            self._leaf(first)
-            i = (self.base + first) // 2
-            while i:
-                self._sum(i)
-                i //= 2
+        self._replace(first, last, parts, counts)
         return len(fresh)
 
-    def _behind(self, leaf: int, need: int) -> Iterator[str]:
-        """Text after a leaf, at least ``need`` characters if there are as many."""
-        got = 0
+    def _replace(self, first: int, last: int, parts: list[str], counts: list[int]) -> None:
+        """Deals pre-tokens over some leaves, and updates the sums above these only; if they would get too full, there are more leaves."""
+        each = -(-len(parts) // (last - first + 1))
+        if each <= FULL:
+            for i in range(first, last + 1):
+                a = (i - first) * each
+                leaf = self.leaves[i] = Leaf.of(parts[a : a + each], counts[a : a + each])
+                self.chars[self.base + i], self.sums[self.base + i] = leaf.chars, leaf.tokens
+            a, b = (self.base + first) // 2, (self.base + last) // 2
+            while a:
+                for i in range(a, b + 1):
+                    self._sum(i)
+                a, b = a // 2, b // 2
+        else:
+            self.leaves[first : last + 1] = [Leaf.of(parts[a : a + LEAF], counts[a : a + LEAF]) for a in range(0, len(parts), LEAF)]
+            self._grow()
+
+    def _behind(self, leaf: int, need: int) -> str:
+        """Text after a leaf, of ``need`` characters if there are as many."""
+        out = ""
         for own in self.leaves[leaf + 1 :]:
-            for t in own:
-                yield t
-                got += len(t)
-                if got >= need:
-                    return
+            if own.chars:
+                out += self._text(own)[: need - len(out)]
+                if len(out) >= need:
+                    break
+        return out
 
 
 _counters: dict[tuple[str, str], Counter] = {}
@@ -179,28 +244,68 @@ def counter(path: str, pattern: str) -> Counter:
 
 
 EDITS = "array<struct<start:bigint,length:bigint,text:string>>"
+#: A kept tree: its row, the document's id and text, lens, counts and sizes as numbers of four bytes, and its totals.
+TREES = "row bigint, doc_id bigint, text string, lens binary, counts binary, sizes binary, n_chars bigint, n_pretokens bigint, n_tokens bigint"
 
 
-def recount(docs: DataFrame, edits: Column, ranks: str, pattern: str) -> DataFrame:
-    """doc_id, n_chars_after, n_pretokens, n_tokens_before, n_tokens_after, n_recounted of each row of docs (doc_id, text).
+def _kept(row, doc_id, tree: TokenTree) -> tuple:
+    text, lens, counts, sizes = tree.rows()
+    return row, doc_id, text, *(x.astype("<u4").tobytes() for x in (lens, counts, sizes)), len(text), len(lens), tree.tokens
 
-    ``edits``: a column of EDITS. ``n_recounted``: pre-tokens that the edits had tokenized again."""
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    cols = zip(*rows, strict=True) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
+
+
+def build(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """TREES of all rows of docs (doc_id, text), to be kept in a table: ``row`` is fixed by writing it."""
     small_batches(docs.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(ranks, pattern)
+        for batch in batches:
+            rows = zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
+            yield _batch([_kept(row, doc, TokenTree.build(text or "", count)) for row, doc, text in rows], TREES)
+
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return docs.mapInArrow(run, TREES)
+
+
+_CHANGES = "n_tokens_before bigint, n_pretokens_before bigint, n_recounted bigint"
+
+
+def update(trees: DataFrame, edits: Column | DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """The trees after their edits, with n_tokens_before, n_pretokens_before and n_recounted (pre-tokens tokenized for the edits).
+
+    ``edits``: a column of EDITS over the trees' columns; or a table (row, seq, start, length, text) whose edits apply in
+    the order of seq, each to the text as the ones before left it."""
+    small_batches(trees.sparkSession)
+    if isinstance(edits, DataFrame):
+        own = edits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("seq", F.struct("start", "length", "text").alias("e")))).alias("own"))
+        trees = trees.join(own, "row", "left")
+        edits = F.transform("own", lambda x: x["e"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(ranks, pattern)
         for batch in batches:
             rows = []
-            for text, own in zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), strict=True):
-                tree = TokenTree(text or "", count)
-                n, before, again = tree.encoded, tree.tokens, 0
-                for e in own or []:
+            for x in batch.to_pylist():
+                arrays = (np.frombuffer(x[k], dtype="<u4").astype(np.int64) for k in ("lens", "counts", "sizes"))
+                tree = TokenTree(x["text"], *arrays, count)
+                before, again = tree.tokens, 0
+                for e in x["edits"] or []:
                     if e and e["start"] is not None and e["length"] is not None and e["text"] is not None:
                         again += tree.edit(e["start"], e["length"], e["text"])
-                rows.append((tree.length, n, before, tree.tokens, again))
-            cols = zip(*rows, strict=True) if rows else [[]] * 5
-            names = ["n_chars_after", "n_pretokens", "n_tokens_before", "n_tokens_after", "n_recounted"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", *names])
+                rows.append((*_kept(x["row"], x["doc_id"], tree), before, len(x["lens"]) // 4, again))
+            yield _batch(rows, f"{TREES}, {_CHANGES}")
+
+    return trees.select("row", "doc_id", "text", "lens", "counts", "sizes", edits.cast(EDITS).alias("edits")).mapInArrow(run, f"{TREES}, {_CHANGES}")
+
 
-    schema = "doc_id bigint, n_chars_after bigint, n_pretokens bigint, n_tokens_before bigint, n_tokens_after bigint, n_recounted bigint"
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", edits.cast(EDITS).alias("edits")).mapInArrow(run, schema)
+def recount(docs: DataFrame, edits: Column | DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """doc_id, n_chars_after, n_pretokens, n_tokens_before, n_tokens_after, n_recounted of each row of docs: trees are built and kept, then updated."""
+    out = update(staged(build(docs, ranks, pattern)), edits, ranks, pattern)
+    return out.select("doc_id", F.col("n_chars").alias("n_chars_after"), F.col("n_pretokens_before").alias("n_pretokens"), "n_tokens_before", F.col("n_tokens").alias("n_tokens_after"), "n_recounted")

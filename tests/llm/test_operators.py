@@ -484,20 +484,28 @@ def counter():
 
 
 def test_edits_against_counting_anew():
+    """Edits of all sizes, of trees as they are and as they were kept and read; only what is near an edit is tokenized again."""
     r, c = random.Random(3), counter()
     alpha = ["a", "b", "the ", "  ", "\n", "'", "s", "re", "1", "23", "!", "?? ", "é", "日", "\t", "   x", " 's", "'ll", ""]
-    again = whole = 0
+    again = near = 0
     for _ in range(300):
-        text = "".join(r.choice(alpha) for _ in range(r.choice([0, 1, 5, 50, 900])))
-        tree = tokencount.TokenTree(text, c)
+        text = "".join(r.choice(alpha) for _ in range(r.choice([0, 1, 5, 50, 900, 9000])))
+        tree = tokencount.TokenTree.build(text, c)
         for _ in range(5):
-            at, n, new = r.randint(0, len(text) + 2), r.choice([0, 1, 3, 10, 200]), "".join(r.choice(alpha) for _ in range(r.choice([0, 1, 3, 40])))
+            at, n, new = r.randint(0, len(text) + 2), r.choice([0, 1, 3, 10, 200, 3000]), "".join(r.choice(alpha) for _ in range(r.choice([0, 1, 3, 40, 2000])))
+            if r.random() < 0.3:
+                tree = tokencount.TokenTree(*tree.rows(), c)
             text = text[:at] + new + text[at + n :]
-            again += tree.edit(at, n, new)
-            whole += len(c.pattern.findall(text))
+            done = tree.edit(at, n, new)
+            again += done
+            near += len(c.pattern.findall(new))
+            # what is beside the edit is a few pre-tokens, but for a long run of one kind
+            assert done <= len(c.pattern.findall(new)) + 80
             assert tree.text() == text and tree.tokens == len(c.encoding.encode_ordinary(text)) and tree.length == len(text)
-            assert [x for leaf in tree.leaves for x in leaf] == c.pattern.findall(text)
-    assert again < whole / 4
+            kept, lens, counts, sizes = tree.rows()
+            assert kept == text and lens.tolist() == [len(x) for x in c.pattern.findall(text)] and counts.sum() == tree.tokens and sizes.sum() == len(lens)
+            assert tree.chars[1] == sum(x.chars for x in tree.leaves) and max(sizes, default=0) <= tokencount.FULL
+    assert again < 1.2 * near
 
 
 def test_recount(spark):
@@ -506,6 +514,29 @@ def test_recount(spark):
     got = rows_of(tokencount.recount(frame(spark, rows), edits, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
     n = lambda t: len(counter().encoding.encode_ordinary(t))
     assert [(r[0], r[1], r[3], r[4]) for r in got] == [(None, 2, n("x"), n("x!")), (1, 10, n("one two three"), n("one! three")), (1, 10, n("one two three"), n("one! three")), (2, 1, 0, n("!")), (3, 0, 0, 0)]
+    # kept trees, with edits from a table
+    args = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    trees = tokencount.staged(tokencount.build(frame(spark, rows), *args))
+    table = trees.where("doc_id = 1").selectExpr("row", "explode(array(2, 1)) as seq").selectExpr("row", "seq", "if(seq = 1, 0, 3) as start", "if(seq = 1, 4, 1) as length", "if(seq = 1, '', '?!') as text")
+    got = rows_of(tokencount.update(trees, table, *args).select("doc_id", "text", "n_tokens"))
+    assert got == [(None, "x", n("x")), (1, "two?!three", n("two?!three")), (1, "two?!three", n("two?!three")), (2, "", 0), (3, "", 0)]
+
+
+def test_token_counts_of_the_query(spark):
+    """Over the small tables, every edit by slices of the text."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    got = {r["doc_id"]: r for r in queries.op9_token_counts(spark, SF).collect()}
+    n = lambda t: len(counter().encoding.encode_ordinary(t))
+    assert len(got) == len(docs)
+    for x in docs:
+        text = x["text"] or ""
+        size, edits = len(text), []
+        for key, length, new in (("a", 7, " revised 2024 "), ("b", 0, "'s \n"), ("c", 3, ""), ("d", size // 10, " a new line,\n" * (size // 130))):
+            edits.append((zlib.crc32(f"{x['doc_id']}{key}".encode()) % (size + 1), length, new))
+        r, before = got[x["doc_id"]], n(text)
+        for at, length, new in edits:
+            text = text[:at] + new + text[at + length :]
+        assert (r["n_tokens_before"], r["n_tokens_after"], r["n_chars_after"]) == (before, n(text), len(text)) and r["n_recounted"] <= len(counter().pattern.findall("".join(e[2] for e in edits))) + 80
 
 
 # ------------------------------------------------------------------ 10 packing
