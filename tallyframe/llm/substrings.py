@@ -65,7 +65,9 @@ def _anchors(t: w.Words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.
 
 def _cells(anchors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     shift = w.U(64 - bits)
-    return (anchors >> shift).astype(np.int64), (w.mix(anchors ^ w.U(_Q2)) >> shift).astype(np.int64)
+    # an anchor is a least hash, so it is mixed before its high bits are taken
+    one, two = (w.mix(anchors ^ w.U(x)) for x in (w._Q, _Q2))
+    return (one >> shift).astype(np.int64), (two >> shift).astype(np.int64)
 
 
 def sketch(docs: DataFrame, size: int, bits: int) -> np.ndarray:
