@@ -1,15 +1,17 @@
 """Language identification (operator 1): multinomial naive Bayes over hashed character n-grams.
 
 Features are the character bigrams and trigrams of the lower-cased text with all non-letters folded
-to one blank, hashed to ``BUCKETS``. Counts are taken on at most ``per_language`` training documents
-of a language (chosen by a hash of the id) and summed by Spark; the log-probability matrix has
-BUCKETS x languages floats and is broadcast. Whole texts are scored in sparse batches in numpy.
+to one blank, hashed to ``BUCKETS``. Counts are taken on about ``per_language`` training documents
+of a language (each by a hash of its id) and summed by Spark; the log-probability matrix has
+BUCKETS floats for each language. It is broadcast in blocks of ``BLOCK`` languages at most: of more languages, the
+documents are gone through once for each block, and are written in between with the best language so far. Whole
+texts are scored in sparse batches in numpy.
 
 Edge cases: a text that is null, empty or has no letter is ``und`` with score 0; so is every text
 when there is nothing to learn from. Rows of a null language, or a null id, are not learned from.
-Languages with fewer than one letter n-gram are never predicted. ``max_languages`` bounds the
-matrix: the labels with most documents are learned, ties by name. Rows that repeat each get a row;
-other columns are not read.
+Languages with fewer than one letter n-gram are never predicted; every other label is learned. Between equal
+languages the first by name is predicted. Rows that repeat each get a row; texts of any length are scored whole, and
+take some 80 times their size while they are; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,14 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import place
-from .scratch import small_batches
+from .scratch import small_batches, staged
 
 BUCKETS = 1 << 17
 UND = "und"
+#: Languages in one broadcast matrix: 64 MB.
+BLOCK = 128
 #: Characters handled at a time.
 CHUNK = 1 << 20
 _letters: np.ndarray | None = None
@@ -99,56 +103,76 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """names of the languages; matrix: log-probabilities, one row a language; prior."""
+    """names of the languages; matrix: log-probabilities, one row a language; prior. A block of them, or all."""
 
     def __init__(self, names: list[str], matrix: np.ndarray, prior: np.ndarray):
         self.names, self.matrix, self.prior = names, matrix, prior
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def blocks(self, size: int) -> list[Model]:
+        return [Model(self.names[i : i + size], self.matrix[i : i + size], self.prior[i : i + size]) for i in range(0, len(self.names), size)]
+
+    def weigh(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: its n-grams, the best language, its log weight, and the logarithm of the sum of all weights."""
         grams, bounds = _grams(texts)
-        n = np.diff(bounds)
-        if not self.names:
-            return [UND] * len(texts), np.zeros(len(texts))
         z = np.empty((len(self.names), len(texts)))
         for i, row in enumerate(self.matrix):
             sums = np.concatenate([[0.0], np.cumsum(row[grams], dtype=np.float64)])
             z[i] = sums[bounds[1:]] - sums[bounds[:-1]] + self.prior[i]
         best = z.argmax(0)
-        score = 1 / np.exp(np.minimum(z - z.max(0), 0)).sum(0)
-        return [self.names[i] if k else UND for i, k in zip(best, n, strict=True)], np.where(n > 0, score, 0.0)
+        top = z[best, np.arange(len(texts))]
+        return np.diff(bounds), best, top, top + np.log(np.exp(np.minimum(z - top, 0)).sum(0))
 
 
-def fit(docs: DataFrame, per_language: int = 5000, max_languages: int = 100) -> Model:
-    """``docs``: the training documents (doc_id, text, lang)."""
+def fit(docs: DataFrame, per_language: int = 5000) -> Model:
+    """``docs``: the training documents (doc_id, text, lang). The driver gets at most BUCKETS numbers of each language."""
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text", "lang").where("lang is not null and doc_id is not null and text is not null")
-    sizes = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    if not sizes:
+    total = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not total:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros(0))
-    share: Column = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, per_language / r["n"])).otherwise(share)
-    counts = docs.where(place(F.col("doc_id")) < share).select("lang", "text").mapInArrow(_count, "lang string, bucket int, n bigint")
-    table = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows a language
-    names = sorted(table["lang"].unique())
-    matrix = np.full((len(names), BUCKETS), 0.5)
-    at = table["lang"].map({x: i for i, x in enumerate(names)}).to_numpy().astype(np.int64)
-    np.add.at(matrix, (at, table["bucket"].to_numpy()), table["n"].to_numpy())
-    matrix = np.log(matrix / matrix.sum(1, keepdims=True)).astype(np.float32)
-    total = {r["lang"]: r["n"] for r in sizes}
+    shares = F.create_map(*(F.lit(x) for lang, n in total.items() for x in (lang, min(1.0, per_language / n))))
+    counts = docs.where(place(F.col("doc_id")) < F.element_at(shares, F.col("lang"))).select("lang", "text").mapInArrow(_count, "lang string, bucket int, n bigint")
+    table = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    of, buckets, n = table["lang"].to_pylist(), table["bucket"].to_numpy(), table["n"].to_numpy()
+    names = sorted(set(of))
+    number = {x: i for i, x in enumerate(names)}
+    matrix = np.full((len(names), BUCKETS), 0.5, dtype=np.float32)
+    np.add.at(matrix, (np.fromiter(map(number.__getitem__, of), np.int64, len(of)), buckets), n)
+    matrix = np.log(matrix / matrix.sum(1, keepdims=True, dtype=np.float64)).astype(np.float32)
     prior = np.array([total[x] for x in names], dtype=float)
     return Model(names, matrix, np.log(prior / prior.sum()) if len(names) else prior)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, model: Model, block: int = BLOCK) -> DataFrame:
     """doc_id, lang_pred and score of every row; the text alone decides."""
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, texts in _chunks(batch.column("text")):
-                names, score = shared.value.predict(texts)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, lang_pred string, score double")
+    spark = docs.sparkSession
+    small_batches(spark)
+    state = "n_grams bigint, best string, top double, all double"
+
+    def weighed(part: Model, first: bool, more: bool):
+        shared = spark.sparkContext.broadcast(part)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for a, b, texts in _chunks(batch.column("text")):
+                    own, one = shared.value, batch.slice(a, b - a)
+                    n, best, top, total = own.weigh(texts)
+                    names = np.array(own.names, dtype=object)[best]
+                    if not first:
+                        was, sums = (one.column(c).to_numpy() for c in ("top", "all"))
+                        names = np.where(top > was, names, np.array(one.column("best").to_pylist(), dtype=object))
+                        top, total = np.maximum(top, was), np.logaddexp(total, sums)
+                    cols = [one.column("doc_id"), *([one.column("text")] * more), pa.array(n, pa.int64()), pa.array(names, pa.string()), pa.array(top), pa.array(total)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *(["text"] * more), *(x.split()[0] for x in state.split(", "))])
+
+        return run
+
+    out, parts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), model.blocks(block)
+    if not parts:
+        return out.select("doc_id", F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
+    for i, part in enumerate(parts):
+        first, more = i == 0, i < len(parts) - 1
+        out = out.mapInArrow(weighed(part, first, more), "doc_id bigint, " + "text string, " * more + state)
+        out = staged(out) if more else out
+    known = F.col("n_grams") > 0
+    return out.select("doc_id", F.when(known, F.col("best")).otherwise(UND).alias("lang_pred"), F.when(known, F.least(F.lit(1.0), F.exp(F.col("top") - F.col("all")))).otherwise(0.0).alias("score"))

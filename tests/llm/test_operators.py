@@ -85,6 +85,35 @@ def test_language_is_learned(spark):
     assert sum(r["lang_pred"] == r["lang"] for r in held) >= 0.95 * len(held) and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_language_by_hand(spark):
+    """Naive Bayes over character bigrams and trigrams with dictionaries; the hash of an n-gram is the operator's own bucket."""
+    r = random.Random(2)
+    alphabet = {"aa": "abcde", "bb": "cdefg", "cc": "xyzab"}
+    train = [(i, " ".join("".join(r.choice(alphabet[k]) for _ in range(r.randint(1, 6))) for _ in range(12)), k) for i, k in enumerate(sorted(alphabet) * 10)]
+    tests = [(i, " ".join("".join(r.choice("abcdefgxyz") for _ in range(3)) for _ in range(r.randint(0, 3)))) for i in range(40)]
+
+    def buckets(text):
+        grams, bounds = language._grams([text])
+        folded = f" {''.join(c if c.isalpha() else ' ' for c in text.lower())} "
+        own = [folded[i : i + n] for n in (2, 3) for i in range(len(folded) - n + 1)]
+        assert len(grams) == bounds[-1] == sum(g.strip() != "" for g in own)
+        return grams.tolist()
+
+    count = {k: collections.Counter() for k in alphabet}
+    for _, text, k in train:
+        count[k].update(buckets(text))
+    sums = {k: sum(c.values()) + 0.5 * language.BUCKETS for k, c in count.items()}
+    want = {}
+    for i, text in tests:
+        own = buckets(text)
+        z = {k: math.log(1 / 3) + sum(math.log((count[k][g] + 0.5) / sums[k]) for g in own) for k in sorted(alphabet)}
+        best = max(z, key=z.get)
+        want[i] = (best if own else "und", 1 / sum(math.exp(x - z[best]) for x in z.values()) if own else 0.0)
+    model = language.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    got = {x["doc_id"]: (x["lang_pred"], x["score"]) for x in language.predict(frame(spark, tests), model).collect()}
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()} and all(got[i][1] == pytest.approx(want[i][1], abs=1e-4) for i in want)
+
+
 def test_language_edges(spark):
     train = spark.createDataFrame([(1, "der die das und", "de"), (2, "the and of", "en"), (3, None, "en"), (None, "x", "en"), (4, "y", None)], "doc_id long, text string, lang string")
     model = language.fit(train)
@@ -92,6 +121,10 @@ def test_language_edges(spark):
     got = rows_of(language.predict(frame(spark, [(1, None), (2, ""), (3, "123 !?"), (4, "die und das"), (4, "die und das"), (None, "of the")]), model))
     assert [(r[0], r[1]) for r in got] == [(None, "en"), (1, "und"), (2, "und"), (3, "und"), (4, "de"), (4, "de")]
     assert language.predict(frame(spark, []), model).count() == 0
+    # blocks of languages, one after the other, decide as all at once
+    many = frame(spark, [(i, "the der und " * (i % 3) + t) for i, t in enumerate(["x yz", "die", "of and", "", "und the", "zz"])])
+    for size in (1, 2):
+        assert [(r[0], r[1], round(r[2], 9)) for r in rows_of(language.predict(many, model, size))] == [(r[0], r[1], round(r[2], 9)) for r in rows_of(language.predict(many, model))]
     none = language.fit(train.where("false"))
     assert [r[1] for r in rows_of(language.predict(frame(spark, [(1, "the")]), none))] == ["und"]
 
