@@ -1,13 +1,14 @@
 """Quality rules (operator 6): fixed measures of a text and a trained, calibrated verdict.
 
-The verdict is a logistic regression over hashed word and byte-trigram frequencies, fitted on a
-bounded sample of labelled documents (``per_class`` of each label, chosen by a hash of the id) and
-Platt-scaled on a held-out fifth of it. Scoring runs in Arrow batches with one weight vector of
-2 * ``DIM`` floats, whatever the size of the corpus.
+The verdict is a logistic regression over hashed frequencies of words and pairs of words, and of character
+trigrams, fitted on a bounded sample of labelled documents (``per_class`` of each label, chosen by a hash of
+the id) and Platt-scaled on a held-out fifth of it. Scoring runs in Arrow batches with one weight vector of
+2 * ``DIM`` floats, whatever the size of the corpus. The driver fits sparse rows of at most 2 * ``DIM``
+numbers for each of 2 * ``per_class`` documents.
 
 Edge cases: null or empty text has no words, all measures 0, and fails the base rules; a document
 row that occurs twice is measured twice; labels that are null, or of unknown documents, are not
-used; ids with both labels count as low quality; with labels of one class only, or none, the
+used; ids with both labels count as low quality; of several texts of one id the one of least hash is learned from; with labels of one class only, or none, the
 verdict is to keep. Columns other than doc_id and text are not read and may have any name.
 """
 
@@ -75,24 +76,40 @@ def measures(t: w.Words, hashes: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _trigrams(t: w.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed byte trigrams in [0, DIM), and each text's bounds among them."""
-    d = t.data.astype(np.uint32)
-    if len(d) < 3:
+    """Hashed character trigrams in [0, DIM), and each text's bounds among them."""
+    codes = np.frombuffer(t.data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), dtype="<u4")
+    offsets = t.offsets
+    if len(codes) < len(t.data):  # bytes that begin a character
+        offsets = np.concatenate([[0], np.cumsum((t.data & 0xC0) != 0x80)])[offsets]
+    if len(codes) < 3:
         return np.zeros(0, np.int64), np.zeros(len(t.counts) + 1, np.int64)
-    h = ((d[:-2] | d[1:-1] << 8 | d[2:] << 16) * np.uint32(0x9E3779B1)) >> np.uint32(16)
+    m = np.uint32(0x9E3779B1)
+    h = (((codes[:-2] * m) ^ codes[1:-1]) * m ^ codes[2:]) * m >> np.uint32(16)
     inside = np.ones(len(h), bool)
-    edges = t.offsets[1:-1]
+    edges = offsets[1:-1]
     for back in (1, 2):
         e = edges - back
         inside[e[(e >= 0) & (e < len(h))]] = False
     kept = np.concatenate([[0], np.cumsum(inside)])
-    return h[inside].astype(np.int64), kept[np.clip(t.offsets, 0, len(h))]
+    return h[inside].astype(np.int64), kept[np.clip(offsets, 0, len(h))]
+
+
+def _words(t: w.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words and pairs of words in [0, DIM), text by text, and each text's bounds among them."""
+    pair = np.maximum(t.counts - 1, 0)
+    bounds = np.concatenate([[0], np.cumsum(t.counts + pair)])
+    out = np.empty(bounds[-1], dtype=np.int64)
+    of = t.doc()
+    out[np.arange(len(hashes)) - t.first[of] + bounds[of]] = (hashes & w.U(DIM - 1)).astype(np.int64)
+    begin, both = t.windows(hashes, 2)
+    of = of[begin]
+    out[begin - t.first[of] + bounds[of] + t.counts[of]] = (both & w.U(DIM - 1)).astype(np.int64)
+    return out, bounds
 
 
 def _logits(t: w.Words, hashes: np.ndarray, model: Model) -> np.ndarray:
-    grams, bounds = _trigrams(t)
-    idx = (hashes & w.U(DIM - 1)).astype(np.int64)
-    a = w.per_doc(model.weights[idx], t.first) / np.maximum(t.counts, 1)
+    (words, at), (grams, bounds) = _words(t, hashes), _trigrams(t)
+    a = w.per_doc(model.weights[words], at) / np.maximum(np.diff(at), 1)
     b = w.per_doc(model.weights[DIM:][grams], bounds) / np.maximum(np.diff(bounds), 1)
     return SCALE * (a + b) + model.bias
 
@@ -132,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Model:
     sample = docs.sparkSession.createDataFrame(pd.concat(chosen), "doc_id bigint, good int, place double")
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most 2 * per_class rows
-        .dropDuplicates(["doc_id"]).select("good", "place", "text").mapInArrow(_features, "good int, place double, idx array<int>, val array<float>").toArrow()
+        .groupBy("doc_id").agg(F.min_by(F.struct("good", "place", "text"), F.xxhash64("text")).alias("one")).select("one.*").mapInArrow(_features, "good int, place double, idx array<int>, val array<float>").toArrow()
     )
     return _train(rows, total)
 
@@ -141,11 +158,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, data, offsets in w.texts(batch.column("text")):
             t = w.Words(data, offsets, w.SPACED, lower=False)
-            grams, bounds = _trigrams(t)
-            idx = (t.hashes() & w.U(DIM - 1)).astype(np.int64)
+            (idx, at), (grams, bounds) = _words(t, t.hashes()), _trigrams(t)
             ids, vals = [], []
             for i in range(len(t.counts)):
-                u, c = np.unique(idx[t.first[i] : t.first[i + 1]], return_counts=True)
+                u, c = np.unique(idx[at[i] : at[i + 1]], return_counts=True)
                 v, k = np.unique(grams[bounds[i] : bounds[i + 1]] + DIM, return_counts=True)
                 ids.append(np.concatenate([u, v]).astype(np.int32))
                 vals.append(np.concatenate([c / max(c.sum(), 1), k / max(k.sum(), 1)]).astype(np.float32))
@@ -153,8 +169,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("good"), part.column("place"), pa.array(ids, pa.list_(pa.int32())), pa.array(vals, pa.list_(pa.float32()))], names=["good", "place", "idx", "val"])
 
 
-def _train(rows: pa.Table, total: dict[bool, int], epochs: int = 200, rate: float = 0.5, decay: float = 1e-6) -> Model:
-    """Full-batch Adagrad on four fifths, Platt scaling on the rest, both weighted to the labels' true shares."""
+def _train(rows: pa.Table, total: dict[bool, int], epochs: int = 200, rate: float = 0.5, decay: float = 1e-6, least: float = 1e-3) -> Model:
+    """Full-batch Adagrad on four fifths, Platt scaling on the rest, both weighted to the labels' true shares.
+
+    Ends when ten epochs have lowered the loss by less than a share of ``least``, after ``epochs`` at most."""
     rows = rows.sort_by("place")
     y = rows["good"].to_numpy().astype(float)
     held = (rows["place"].to_numpy() * (1 << 40)).astype(np.int64) % 5 == 0
@@ -171,8 +189,12 @@ def _train(rows: pa.Table, total: dict[bool, int], epochs: int = 200, rate: floa
     theta, bias, g2, gb = np.zeros(2 * DIM), 0.0, np.full(2 * DIM, 1e-8), 1e-8
     use = ~held
     even = np.where(y > 0, 1 / share[1.0], 1 / share[0.0]) * use
+    losses: list[float] = []
     for _ in range(epochs):
         z = np.bincount(of, weights=vals * theta[cols], minlength=len(y)) + bias
+        losses.append(float((np.logaddexp(0, np.clip(z, -50, 50)) - y * np.clip(z, -50, 50)) @ even))
+        if len(losses) > 10 and losses[-1] > (1 - least) * losses[-11]:
+            break
         err = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * even
         g = np.bincount(cols, weights=vals * err[of], minlength=2 * DIM) + decay * theta
         g2 += g * g

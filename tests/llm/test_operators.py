@@ -400,6 +400,37 @@ def test_quality_measures(spark):
     assert got.where("kept = base_failed").count() == 0 and quality.assess(frame(spark, []), quality.Model(None)).count() == 0
 
 
+def test_quality_score_by_hand(spark):
+    """The calibrated probability of each text from its words, pairs of words and character trigrams, with given weights."""
+    import pyarrow as pa
+
+    from tallyframe.llm import words as w
+
+    weights = np.random.default_rng(4).normal(0, 0.2, 2 * quality.DIM).astype(np.float32)
+    model = quality.Model(weights, 0.3, 1.7, -0.2)
+
+    def bucket(*own):
+        for _, _, data, offsets in w.texts(pa.array([" ".join(own)])):
+            t = w.Words(data, offsets, w.SPACED, False)
+            return int(t.hashes()[0] if len(own) == 1 else t.windows(t.hashes(), 2)[1][0]) % quality.DIM
+
+    def trigram(a, b, c):
+        m, cut = 0x9E3779B1, 2**32 - 1
+        return ((((ord(a) * m & cut) ^ ord(b)) * m & cut ^ ord(c)) * m & cut) >> 16
+
+    rows = [(i, t) for i, t in enumerate(["one two three two", "é日本 x", "a", "", None, "ab", "  \n\t", "Zwei Wörter\nund  mehr"])]
+    want = {}
+    for i, text in rows:
+        text = text or ""
+        own = SPACE.findall(text)
+        words = [bucket(x) for x in own] + [bucket(*x) for x in zip(own, own[1:])]
+        grams = [trigram(*x) for x in zip(text, text[1:], text[2:])]
+        z = model.bias + quality.SCALE * (sum(weights[x] for x in words) / max(1, len(words)) + sum(weights[quality.DIM + x] for x in grams) / max(1, len(grams)))
+        want[i] = 1 / (1 + math.exp(-(model.slope * z + model.offset)))
+    got = {x["doc_id"]: x for x in quality.assess(frame(spark, rows), model).collect()}
+    assert all(got[i]["p_good"] == pytest.approx(p, rel=1e-4) for i, p in want.items()) and all(x["kept"] == (not x["base_failed"] and x["p_good"] >= 0.5) for x in got.values())
+
+
 def test_quality_verdict_on_labels_not_learned_from(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
