@@ -90,7 +90,7 @@ def small_batches(spark: SparkSession) -> None:
     """Whole texts can be long: bound the Arrow batches handed to Python by bytes, not only by rows.
 
     Sets two settings of the session, which only say how rows are handed over; never above what the session has."""
-    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20), ("spark.sql.execution.arrow.maxRecordsPerBatch", 4000)):
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20), ("spark.sql.execution.arrow.maxRecordsPerBatch", 4000)):
         now = spark.conf.get(key, None)
         if not (now and now.isdigit() and 0 < int(now) <= most):
             spark.conf.set(key, str(most))

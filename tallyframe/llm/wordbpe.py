@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 from . import words as w
 
 #: Words remembered by a process: above that, it starts anew.
-REMEMBER = 1_200_000
+REMEMBER = 500_000
 #: Pieces of a word, as in the vocabulary file.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Words without these need no more than lower case and composition.
@@ -71,8 +71,8 @@ class WordBpe:
 
     def forget(self) -> None:
         self.known = np.zeros(0, dtype=w.U)
-        self.slot = np.zeros(0, dtype=np.int64)
-        self.start, self.length = np.zeros(1, np.int64), np.ones(1, np.int64)  # slot 0: the id 0 after a text
+        self.slot = np.zeros(0, dtype=np.int32)
+        self.start, self.length = np.zeros(1, np.int32), np.ones(1, np.int32)  # slot 0: the id 0 after a text
         self.flat = np.zeros(1, dtype=np.uint32)
 
     def new_words(self, raw: list[bytes]) -> list[list[int]]:
@@ -103,22 +103,22 @@ class WordBpe:
             data = t.data.tobytes()
             got = self.new_words([data[a:b] for a, b in zip(t.starts[first[new]].tolist(), t.ends[first[new]].tolist(), strict=True)])
             lengths = np.array([len(g) for g in got], dtype=np.int64)
-            slot = len(self.start) + np.arange(len(new))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(lengths) - lengths])
-            self.length = np.concatenate([self.length, lengths])
+            slot = (len(self.start) + np.arange(len(new))).astype(np.int32)
+            self.start = np.concatenate([self.start, (len(self.flat) + np.cumsum(lengths) - lengths).astype(np.int32)])
+            self.length = np.concatenate([self.length, lengths.astype(np.int32)])
             self.flat = np.concatenate([self.flat, np.array([i for g in got for i in g], dtype=np.uint32)])
             keys, slots = np.concatenate([self.known, unique[new]]), np.concatenate([self.slot, slot])
             order = np.argsort(keys, kind="stable")
             self.known, self.slot = keys[order], slots[order]
             at = np.searchsorted(self.known, unique)
-        return self.slot[at][inverse] if len(unique) else np.zeros(0, np.int64)
+        return self.slot[at][inverse] if len(unique) else np.zeros(0, np.int32)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text followed by one 0, and the texts' bounds among them."""
         t = w.Words(data, offsets, w.SPACED, lower=False)
         slots = np.insert(self.slots(t, t.hashes()), t.first[1:], 0)
         lengths = self.length[slots]
-        ends = np.cumsum(lengths)
+        ends = np.cumsum(lengths, dtype=np.int64)
         ids = self.flat[np.repeat(self.start[slots] - (ends - lengths), lengths) + np.arange(lengths.sum())]
         last = t.first[1:] + np.arange(len(t.counts))  # of each text, the place of its 0 among the slots
         return ids, np.concatenate([[0], ends[last]]).astype(np.int64)
