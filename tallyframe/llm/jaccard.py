@@ -41,6 +41,8 @@ BROADCAST_ROWS = 200_000
 CLASS, _HASH = 1.25, 56
 #: A token in one of so many documents (and in 64 at least) is ordered last.
 COMMON = 4000
+#: Groups with a token that face each other in one place.
+HELD = 1024
 #: Tokens a partition counts at a time before it forgets the rarest.
 COUNTED = 1 << 20
 
@@ -166,6 +168,17 @@ def _shared_tokens(apart: int):
     return run
 
 
+def _shared_of_many(matrix: DataFrame, apart: int) -> DataFrame:
+    """The same for tokens of more than HELD groups: the groups are dealt into blocks, and each two blocks face each other in a place of their own."""
+    dealt = matrix.withColumn("blocks", F.ceil(F.col("held") / HELD).cast("int")).withColumn("block", F.pmod(F.xxhash64("g"), F.col("blocks")).cast("int"))
+    met = dealt.select("token", "g", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select("token", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "g")
+    a, b = (met.select("token", "low", "high", F.col("block").alias(f"block_{s}"), F.col("g").alias(f"g{s}")) for s in "ab")
+    here = (F.col("ga") < F.col("gb")) & (F.least("block_a", "block_b") == F.col("low")) & (F.greatest("block_a", "block_b") == F.col("high"))
+    near = F.shiftright("gb", _HASH) - F.shiftright("ga", _HASH) <= apart
+    return a.join(b, ["token", "low", "high"]).where(here & near).select("ga", "gb")
+
+
 def _pairs_of_runs(batches: Iterator[pa.RecordBatch], apart: int) -> Iterator[pa.RecordBatch]:
     left_t, left_g = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -294,8 +307,16 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     nodes = signed.where("n > 0").groupBy("f").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "h")).alias("of"), F.first("n").alias("n"), F.first("g").alias("g"))
     nodes = staged(nodes.select("f", F.col("of.doc_id").alias("least"), "of.h", "n", "g"))
     groups = nodes.groupBy("g").agg(F.count("*").alias("sets"), F.min("n").alias("low"), F.max("n").alias("high"))
-    matrix = signed.where("prefix is not null").select(F.explode("prefix").alias("token"), "g").distinct()
-    shared_by = matrix.repartition("token").sortWithinPartitions("token", "g").mapInArrow(_shared_tokens(_apart(percent)), "ga bigint, gb bigint").groupBy("ga", "gb").agg(F.count("*").alias("tokens"))
+    matrix = staged(signed.where("prefix is not null").select(F.explode("prefix").alias("token"), "g").distinct())
+    apart = _apart(percent)
+    often = matrix.groupBy("token").agg(F.count("*").alias("held")).where(F.col("held") > HELD)
+    # tokens of HELD groups are at most a share of 1 / HELD of the matrix's rows
+    often = staged(often)
+    few = matrix.join(often.select("token"), "token", "left_anti") if not often.isEmpty() else matrix
+    found = few.repartition("token").sortWithinPartitions("token", "g").mapInArrow(_shared_tokens(apart), "ga bigint, gb bigint")
+    if few is not matrix:
+        found = found.unionByName(_shared_of_many(matrix.join(often, "token"), apart))
+    shared_by = found.groupBy("ga", "gb").agg(F.count("*").alias("tokens"))
     # the least set of the smaller class says how many tokens the unions must share; ga has the smaller class
     smallest = F.floor(F.pow(F.lit(CLASS), F.shiftright("ga", _HASH)) - 1e-6)
     bounded = shared_by.where(F.col("tokens") >= F.floor(smallest / 20) + 1)
@@ -314,9 +335,26 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     blocks = staged(sets.groupBy("g", "block").agg(F.collect_list(F.struct("f", "tokens")).alias("members")))
     left = blocks.select(F.col("g").alias("ga"), F.col("block").alias("block_a"), F.col("members").alias("left"))
     right = blocks.select(F.col("g").alias("gb"), F.col("block").alias("block_b"), F.col("members").alias("right"))
-    facing = pairs.join(left, "ga").join(right, "gb").where("ga <> gb or block_a <= block_b")
-    edges = facing.select((F.expr("ga = gb and block_a = block_b")).alias("own"), "left", "right").mapInArrow(_open(percent), "a bigint, b bigint")
+    own = F.expr("ga = gb and block_a = block_b").alias("own")
+
+    def links(facing: DataFrame) -> DataFrame:
+        return facing.select(own, "left", "right").mapInArrow(_open(percent), "a bigint, b bigint")
+
+    # first each block by itself, and the first block of each group against its others: a family of near copies is one
+    # component by then, however large, and blocks whose sets are all of one component need not face each other
+    firsts = right.where("block_b = 0")
+    edges = links(left.join(firsts, F.col("ga") == F.col("gb"))).unionAll(links(left.where("block_a > 0").join(right, (F.col("ga") == F.col("gb")) & (F.col("block_a") == F.col("block_b")))))
+    edges = staged(edges)
     roots = components(edges)
+    rooted = open_.select("g", "block", "f").join(roots, F.col("f") == F.col("node"), "left").groupBy("g", "block").agg(F.min(F.coalesce("root", "f")).alias("low"), F.max(F.coalesce("root", "f")).alias("high"))
+    rooted = staged(rooted)
+    whole = rooted.groupBy("g").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("blocks"))
+    wa, wb = (whole.select(*(F.col(c).alias(f"{c}_{s}") for c in whole.columns)) for s in "ab")
+    open_pairs = pairs.join(wa, F.col("ga") == F.col("g_a")).join(wb, F.col("gb") == F.col("g_b"))
+    open_pairs = staged(open_pairs.where("not (low_a = high_a and low_b = high_b and low_a = low_b) and (ga <> gb or blocks_a > 2)").select("ga", "gb"))
+    la, rb = (x.join(rooted.select(F.col("g").alias(f"g{s}"), F.col("block").alias(f"block_{s}"), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}")), [f"g{s}", f"block_{s}"]) for x, s in ((left, "a"), (right, "b")))
+    facing = open_pairs.join(la, "ga").join(rb, "gb").where("(ga <> gb or 0 < block_a and block_a < block_b) and not (low_a = high_a and low_b = high_b and low_a = low_b)")
+    roots = components(edges.unionAll(links(facing)))
 
     named = nodes.join(roots, nodes["f"] == roots["node"], "left").select("f", "least", F.coalesce("root", "f").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
