@@ -10,8 +10,8 @@ texts are scored in sparse batches in numpy.
 Edge cases: a text that is null, empty or has no letter is ``und`` with score 0; so is every text
 when there is nothing to learn from. Rows of a null language, or a null id, are not learned from.
 Languages with fewer than one letter n-gram are never predicted; every other label is learned. Between equal
-languages the first by name is predicted. Rows that repeat each get a row; texts of any length are scored whole, and
-take some 80 times their size while they are; other columns are not read.
+languages the first by name is predicted. Rows that repeat each get a row; a long text is scored whole, a piece at
+a time; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from .hashing import place
 from .scratch import small_batches, staged
+from .words import give_back
 
 BUCKETS = 1 << 17
 UND = "und"
@@ -42,48 +43,64 @@ def _letter_table() -> np.ndarray:
     return _letters
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams with a letter of all texts, and the texts' bounds among them."""
-    folded = [f" {(t or '').lower()} " for t in texts]
-    codes = np.frombuffer("".join(folded).encode("utf-32-le", "replace"), dtype=np.uint32)
-    offsets = np.concatenate([[0], np.cumsum([len(f) for f in folded])])
+def _mixed(h: np.ndarray) -> np.ndarray:
+    return (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - 17)).astype(np.int64)
+
+
+def _hashed(text: str) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Of the bigrams and the trigrams from each character on: the bucket, and whether there is a letter."""
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
     letter = _letter_table()[codes]
     c = np.where(letter, codes, np.uint32(32)).astype(np.uint64)
     h2 = c[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
     h3 = h2[:-1] + c[2:] * np.uint64(0x165667B19E3779F9)
     ok2 = letter[:-1] | letter[1:]
-    ok3 = ok2[:-1] | letter[2:]
+    return (_mixed(h2), ok2), (_mixed(h3), ok2[:-1] | letter[2:])
+
+
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams with a letter of all texts, and the texts' bounds among them."""
+    folded = [f" {(t or '').lower()} " for t in texts]
+    offsets = np.concatenate([[0], np.cumsum([len(f) for f in folded])])
+    (h2, ok2), (h3, ok3) = _hashed("".join(folded))
     edge = offsets[1:-1]
     ok2[edge - 1] = False
     ok3[edge - 1] = False
     ok3[edge - 2] = False
-    shift = np.uint64(64 - 17)
     # bigrams and trigrams of a text stand together: the place of the first character orders them
-    out, bounds = [], np.zeros(len(offsets), dtype=np.int64)
-    for h, ok in ((h2, ok2), (h3, ok3)):
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append(((h >> shift).astype(np.int64)[ok], np.concatenate([[0], np.cumsum(ok)])[np.minimum(offsets, len(ok))]))
-    (a, ba), (b, bb) = out
+    (a, ba), (b, bb) = ((h[ok], np.concatenate([[0], np.cumsum(ok)])[np.minimum(offsets, len(ok))]) for h, ok in ((h2, ok2), (h3, ok3)))
     grams = np.empty(len(a) + len(b), dtype=np.int64)
-    bounds = ba + bb
     of_a = np.repeat(np.arange(len(texts)), np.diff(ba))
     of_b = np.repeat(np.arange(len(texts)), np.diff(bb))
     grams[np.arange(len(a)) + bb[of_a]] = a
     grams[np.arange(len(b)) + ba[of_b + 1]] = b
-    return grams, bounds
+    return grams, ba + bb
+
+
+def _pieces(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``_grams`` of the texts; one long text in pieces, whose n-grams are those of the whole."""
+    if len(texts) > 1 or len(texts[0] or "") <= 2 * CHUNK:
+        yield _grams(texts)
+        return
+    whole = f" {texts[0].lower()} "
+    for a in range(0, len(whole) - 1, CHUNK):
+        (h2, ok2), (h3, ok3) = _hashed(whole[a : a + CHUNK + 2])
+        grams = np.concatenate([h2[:CHUNK][ok2[:CHUNK]], h3[ok3]])
+        yield grams, np.array([0, len(grams)])
 
 
 def _chunks(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
-    """Runs of rows of about CHUNK bytes."""
+    """Runs of rows of CHUNK characters at most, or one longer text."""
     texts = column.to_pylist()
     a, size = 0, 0
     for i, t in enumerate(texts):
+        if i > a and size + len(t or "") > CHUNK:
+            yield a, i, texts[a:i]
+            a, size = i, 0
         size += len(t or "")
-        if size >= CHUNK:
-            yield a, i + 1, texts[a : i + 1]
-            a, size = i + 1, 0
     if a < len(texts):
         yield a, len(texts), texts[a:]
+    give_back()
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,12 +108,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = batch.column("lang").to_pylist()
         for a, b, texts in _chunks(batch.column("text")):
-            grams, bounds = _grams(texts)
             of = np.array(langs[a:b], dtype=object)
-            row = np.repeat(np.arange(b - a), np.diff(bounds))
-            for lang in set(langs[a:b]):
-                mine = np.bincount(grams[(of == lang)[row]], minlength=BUCKETS)
-                held[lang] = held[lang] + mine if lang in held else mine
+            for grams, bounds in _pieces(texts):
+                row = np.repeat(np.arange(b - a), np.diff(bounds))
+                for lang in set(langs[a:b]):
+                    mine = np.bincount(grams[(of == lang)[row]], minlength=BUCKETS)
+                    held[lang] = held[lang] + mine if lang in held else mine
     for lang, counts in held.items():
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["lang", "bucket", "n"])
@@ -113,14 +130,15 @@ class Model:
 
     def weigh(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: its n-grams, the best language, its log weight, and the logarithm of the sum of all weights."""
-        grams, bounds = _grams(texts)
-        z = np.empty((len(self.names), len(texts)))
-        for i, row in enumerate(self.matrix):
-            sums = np.concatenate([[0.0], np.cumsum(row[grams], dtype=np.float64)])
-            z[i] = sums[bounds[1:]] - sums[bounds[:-1]] + self.prior[i]
+        z, n = np.repeat(self.prior[:, None], len(texts), axis=1), np.zeros(len(texts), np.int64)
+        for grams, bounds in _pieces(texts):
+            n += np.diff(bounds)
+            for i, row in enumerate(self.matrix):
+                sums = np.concatenate([[0.0], np.cumsum(row[grams], dtype=np.float64)])
+                z[i] += sums[bounds[1:]] - sums[bounds[:-1]]
         best = z.argmax(0)
         top = z[best, np.arange(len(texts))]
-        return np.diff(bounds), best, top, top + np.log(np.exp(np.minimum(z - top, 0)).sum(0))
+        return n, best, top, top + np.log(np.exp(np.minimum(z - top, 0)).sum(0))
 
 
 def fit(docs: DataFrame, per_language: int = 5000) -> Model:

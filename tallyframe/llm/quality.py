@@ -75,16 +75,23 @@ def measures(t: w.Words, hashes: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+def _hashed(codes: np.ndarray) -> np.ndarray:
+    m = np.uint32(0x9E3779B1)
+    return (((codes[:-2] * m) ^ codes[1:-1]) * m ^ codes[2:]) * m >> np.uint32(16)
+
+
+def _codes(data: np.ndarray) -> np.ndarray:
+    return np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), dtype="<u4")
+
+
 def _trigrams(t: w.Words) -> tuple[np.ndarray, np.ndarray]:
     """Hashed character trigrams in [0, DIM), and each text's bounds among them."""
-    codes = np.frombuffer(t.data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), dtype="<u4")
-    offsets = t.offsets
+    codes, offsets = _codes(t.data), t.offsets
     if len(codes) < len(t.data):  # bytes that begin a character
         offsets = np.concatenate([[0], np.cumsum((t.data & 0xC0) != 0x80)])[offsets]
     if len(codes) < 3:
         return np.zeros(0, np.int64), np.zeros(len(t.counts) + 1, np.int64)
-    m = np.uint32(0x9E3779B1)
-    h = (((codes[:-2] * m) ^ codes[1:-1]) * m ^ codes[2:]) * m >> np.uint32(16)
+    h = _hashed(codes)
     inside = np.ones(len(h), bool)
     edges = offsets[1:-1]
     for back in (1, 2):
@@ -94,6 +101,21 @@ def _trigrams(t: w.Words) -> tuple[np.ndarray, np.ndarray]:
     return h[inside].astype(np.int64), kept[np.clip(offsets, 0, len(h))]
 
 
+def _trigram_counts(data: np.ndarray) -> np.ndarray:
+    """Of one long text, a piece at a time: how often each hashed trigram occurs."""
+    out, left = np.zeros(DIM, np.int64), np.zeros(0, "<u4")
+    starts = np.append(np.arange(0, len(data), w.CHUNK), len(data))
+    for i, at in enumerate(starts):  # pieces begin where a character does
+        while at < len(data) and data[at] & 0xC0 == 0x80:
+            at += 1
+        starts[i] = at
+    for a, b in zip(starts[:-1], starts[1:], strict=True):
+        codes = np.concatenate([left, _codes(data[a:b])])
+        out += np.bincount(_hashed(codes), minlength=DIM)
+        left = codes[-2:]
+    return out
+
+
 def _words(t: w.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed words and pairs of words in [0, DIM), text by text, and each text's bounds among them."""
     pair = np.maximum(t.counts - 1, 0)
@@ -108,8 +130,12 @@ def _words(t: w.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _logits(t: w.Words, hashes: np.ndarray, model: Model) -> np.ndarray:
-    (words, at), (grams, bounds) = _words(t, hashes), _trigrams(t)
+    words, at = _words(t, hashes)
     a = w.per_doc(model.weights[words], at) / np.maximum(np.diff(at), 1)
+    if len(t.counts) == 1 and len(t.data) > 2 * w.CHUNK:
+        n = _trigram_counts(t.data)
+        return SCALE * (a + (n @ model.weights[DIM:].astype(float)) / max(n.sum(), 1)) + model.bias
+    grams, bounds = _trigrams(t)
     b = w.per_doc(model.weights[DIM:][grams], bounds) / np.maximum(np.diff(bounds), 1)
     return SCALE * (a + b) + model.bias
 

@@ -53,6 +53,39 @@ def rows_of(df):
     return sorted((tuple(r) for r in df.collect()), key=lambda r: (r[0] is not None, *map(str, r)))
 
 
+# ------------------------------------------------------------------ very long texts
+
+
+def test_texts_of_many_megabytes(spark):
+    """One text of 12 MB beside short ones goes through every operator that reads whole texts, and its results agree with a plain count."""
+    r = random.Random(6)
+    vocabulary = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(3000)]
+    own = [r.choice(vocabulary) for _ in range(1_700_000)]
+    passage = "zq1 zq2 zq3 zq4 zq5 zq6 zq7 zq8 zq9 zq10 zq11 zq12 zq13".split()
+    own[800_000:800_000] = passage
+    text = " ".join(own)
+    rows = [(1, text), (2, "short text é"), (3, None), (7, "another one of them")]
+    df = frame(spark, rows)
+    one = lambda out: out.where("doc_id = 1").first()
+    model = language.fit(spark.createDataFrame([(1, " ".join(vocabulary), "xx"), (2, "éàü", "yy")], "doc_id long, text string, lang string"))
+    assert one(language.predict(df, model))["lang_pred"] == "xx" and [g.tolist() for g, _ in language._pieces(["ab" * 10])] == [language._grams(["ab" * 10])[0].tolist()]
+    weights = np.random.default_rng(1).normal(0, 0.1, 2 * quality.DIM).astype(np.float32)
+    assert one(quality.assess(df, quality.Model(weights)))["n_words"] == len(own)
+    import pyarrow as pa
+
+    from tallyframe.llm import words as w
+
+    for _, _, data, offsets in w.texts(pa.array(["é" + text[:3_000_000]])):
+        t = w.Words(data, offsets, w.SPACED, False)
+        assert np.array_equal(np.bincount(quality._trigrams(t)[0], minlength=quality.DIM), quality._trigram_counts(t.data))
+    assert one(jaccard.join(df, 4, 85))["n_shingles"] == len({tuple(own[i : i + 4]) for i in range(len(own) - 3)})
+    assert one(decontaminate.digest(decontaminate.occurrences(df, spark.createDataFrame([("i", " ".join(passage))], "item_id string, text string"))))["n_hit"] == 13
+    assert one(substrings.removed(substrings.mark(df)))["n_removed"] == 0
+    assert one(lm.score(df))["n_tokens"] == len(own) + 1
+    assert one(lines.dedup_lines(df))["text"] == text
+    assert sum(x["length"] for x in packing.pieces(df, WORD_BPE).where("doc_id = 1").collect()) > len(own)
+
+
 # ------------------------------------------------------------------ components
 
 
