@@ -5,7 +5,7 @@ leftmost place. Equal windows have equal anchors at equal distances, so a window
 has an anchor that is taken at two places. Pass 1 counts the places' anchors in a count-min sketch
 of two rows; each partition sends its non-empty cells, merging adds them up block by block, and
 only "two or more" is kept, as bits. A sketch overestimates, so no repeated window is lost. Pass 2
-sends the windows whose anchor may repeat (80 hash bits, one row for each distinct window of a
+sends the windows whose anchor may repeat (76 hash bits, one row for each distinct window of a
 chunk; windows that repeat within a chunk are marked there and then) to be grouped exactly. Marks
 go back to their documents by 84 bits of hashes of id and text.
 
@@ -118,8 +118,8 @@ def _may_repeat(bitmap: np.ndarray, anchors: np.ndarray, bits: int) -> np.ndarra
     return out
 
 
-#: Places in the packed half of a row: bits of a word's number, of the second hash of id and text, of the window's second hash.
-_POS, _TEXT, _MORE = 26, 20, 16
+#: Places in the packed half of a row: bits of a word's number (a string of 2 GB has no more words), of the second hash of id and text, of the window's second hash.
+_POS, _TEXT, _MORE = 30, 20, 12
 _NOWHERE = (1 << _POS) - 1
 
 
@@ -134,8 +134,6 @@ def _candidates(shared, size: int, bits: int):
         for batch in batches:
             for a, b, data, offsets in w.texts(batch.column("text")):
                 t = w.Words(data, offsets, w.SPACED, lower=False)
-                if t.counts.max(initial=0) >= _NOWHERE:
-                    raise ValueError(f"a text has {_NOWHERE} words or more")
                 hashes = t.hashes()
                 begin, anchor, values = _anchors(t, hashes, size)
                 begin = begin[_may_repeat(bitmap, values, bits)[anchor]] if len(begin) else begin
