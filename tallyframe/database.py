@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections import OrderedDict
 from dataclasses import dataclass
 from typing import Any
 
@@ -18,6 +19,10 @@ from .sources import readers
 from .store import Meta, Store
 
 
+#: Answers that a stored database remembers.
+CACHED = 10_000
+
+
 @dataclass(frozen=True)
 class IngestReport:
     total_rows: int
@@ -49,6 +54,7 @@ class Database:
                 self.store.write_meta(self.meta)
         self._memory: tuple[DataFrame, DataFrame, DataFrame] | None = None
         self._seen: dict[str, DataFrame] = {}
+        self._cache: OrderedDict[tuple[str, str, str], QueryResult] = OrderedDict()
 
     def __enter__(self) -> Database:
         return self
@@ -240,7 +246,18 @@ class Database:
     # ------------------------------------------------------------ questions
 
     def query(self, text: str) -> QueryResult:
-        return self.execute(parse(text))
+        """The statement's table. Tables are remembered until the database changes, the CACHED last asked for."""
+        key = (self.meta.version, self.meta.schema.to_json(), text)
+        if self.store is None or key not in self._cache:
+            result = self.execute(parse(text))
+            if self.store is None or not self.meta.version:
+                return result
+            self._cache[key] = result
+            if len(self._cache) > CACHED:
+                self._cache.popitem(last=False)
+        self._cache.move_to_end(key)
+        kept = self._cache[key]
+        return QueryResult(list(kept.header), [list(r) for r in kept.rows])
 
     def execute(self, s: Statement) -> QueryResult:
         return getattr(self, f"_{s.kind}")(s)

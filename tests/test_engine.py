@@ -268,6 +268,30 @@ def test_inner_group_structure(spark):
     assert d.pairwise_matrix(cells, s, "x", "topic").columns == ["value", "t0", "t1", "t2", "t3", "t4"]
 
 
+def test_shell_and_remembered_answers(spark, readings, tmp_path, capsys, monkeypatch):
+    from tallyframe import cli
+
+    path = str(tmp_path / "db")
+    db = defined(Database(spark, path))
+    db.ingest_file(readings, MAPPING)
+    assert cli.main([]) == 2 and "STATEMENT" in capsys.readouterr().out
+    assert cli.main([path, "DIMENSIONS", "site"]) == 0 and "north" in capsys.readouterr().out
+    said = iter(["STATS", "", "NONSENSE", "SHOW sky AT site:none", "quit"])
+    monkeypatch.setattr("builtins.input", lambda _: next(said))
+    assert cli.main([path]) == 0
+    out = capsys.readouterr().out
+    assert "Total samples" in out and out.count("error:") == 2
+    # an answer is given again without a job, as one's own copy, until rows come in
+    first = db.query("SHOW sky AT site:north")
+    with monkeypatch.context() as m:
+        m.setattr(db, "execute", None)
+        first.rows[1][1] = "changed"
+        again = db.query("SHOW sky AT site:north")
+        assert again.rows[1] == ["Samples", "4"]
+    db.ingest_file(readings, MAPPING)
+    assert db.query("SHOW sky AT site:north").rows[1:3] == [["Samples", "8"], ["Version", "2"]]
+
+
 def test_server_and_tools(spark, readings, tmp_path):
     from tallyframe.server import answer
     from tallyframe.tools import Tools
