@@ -5,8 +5,8 @@ leftmost place. Equal windows have equal anchors at equal distances, so a window
 has an anchor that is taken at two places. Pass 1 counts the places' anchors in a count-min sketch
 of two rows; each partition sends its non-empty cells, merging adds them up block by block, and
 only "two or more" is kept, as bits. A sketch overestimates, so no repeated window is lost. Pass 2
-sends the windows whose anchor may repeat (76 hash bits, one row for each distinct window of a
-chunk; windows that repeat within a chunk are marked there and then) to be grouped exactly. Marks
+sends the windows whose anchor may repeat (76 hash bits, two rows at most for each distinct window of a
+task; windows that repeat within a task are marked there and then) to be grouped exactly. Marks
 go back to their documents by 84 bits of hashes of id and text.
 
 The bits take 2 * 2**max_bits / 8 bytes at most, whatever the input; a corpus that outgrows them is
@@ -123,16 +123,27 @@ _POS, _TEXT, _MORE = 30, 20, 12
 _NOWHERE = (1 << _POS) - 1
 
 
+def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which keys are in a sorted array."""
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    at = np.searchsorted(known, keys)
+    at[at == len(known)] = 0
+    return known[at] == keys
+
+
 def _candidates(shared, size: int, bits: int):
     """Rows (w1, packed, key); key: hash of id and text; packed: mark bit, the window's second hash, that of id and text, place.
 
-    Without the mark, a window (w1 and the second hash) to be grouped; at no place if this chunk has marked
-    it. With the mark, w1 windows from the place on that repeat inside the chunk."""
+    Without the mark, a window (w1 and the second hash) to be grouped; at no place if it is marked already. With the
+    mark, w1 windows from the place on that are known to repeat: inside a chunk of texts, or in one that the task
+    had before. A task sends a window twice at most, however often it comes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
+        sent, twice = np.zeros(0, w.U), np.zeros(0, w.U)
         for batch in batches:
-            for a, b, data, offsets in w.texts(batch.column("text")):
+            for a, _, data, offsets in w.texts(batch.column("text")):
                 t = w.Words(data, offsets, w.SPACED, lower=False)
                 hashes = t.hashes()
                 begin, anchor, values = _anchors(t, hashes, size)
@@ -141,7 +152,10 @@ def _candidates(shared, size: int, bits: int):
                     continue
                 w1 = w.ranges(hashes, begin, begin + size, w._Q)
                 w2 = (w.ranges(hashes, begin, begin + size, _Q2) & w.U((1 << _MORE) - 1)).astype(np.int64)
-                more, later = w.repeated(w1 ^ w.mix(w2.astype(w.U)))
+                keys, at, place, times = np.unique(w1 ^ w.mix(w2.astype(w.U)), return_index=True, return_inverse=True, return_counts=True)
+                before = _among(keys, sent)
+                again = before & ~_among(keys, twice)
+                more = (before | (times > 1))[place]
                 doc = np.searchsorted(t.first, begin, side="right") - 1
                 pos = begin - t.first[doc]
                 # runs of marked windows
@@ -150,13 +164,14 @@ def _candidates(shared, size: int, bits: int):
                 head[1:] = (begin[m[1:]] != begin[m[:-1]] + 1) | (doc[m[1:]] != doc[m[:-1]])
                 run_at = m[head]
                 n = np.diff(np.append(np.flatnonzero(head), len(m)))
-                one = np.flatnonzero(~later)
+                one = at[~before | again]
                 rows = np.concatenate([run_at, one])
                 first = np.concatenate([n, w1[one].view(np.int64)])
                 high = np.concatenate([np.full(len(n), 1 << _MORE), w2[one]])
                 where = np.concatenate([pos[run_at], np.where(more[one], _NOWHERE, pos[one])])
                 of = doc[rows] + a
                 text = batch.column("h").to_numpy().astype(np.int64)[of]
+                sent, twice = (np.insert(x, np.searchsorted(x, keys[y]), keys[y]) if y.any() else x for x, y in ((sent, ~before), (twice, again)))
                 yield pa.RecordBatch.from_arrays([pa.array(first), pa.array((high << _TEXT | text) << _POS | where), batch.column("key").take(pa.array(of))], names=["w1", "packed", "key"])
 
     return run
