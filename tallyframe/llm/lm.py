@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as w
+from .blocks import dealt, pack, shard_bits, sums, unpack
 from .hashing import remainder
 from .scratch import small_batches, staged, sweep
 
@@ -47,22 +48,6 @@ STRETCH, BEFORE = 512, 2
 _END, _BEGIN = w.U(0x5851F42D4C957F2D), w.U(0x14057B7EF767814F)
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Numbers as planes of bytes, compressed."""
-    values = np.ascontiguousarray(values, dtype="<u8")
-    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
-    planes = values.view(np.uint8).reshape(len(values), 8)[:, :width].T
-    return bytes([width]) + pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True) if len(values) else b""
-
-
-def unpack(data: bytes, n: int) -> np.ndarray:
-    if not n:
-        return np.zeros(0, w.U)
-    out = np.zeros((n, 8), dtype=np.uint8)
-    out[:, : data[0]] = np.frombuffer(pa.decompress(data[1:], decompressed_size=n * data[0], codec="zstd", asbytes=True), dtype=np.uint8).reshape(data[0], n).T
-    return out.reshape(-1).view("<u8")
-
-
 _BLOCK = "block bigint, doc_id array<bigint>, held_out array<boolean>, n_words array<bigint>, n_vocab bigint, vocab binary, stream binary, tokens bigint, ends bigint"
 
 
@@ -152,26 +137,17 @@ class Block:
 _ASKED = "shard int, block bigint, n_words bigint, words binary, own_words binary, n_grams bigint, grams binary, own_grams binary"
 
 
-def _differences(keys: np.ndarray) -> bytes:
-    return pack(np.diff(keys, prepend=w.U(0)))
-
-
 def _rows(batch: pa.RecordBatch | pa.Table) -> list[dict]:
     return batch.to_pylist()
 
 
-def _ask(bits: int, shard_bits: int):
+def _ask(bits: int, in_shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
                 b = Block(row, bits)
-                lists = []
-                for keys, own, size in ((b.vocab[b.sorted], b.own()[0], 64), (b.grams, b.own()[1], bits)):
-                    low = w.U(size - shard_bits)
-                    cut = np.searchsorted(keys, np.arange(1, 1 << shard_bits, dtype=w.U) << low) if shard_bits else np.zeros(0, np.int64)
-                    cut = np.concatenate([[0], cut, [len(keys)]]).astype(np.int64)
-                    low_part = keys & ((w.U(1) << low) - w.U(1)) if shard_bits else keys
-                    lists.append([(y - x, _differences(low_part[x:y]), pack(own[x:y])) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)])
+                in_vocab, of_grams = b.own()
+                lists = dealt(b.vocab[b.sorted], in_vocab, 64, in_shards), dealt(b.grams, of_grams, bits, in_shards)
                 rows = [(s, row["block"], *x, *y) for s, (x, y) in enumerate(zip(*lists, strict=True))]
                 names = [c.split()[0] for c in _ASKED.split(", ")]
                 kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
@@ -191,7 +167,7 @@ def _add_up(asked: pa.Table) -> pa.Table:
     for name in ("words", "grams"):
         n = asked.column(f"n_{name}").to_pylist()
         out[f"n_{name}"] = n
-        keys = [np.cumsum(unpack(x, k), dtype=w.U) for x, k in zip(asked.column(name).to_pylist(), n, strict=True)]
+        keys = [sums(x, k) for x, k in zip(asked.column(name).to_pylist(), n, strict=True)]
         _, place = np.unique(np.concatenate(keys), return_inverse=True)
         del keys
         own = np.concatenate([unpack(x, k) for x, k in zip(asked.column(f"own_{name}").to_pylist(), n, strict=True)])
@@ -263,7 +239,7 @@ class Automaton:
         text, counted, at, stop = text[order], counted[order], at[order], stop[order]
         begin = 1 + b.end if self.alive[1 + b.end] else 0
         state = np.where(at == b.start[text], begin, 0)
-        sums = np.zeros(len(text))
+        gains = np.zeros(len(text))
         steps = stop - at
         for step in range(int(steps.max(initial=0))):
             live = int(np.searchsorted(-steps, -step))
@@ -282,9 +258,9 @@ class Automaton:
                 s[todo] = self.to[own]
                 # the shorter context of a pair is a word that has been seen
             gained += self.log[arc]
-            sums[:live] += np.where(here >= counted[:live], gained, 0.0)
+            gains[:live] += np.where(here >= counted[:live], gained, 0.0)
             state[:live] = self.target(here)
-        return np.bincount(text, weights=sums, minlength=len(length))
+        return np.bincount(text, weights=gains, minlength=len(length))
 
 
 _SCORED = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
@@ -318,11 +294,10 @@ def score(docs: DataFrame, held_out_mod: int = 7, held_out_rest: int = 2, block_
     out = F.coalesce(remainder(F.col("doc_id"), held_out_mod) == held_out_rest, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", out.alias("held_out"))
     blocks = staged(docs.mapInArrow(_encode(block_bytes), _BLOCK))
-    sums = blocks.agg(F.sum("tokens").alias("tokens"), F.sum("ends").alias("ends"), F.sum(F.expr("aggregate(n_words, 0L, (a, n) -> a + n + 1)")).alias("all")).first()
-    total, ends, size = sums["tokens"] or 0, sums["ends"] or 0, sums["all"] or 0
+    totals = blocks.agg(F.sum("tokens").alias("tokens"), F.sum("ends").alias("ends"), F.sum(F.expr("aggregate(n_words, 0L, (a, n) -> a + n + 1)")).alias("all")).first()
+    total, ends, size = totals["tokens"] or 0, totals["ends"] or 0, totals["all"] or 0
     bits = min(64, max(48, size.bit_length() + 20))
-    shard_bits = max(0, (2 * size // shard_keys).bit_length())
-    asked = blocks.mapInArrow(_ask(bits, shard_bits), _ASKED)
+    asked = blocks.mapInArrow(_ask(bits, shard_bits(2 * size, shard_keys)), _ASKED)
     answers = staged(asked.groupBy("shard").applyInArrow(_add_up, _ANSWER))
     del asked
     kinds = (answers.agg(F.sum("known")).first()[0] or 0) + (ends > 0)
