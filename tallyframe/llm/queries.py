@@ -59,7 +59,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.removed(substrings.mark(table(spark, sf_dir, "documents")))
+    return substrings.dedup(table(spark, sf_dir, "documents"))
 
 
 @query

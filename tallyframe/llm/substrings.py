@@ -1,226 +1,234 @@
 """Substring dedup (operator 5): a count-min prefilter, then exact grouping of what may repeat.
 
-A window of ``size`` words has an anchor: the least hash among its ``GRAM``-word runs, at its
-leftmost place. Equal windows have equal anchors at equal distances, so a window that occurs twice
-has an anchor that is taken at two places. Pass 1 counts the places' anchors in a count-min sketch
-of two rows; each partition sends its non-empty cells, merging adds them up block by block, and
-only "two or more" is kept, as bits. A sketch overestimates, so no repeated window is lost. Pass 2
-sends the windows whose anchor may repeat (76 hash bits, two rows at most for each distinct window of a
-task; windows that repeat within a task are marked there and then) to be grouped exactly. Marks
-go back to their documents by 84 bits of hashes of id and text.
-
-The bits take 2 * 2**max_bits / 8 bytes at most, whatever the input; a corpus that outgrows them is
-still treated exactly, but more windows pass the prefilter (raise ``max_bits``).
+Texts become blocks of about ``BLOCK_BYTES``: the block's distinct words, and its texts as their numbers. Pass 1
+sketches window counts: each block has a sketch of its windows, cells of a hash of each window's words with how many
+windows fell into them, of which only non-empty cells are held and sent. The sketches are merged by adding cells up, each
+range of cells in a shard of its own, so that the sketch has as many cells as the corpus needs (a thousand for each
+window) and is in no one place. A cell's sum is never less than the count of a window in it, so no repeated window is lost.
+Each block gets back which of its cells hold two or more. Pass 2 groups the windows of these cells exactly (80
+hash bits; a block sends one row for each of its distinct windows, and marks what repeats inside it by itself). Marks
+go back to their blocks as places.
 
 Edge cases: null or empty text has no words and keeps an empty digest; rows that occur twice are
-repeats of each other; texts shorter than a window lose nothing; null ids are kept apart by their
-texts, however many there are; other columns are not read.
+repeats of each other; texts shorter than a window lose nothing; rows are told apart by their places, so
+null and equal ids are of no matter; a text of any length is in one block, and takes some 80 bytes for each of its
+words; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks as k
 from . import words as w
-from .scratch import small_batches
+from .scratch import small_batches, staged, sweep
 
-GRAM = 12
-#: Cells in a block of the sketch, as a power of 2.
-BLOCK_BITS = 18
-#: Anchors a partition holds before it sends their cells.
-FLUSH = 1 << 20
+#: Bytes of text in a block, and cells asked for in a shard.
+BLOCK_BYTES, SHARD_KEYS = 8 << 20, 1 << 21
+#: Cells for each window, as a power of 2.
+ROOM = 10
 _Q2 = 0xA0761D6478BD642F
-
-
-def _anchors(t: w.Words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First words of all windows; of each window the number of its anchor; the anchors' hashes."""
-    n, span = len(hashes), size - GRAM + 1
-    room = np.maximum(t.counts - size + 1, 0)
-    begin = np.repeat(t.first[:-1] - (np.cumsum(room) - room), room) + np.arange(room.sum())
-    if not len(begin):
-        return begin, begin, np.zeros(0, w.U)
-    bits = w.U(max(24, n.bit_length()))
-    g = np.full(n, np.iinfo(np.uint64).max, dtype=w.U)
-    at = np.arange(n - GRAM + 1)
-    g[: len(at)] = w.ranges(hashes, at, at + GRAM, w._Q)
-    least = (g >> bits << bits) | np.arange(n, dtype=w.U)
-    have = 1
-    while have < span:
-        step = min(have, span - have)
-        least = np.minimum(least[: len(least) - step], least[step:])
-        have += step
-    place = (least[begin] & ((w.U(1) << bits) - w.U(1))).astype(np.int64)
-    new = np.ones(len(place), bool)
-    new[1:] = place[1:] != place[:-1]
-    return begin, np.cumsum(new) - 1, g[place[new]]
-
-
-def _cells(anchors: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    shift = w.U(64 - bits)
-    # an anchor is a least hash, so it is mixed before its high bits are taken
-    one, two = (w.mix(anchors ^ w.U(x)) for x in (w._Q, _Q2))
-    return (one >> shift).astype(np.int64), (two >> shift).astype(np.int64)
-
-
-def sketch(docs: DataFrame, size: int, bits: int) -> np.ndarray:
-    """Of both rows of cells, the bits "counted twice or more"."""
-    blocks = 1 << (bits - BLOCK_BITS)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for batch in batches:
-            for _, _, data, offsets in w.texts(batch.column("text")):
-                t = w.Words(data, offsets, w.SPACED, lower=False)
-                held.append(_anchors(t, t.hashes(), size)[2])
-                n += len(held[-1])
-                if n >= FLUSH:
-                    yield send(held)
-                    held, n = [], 0
-        if n:
-            yield send(held)
-
-    def send(held: list[np.ndarray]) -> pa.RecordBatch:
-        rows: dict[str, list] = {"block": [], "once": [], "more": []}
-        for row, cells in enumerate(_cells(np.concatenate(held), bits)):
-            cell, n = np.unique(cells, return_counts=True)
-            cut = np.searchsorted(cell, np.arange(blocks + 1) << BLOCK_BITS)
-            for b in np.flatnonzero(np.diff(cut)):
-                own, k = (cell[cut[b] : cut[b + 1]] & ((1 << BLOCK_BITS) - 1)).astype(np.uint32), n[cut[b] : cut[b + 1]]
-                rows["block"].append(row * blocks + int(b))
-                rows["once"].append(own[k == 1].tobytes())
-                rows["more"].append(own[k > 1].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(rows["block"], pa.int32()), pa.array(rows["once"], pa.binary()), pa.array(rows["more"], pa.binary())], names=list(rows))
-
-    def merge(batches: pd.DataFrame) -> pd.DataFrame:
-        once, more = (np.frombuffer(b"".join(batches[k]), dtype=np.uint32) for k in ("once", "more"))
-        n = np.bincount(once, minlength=1 << BLOCK_BITS) + 2 * np.bincount(more, minlength=1 << BLOCK_BITS)
-        return pd.DataFrame({"block": batches["block"][:1], "bits": [np.packbits(n > 1, bitorder="little").tobytes()]})
-
-    parts = docs.select("text").mapInArrow(count, "block int, once binary, more binary")
-    out = np.zeros((2 * blocks, 1 << BLOCK_BITS >> 3), dtype=np.uint8)
-    for row in parts.groupBy("block").applyInPandas(merge, "block int, bits binary").toLocalIterator():
-        out[row["block"]] = np.frombuffer(row["bits"], dtype=np.uint8)
-    return out.reshape(2, -1)
-
-
-def _may_repeat(bitmap: np.ndarray, anchors: np.ndarray, bits: int) -> np.ndarray:
-    out = np.ones(len(anchors), bool)
-    for row, cell in zip(bitmap, _cells(anchors, bits), strict=True):
-        out &= (row[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
-    return out
-
-
-#: Places in the packed half of a row: bits of a word's number (a string of 2 GB has no more words), of the second hash of id and text, of the window's second hash.
-_POS, _TEXT, _MORE = 30, 20, 12
+#: Bits of a window's second hash, and of a word's number in its block (a string of 2 GB has no more words).
+_MORE, _POS = 16, 30
 _NOWHERE = (1 << _POS) - 1
 
+_BLOCK = "block bigint, doc_id array<bigint>, n_words array<bigint>, n_vocab bigint, vocab binary, lengths binary, stream binary, windows bigint"
 
-def _among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Which keys are in a sorted array."""
-    if not len(known):
-        return np.zeros(len(keys), bool)
-    at = np.searchsorted(known, keys)
-    at[at == len(known)] = 0
-    return known[at] == keys
 
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
-def _candidates(shared, size: int, bits: int):
-    """Rows (w1, packed, key); key: hash of id and text; packed: mark bit, the window's second hash, that of id and text, place.
 
-    Without the mark, a window (w1 and the second hash) to be grouped; at no place if it is marked already. With the
-    mark, w1 windows from the place on that are known to repeat: inside a chunk of texts, or in one that the task
-    had before. A task sends a window twice at most, however often it comes."""
+def _encode(size: int, block_bytes: int):
+    """Rows (doc_id, text) as blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
-        sent, twice = np.zeros(0, w.U), np.zeros(0, w.U)
+        ids, counts, hashes, words, size_now, made = [], [], [], [], 0, 0
+        part = TaskContext.get().partitionId()
+
+        def block() -> pa.RecordBatch:
+            n = np.concatenate(counts)
+            vocab, stream, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")  # commonest first
+            number = np.empty(len(order), np.int64)
+            number[order] = np.arange(len(order))
+            # the bytes of each word, from a chunk that has it
+            known, lengths = (np.concatenate([x[i] for x in words]) for i in (0, 1))
+            ends = np.cumsum(lengths)
+            _, at = np.unique(known, return_index=True)
+            at = at[order]
+            data = k.gathered(np.concatenate([x[2] for x in words]), (ends - lengths)[at], lengths[at])
+            one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+            cols = [
+                pa.array([part << 32 | made]), one(pa.concat_arrays(ids)), one(pa.array(n, pa.int64())), pa.array([len(vocab)]), pa.array([pa.compress(data.tobytes(), codec="zstd", asbytes=True)], pa.binary()),
+                pa.array([k.pack(lengths[at])], pa.binary()), pa.array([k.pack(number[stream])], pa.binary()), pa.array([int(np.maximum(n - size + 1, 0).sum())]),
+            ]
+            return pa.RecordBatch.from_arrays(cols, names=_names(_BLOCK))
+
         for batch in batches:
-            for a, _, data, offsets in w.texts(batch.column("text")):
+            for a, b, data, offsets in w.texts(batch.column("text")):
                 t = w.Words(data, offsets, w.SPACED, lower=False)
-                hashes = t.hashes()
-                begin, anchor, values = _anchors(t, hashes, size)
-                begin = begin[_may_repeat(bitmap, values, bits)[anchor]] if len(begin) else begin
-                if not len(begin):
-                    continue
-                w1 = w.ranges(hashes, begin, begin + size, w._Q)
-                w2 = (w.ranges(hashes, begin, begin + size, _Q2) & w.U((1 << _MORE) - 1)).astype(np.int64)
-                keys, at, place, times = np.unique(w1 ^ w.mix(w2.astype(w.U)), return_index=True, return_inverse=True, return_counts=True)
-                before = _among(keys, sent)
-                again = before & ~_among(keys, twice)
-                more = (before | (times > 1))[place]
-                doc = np.searchsorted(t.first, begin, side="right") - 1
-                pos = begin - t.first[doc]
-                # runs of marked windows
-                m = np.flatnonzero(more)
-                head = np.ones(len(m), bool)
-                head[1:] = (begin[m[1:]] != begin[m[:-1]] + 1) | (doc[m[1:]] != doc[m[:-1]])
-                run_at = m[head]
-                n = np.diff(np.append(np.flatnonzero(head), len(m)))
-                one = at[~before | again]
-                rows = np.concatenate([run_at, one])
-                first = np.concatenate([n, w1[one].view(np.int64)])
-                high = np.concatenate([np.full(len(n), 1 << _MORE), w2[one]])
-                where = np.concatenate([pos[run_at], np.where(more[one], _NOWHERE, pos[one])])
-                of = doc[rows] + a
-                text = batch.column("h").to_numpy().astype(np.int64)[of]
-                sent, twice = (np.insert(x, np.searchsorted(x, keys[y]), keys[y]) if y.any() else x for x, y in ((sent, ~before), (twice, again)))
-                yield pa.RecordBatch.from_arrays([pa.array(first), pa.array((high << _TEXT | text) << _POS | where), batch.column("key").take(pa.array(of))], names=["w1", "packed", "key"])
+                h = t.hashes()
+                distinct, at = np.unique(h, return_index=True)
+                length = t.ends[at] - t.starts[at]
+                ids.append(batch.column("doc_id").slice(a, b - a))
+                counts.append(t.counts.astype(np.int64))
+                hashes.append(h)
+                words.append((distinct, length, k.gathered(t.data, t.starts[at], length)))
+                size_now += len(data) + 64 * (b - a)
+                if size_now >= block_bytes:
+                    yield block()
+                    ids, counts, hashes, words, size_now, made = [], [], [], [], 0, made + 1
+        if ids:
+            yield block()
+        w.give_back()
 
     return run
 
 
-def mark(docs: DataFrame, size: int = 35, max_bits: int = 26) -> DataFrame:
-    """docs (doc_id, text) with spans: where repeated windows begin (words; high 32 bits) and how many follow each other (low); null: none."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    row = ("doc_id", F.coalesce("text", F.lit("")))
-    docs = docs.select("doc_id", "text", F.xxhash64(*row).alias("key"), F.hash(*row).bitwiseAND((1 << _TEXT) - 1).alias("h"))
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # an anchor for about every 75 bytes; eight cells for each
-    bits = min(max_bits, max(BLOCK_BITS, math.ceil(math.log2(total / 75 * 8 + 1))))
-    shared = spark.sparkContext.broadcast(sketch(docs, size, bits))  # 2 * 2**max_bits / 8 bytes at most
-    found = docs.mapInArrow(_candidates(shared, size, bits), "w1 bigint, packed bigint, key bigint")
-    high = F.shiftright("packed", _POS + _TEXT)
-    grouped = found.withColumn("in_all", F.count("*").over(Window.partitionBy("w1", high)))
-    marked, place = high >= 1 << _MORE, F.col("packed").bitwiseAND(_NOWHERE)
-    grouped = grouped.where(marked | ((F.col("in_all") > 1) & (place != _NOWHERE)))
-    spans = grouped.select(
-        "key", F.shiftright("packed", _POS).bitwiseAND((1 << _TEXT) - 1).cast("int").alias("h"),
-        F.shiftleft(place, 32).bitwiseOR(F.when(marked, F.col("w1")).otherwise(F.lit(1))).alias("span"),
-    ).groupBy("key", "h").agg(F.collect_list("span").alias("spans"))
-    left, right = docs.alias("l"), spans.alias("r")
-    return left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.h") == F.col("r.h")), "left").select("l.doc_id", "l.text", "r.spans")
+class Block:
+    """A block's texts as numbers of words. counts, first: of the texts, as in ``Words``."""
+
+    def __init__(self, row: dict):
+        self.doc_id, self.counts = row["doc_id"], np.array(row["n_words"], dtype=np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.counts)])
+        lengths = k.unpack(row["lengths"], row["n_vocab"]).astype(np.int64)
+        self.ends = np.cumsum(lengths)
+        self.starts = self.ends - lengths
+        self.data = np.frombuffer(pa.decompress(row["vocab"], decompressed_size=int(lengths.sum()), codec="zstd", asbytes=True), dtype=np.uint8)
+        self.stream = k.unpack(row["stream"], int(self.first[-1])).astype(np.int64)
+
+    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First words, hashes and second hashes of all windows."""
+        hashes = w.ranges(self.data, self.starts, self.ends, w._R)[self.stream]
+        room = np.maximum(self.counts - size + 1, 0)
+        begin = np.repeat(self.first[:-1] - (np.cumsum(room) - room), room) + np.arange(room.sum())
+        one, two = (w.ranges(hashes, begin, begin + size, base) for base in (w._Q, _Q2))
+        return begin, one, two & w.U((1 << _MORE) - 1)
 
+    def words(self) -> list[bytes]:
+        raw = self.data.tobytes()
+        return [raw[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]
 
-def removed(marked: DataFrame, size: int = 35, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of each row; ``with_text`` adds what is kept."""
+
+_ASKED = "shard int, block bigint, n bigint, cells binary, counts binary"
+_ANSWER = "block bigint, shard int, n bigint, repeated binary"
+
+
+def _ask(size: int, bits: int, shard_bits: int):
+    """The sketches: each block's cells and their counts (1, or 2 for more), to the shard of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total, gone, digests, kept = [], [], [], []
-            for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
-                own = (text.as_py() or "").encode().split()
-                total.append(len(own))
-                if spans.is_valid:
-                    s = spans.values.to_numpy()
-                    cover = w.covered(len(own), s >> 32, (s & 0xFFFFFFFF) + size - 1)
-                    gone.append(int(cover.sum()))
-                    own = [own[i] for i in np.flatnonzero(~cover)]
-                else:
-                    gone.append(0)
-                rest = b" ".join(own)
+            for row in batch.to_pylist():
+                cells, n = np.unique(Block(row).windows(size)[1] >> w.U(64 - bits), return_counts=True)
+                rows = [(s, row["block"], *x) for s, x in enumerate(k.dealt(cells, np.minimum(n, 2), bits, shard_bits)) if x[0]]
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                cols = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=_names(_ASKED))
+        w.give_back()
+
+    return run
+
+
+def _merge(asked: pa.Table) -> pa.Table:
+    """Adds up one shard's cells; of each block's, which hold two windows or more, as bits."""
+    n = asked.column("n").to_pylist()
+    _, place = np.unique(np.concatenate([k.sums(x, m) for x, m in zip(asked.column("cells").to_pylist(), n, strict=True)]), return_inverse=True)
+    own = np.concatenate([k.unpack(x, m) for x, m in zip(asked.column("counts").to_pylist(), n, strict=True)])
+    more = (np.bincount(place, weights=own) > 1)[place]
+    cut = np.concatenate([[0], np.cumsum(n)]).tolist()
+    bits = [np.packbits(more[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    w.give_back()
+    return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "n": asked.column("n"), "repeated": pa.array(bits, pa.binary())})
+
+
+_FOUND = "w1 bigint, packed bigint, block bigint"
+
+
+def _candidates(size: int, bits: int):
+    """Windows whose cells hold two or more. packed: mark bit, the window's second hash, place in the block.
+
+    Without the mark, a window (w1 and the second hash) to be grouped; at no place if this block has marked
+    it. With the mark, w1 windows from the place on that repeat inside the block."""
+
+    def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
+        parts = []
+        told = sorted(answers.to_pylist(), key=lambda r: r["shard"])
+        for row in blocks.to_pylist():
+            t = Block(row)
+            begin, w1, w2 = t.windows(size)
+            cells, place = np.unique(w1 >> w.U(64 - bits), return_inverse=True)
+            more = np.concatenate([np.zeros(0, bool), *(np.unpackbits(np.frombuffer(r["repeated"], np.uint8), count=r["n"]).astype(bool) for r in told)])
+            some = np.flatnonzero(more[place]) if len(cells) else np.zeros(0, np.int64)
+            begin, w1, w2 = begin[some], w1[some], w2[some].astype(np.int64)
+            more, later = w.repeated(w1 ^ w.mix(w2.astype(w.U)))
+            # runs of marked windows, each in one text
+            m = np.flatnonzero(more)
+            doc = np.searchsorted(t.first, begin[m], side="right")
+            head = np.ones(len(m), bool)
+            head[1:] = (begin[m[1:]] != begin[m[:-1]] + 1) | (doc[1:] != doc[:-1])
+            run_at, one = m[head], np.flatnonzero(~later)
+            n = np.diff(np.append(np.flatnonzero(head), len(m)))
+            first = np.concatenate([n, w1[one].view(np.int64)])
+            high = np.concatenate([np.full(len(n), 1 << _MORE), w2[one]])
+            where = np.concatenate([begin[run_at], np.where(more[one], _NOWHERE, begin[one])])
+            parts.append(pa.table({"w1": pa.array(first, pa.int64()), "packed": pa.array(high << _POS | where, pa.int64()), "block": pa.array(np.full(len(first), row["block"]), pa.int64())}))
+        w.give_back()
+        return pa.concat_tables(parts)
+
+    return run
+
+
+def _removed(size: int, with_text: bool):
+    def run(blocks: pa.Table, spans: pa.Table) -> pa.Table:
+        places, n = spans.column("place").to_numpy(), spans.column("run").to_numpy()
+        ids, total, gone, digests, kept = [], [], [], [], []
+        for row in blocks.to_pylist():
+            t = Block(row)
+            cover = w.covered(len(t.stream), places, n + size - 1)
+            words, stays = t.words(), np.flatnonzero(~cover)
+            cut = np.searchsorted(stays, t.first)
+            stays = t.stream[stays]
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                rest = b" ".join([words[i] for i in stays[a:b].tolist()])
                 digests.append(hashlib.sha256(rest).hexdigest())
                 if with_text:
                     kept.append(rest.decode())
-            cols = [batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(kept, pa.string())] * with_text, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"][: 4 + with_text])
+            ids += t.doc_id
+            total += t.counts.tolist()
+            gone += w.per_doc(cover, t.first).tolist()
+        w.give_back()
+        cols = {"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
+        return pa.table(cols | ({"kept": pa.array(kept, pa.string())} if with_text else {}))
 
-    return marked.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * with_text)
+    return run
+
+
+def dedup(docs: DataFrame, size: int = 35, with_text: bool = False, block_bytes: int = BLOCK_BYTES, shard_keys: int = SHARD_KEYS) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of each row of docs (doc_id, text); ``with_text`` adds what is kept."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    blocks = staged(docs.mapInArrow(_encode(size, block_bytes), _BLOCK))
+    windows = blocks.agg(F.sum("windows")).first()[0] or 0
+    bits = min(64, max(24, windows.bit_length() + ROOM))
+    asked = blocks.mapInArrow(_ask(size, bits, k.shard_bits(windows, shard_keys)), _ASKED)
+    answers = staged(asked.groupBy("shard").applyInArrow(_merge, _ANSWER))
+    del asked
+    sweep(spark)
+    found = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_candidates(size, bits), _FOUND)
+    high = F.shiftright("packed", _POS)
+    grouped = found.withColumn("in_all", F.count("*").over(Window.partitionBy("w1", high)))
+    marked, place = high >= 1 << _MORE, F.col("packed").bitwiseAND(_NOWHERE)
+    grouped = grouped.where(marked | ((F.col("in_all") > 1) & (place != _NOWHERE)))
+    spans = staged(grouped.select("block", place.alias("place"), F.when(marked, F.col("w1")).otherwise(F.lit(1).cast("bigint")).alias("run")))
+    schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * with_text
+    return blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_removed(size, with_text), schema)

@@ -80,7 +80,7 @@ def test_texts_of_many_megabytes(spark):
         assert np.array_equal(np.bincount(quality._trigrams(t)[0], minlength=quality.DIM), quality._trigram_counts(t.data))
     assert one(jaccard.join(df, 4, 85))["n_shingles"] == len({tuple(own[i : i + 4]) for i in range(len(own) - 3)})
     assert one(decontaminate.digest(decontaminate.occurrences(df, spark.createDataFrame([("i", " ".join(passage))], "item_id string, text string"))))["n_hit"] == 13
-    assert one(substrings.removed(substrings.mark(df)))["n_removed"] == 0
+    assert one(substrings.dedup(df))["n_removed"] == 0
     assert one(lm.score(df))["n_tokens"] == len(own) + 1
     assert one(lines.dedup_lines(df))["text"] == text
     assert sum(x["length"] for x in packing.pieces(df, WORD_BPE).where("doc_id = 1").collect()) > len(own)
@@ -382,8 +382,8 @@ def test_decontamination(spark, block):
 # ------------------------------------------------------------------ 5 substrings
 
 
-@pytest.mark.parametrize(("size", "bits"), [(35, 26), (20, 18)])
-def test_substrings(spark, size, bits):
+@pytest.mark.parametrize(("size", "block_bytes", "shard_keys"), [(35, 1 << 23, 1 << 21), (20, 3000, 200), (35, 1, 50)])
+def test_substrings(spark, size, block_bytes, shard_keys):
     rows = corpus(7)
     source = [[x.encode() for x in SPACE.findall(t or "")] for _, t in rows]
     count = collections.Counter(tuple(x[j : j + size]) for x in source for j in range(len(x) - size + 1))
@@ -394,16 +394,16 @@ def test_substrings(spark, size, bits):
             if count[tuple(own[j : j + size])] > 1:
                 gone[j : j + size] = [True] * size
         want.append((doc, len(own), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(own, gone, strict=True) if not g)).hexdigest()))
-    got = substrings.removed(substrings.mark(frame(spark, rows), size, bits), size)
+    got = substrings.dedup(frame(spark, rows), size, block_bytes=block_bytes, shard_keys=shard_keys)
     assert rows_of(got) == sorted(want, key=lambda x: (x[0] is not None, *map(str, x)))
-    assert substrings.removed(substrings.mark(frame(spark, []))).count() == 0
+    assert substrings.dedup(frame(spark, [])).count() == 0
 
 
 def test_substrings_of_many_null_ids(spark):
     """Of thousands of texts without an id, only those with the passage lose it."""
     passage = " ".join(f"p{i}" for i in range(40))
     rows = [(None, f"{i} {passage}" if i % 2 else f"{i} alone") for i in range(12000)]
-    got = substrings.removed(substrings.mark(frame(spark, rows)), with_text=True)
+    got = substrings.dedup(frame(spark, rows), with_text=True)
     assert {tuple(r) for r in got.select("n_removed", "kept").collect()} == {(40 * (i % 2), f"{i}" if i % 2 else f"{i} alone") for i in range(12000)}
 
 
