@@ -137,8 +137,8 @@ def _each_value(cells: DataFrame, schema: Schema, variable: str, dimension: str,
     return held.select("value", counts.alias("counts"), "total", m.entropy(counts, F.col("total")).alias("entropy"))
 
 
-def pairs(cells: DataFrame, schema: Schema, variable: str, dimension: str, where: Where | None = None) -> DataFrame:
-    """All pairs a < b of the dimension's values in the database with their counts; null where a value has no distribution.
+def pairs(cells: DataFrame, schema: Schema, variable: str, dimension: str, where: Where | None = None, diagonal: bool = False) -> DataFrame:
+    """All pairs a < b (``diagonal``: a <= b) of the dimension's values in the database with their counts; null where a value has no distribution.
 
     Values are dealt into blocks that face each other, so that no side is held whole anywhere."""
     each = _each_value(cells, schema, variable, dimension, where).withColumn("block", F.pmod(F.hash("value"), F.lit(BLOCKS)))
@@ -149,7 +149,7 @@ def pairs(cells: DataFrame, schema: Schema, variable: str, dimension: str, where
         return met.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), *(F.col(c).alias(f"{c}_{s}") for c in ("value", "counts", "total", "entropy", "block")))
 
     # two of one block meet where it faces itself only
-    here = "value_a < value_b and least(block_a, block_b) = low and greatest(block_a, block_b) = high"
+    here = f"value_a {'<=' if diagonal else '<'} value_b and least(block_a, block_b) = low and greatest(block_a, block_b) = high"
     return side("a").join(side("b"), ["low", "high"]).where(here).drop("low", "high", "block_a", "block_b")
 
 
@@ -299,10 +299,11 @@ def _distance(schema: Schema, variable: str, metric: str, strict: bool = False)
 
 def pairwise(cells: DataFrame, schema: Schema, variable: str, dimension: str, metric: str = "jsd") -> DataFrame:
     """value_a, value_b, distance of all ordered pairs, 0 on the diagonal: each pair is computed once."""
-    half = pairs(cells, schema, variable, dimension).select("value_a", "value_b", _distance(schema, variable, metric).alias("distance"))
-    same = dimension_values(cells, schema, dimension).select(F.col("value").alias("value_a"), F.col("value").alias("value_b"), F.lit(0.0).alias("distance"))
-    mirrored = half.select(F.explode(F.array(F.struct("value_a", "value_b", "distance"), F.struct(F.col("value_b").alias("value_a"), F.col("value_a").alias("value_b"), "distance"))).alias("e")).select("e.*")
-    return mirrored.unionByName(same).orderBy("value_a", "value_b")
+    same = F.col("value_a") == F.col("value_b")
+    half = pairs(cells, schema, variable, dimension, diagonal=True).select("value_a", "value_b", F.when(same, 0.0).otherwise(_distance(schema, variable, metric)).alias("distance"))
+    one, other = F.struct("value_a", "value_b", "distance"), F.struct(F.col("value_b").alias("value_a"), F.col("value_a").alias("value_b"), "distance")
+    mirrored = half.select(F.explode(F.when(same, F.array(one)).otherwise(F.array(one, other))).alias("e")).select("e.*")
+    return mirrored.orderBy("value_a", "value_b")
 
 
 def pairwise_matrix(cells: DataFrame, schema: Schema, variable: str, dimension: str, metric: str = "jsd") -> DataFrame:
