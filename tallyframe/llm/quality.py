@@ -177,7 +177,10 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Model:
         docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most 2 * per_class rows
         .groupBy("doc_id").agg(F.min_by(F.struct("good", "place", "text"), F.xxhash64("text")).alias("one")).select("one.*").mapInArrow(_features, "good int, place double, idx array<int>, val array<float>").toArrow()
     )
-    return _train(rows, total)
+    model = _train(rows, total)
+    del rows
+    w.give_back()
+    return model
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,29 +208,37 @@ def _train(rows: pa.Table, total: dict[bool, int], epochs: int = 200, rate: floa
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(y), bool)
     lists = rows["idx"].combine_chunks()
-    of = np.repeat(np.arange(len(y), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
-    cols = lists.flatten().to_numpy()
-    vals = rows["val"].combine_chunks().flatten().to_numpy() * np.float32(SCALE)
-    del lists, rows
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    cols, vals = lists.flatten().to_numpy(), rows["val"].combine_chunks().flatten().to_numpy()
+    bounds = bounds - bounds[0]
     share = {c: max(1, int((y == c).sum())) for c in (0.0, 1.0)}
     weight = np.where(y > 0, total.get(True, 1) / share[1.0], total.get(False, 1) / share[0.0])
 
     theta, bias, g2, gb = np.zeros(2 * DIM), 0.0, np.full(2 * DIM, 1e-8), 1e-8
     use = ~held
     even = np.where(y > 0, 1 / share[1.0], 1 / share[0.0]) * use
+    parts = [(i, min(i + 256, len(y))) for i in range(0, len(y), 256)]  # few numbers at a time beside the sample itself
+
+    def logits() -> np.ndarray:
+        return SCALE * np.concatenate([w.per_doc(vals[bounds[a] : bounds[b]] * theta[cols[bounds[a] : bounds[b]]], bounds[a : b + 1] - bounds[a]) for a, b in parts]) + bias
+
     losses: list[float] = []
     for _ in range(epochs):
-        z = np.bincount(of, weights=vals * theta[cols], minlength=len(y)) + bias
+        z = logits()
         losses.append(float((np.logaddexp(0, np.clip(z, -50, 50)) - y * np.clip(z, -50, 50)) @ even))
         if len(losses) > 10 and losses[-1] > (1 - least) * losses[-11]:
             break
         err = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * even
-        g = np.bincount(cols, weights=vals * err[of], minlength=2 * DIM) + decay * theta
+        g = decay * theta
+        for a, b in parts:
+            g += SCALE * np.bincount(cols[bounds[a] : bounds[b]], weights=vals[bounds[a] : bounds[b]] * np.repeat(err[a:b], np.diff(bounds[a : b + 1])), minlength=2 * DIM)
         g2 += g * g
         gb += err.sum() ** 2
         theta -= rate * g / np.sqrt(g2)
         bias -= rate * err.sum() / np.sqrt(gb)
-    z = np.bincount(of, weights=vals * theta[cols], minlength=len(y)) + bias
+    z = logits()
+    del lists, rows, cols, vals
+    w.give_back()
     on = held if held.any() else use
     slope, offset = _platt(z[on], y[on], weight[on])
     return Model(theta.astype(np.float32), bias, slope, offset)
