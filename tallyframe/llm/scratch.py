@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -48,8 +49,12 @@ def staged(df: DataFrame, rows_per_file: int | None = None) -> DataFrame:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Shuffle files that nothing refers to any more are deleted as soon as the driver's collector finds that out."""
+    """Shuffle files that nothing refers to any more are deleted as soon as the driver's collector finds that out.
+
+    Events of the job that has just ended refer to its plan, so they are waited for."""
     gc.collect()
+    with contextlib.suppress(Exception):  # it only comes later
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(5_000)
     spark.sparkContext._jvm.System.gc()
 
 
