@@ -8,9 +8,10 @@ containment asked for is 1) is joined. Where a document has it, its place fixes
 would start: the length and positional bound drops places that would begin before, or end after,
 the document. What is left is verified word by word over the window.
 
-The index of windows is handed out in blocks of at most ``block`` windows, so what is broadcast has
-a fixed bound whatever the size of the benchmark; with several blocks the documents are read once
-for each, and the hits of a document are brought together by its row.
+An index of at most ``block`` windows is broadcast. Of more windows only a bitmap of fixed size is, of cells of
+their shingles: documents send the shingles in it, to be counted, and then those that are a window's rarest, with the
+words around them, to be joined with the windows; hits return to their rows by number. Either way documents
+are gone through twice, whatever the size of the benchmark, and the results are the same.
 
 Edge cases: null texts and items have no words; an item without words has no windows; equal items
 are all reported; null item ids are reported as nothing but their words are still hit; document
@@ -67,19 +68,6 @@ def _window_shingles(words: np.ndarray) -> np.ndarray:
     return w.ranges(u, at, at + k, w._Q)
 
 
-def _blocks(windows: DataFrame, block: int) -> Iterator[list]:
-    """Distinct windows with their items, at most ``block`` at a time."""
-    grouped = windows.groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    held: list = []
-    for row in grouped.toLocalIterator():
-        held.append((np.array(row["words"], dtype=np.int64), row["items"]))
-        if len(held) == block:
-            yield held
-            held = []
-    if held:
-        yield held
-
-
 def _count(docs: DataFrame, wanted: np.ndarray) -> np.ndarray:
     """How often each of the sorted shingle hashes occurs in all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
@@ -148,7 +136,7 @@ class Index:
 
 
 def _search(shared, names: list[str]):
-    """Adds the hits of one index to the rows' spans."""
+    """Adds to rows the hits of the index, sorted by place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value if shared else None
@@ -173,13 +161,106 @@ def _search(shared, names: list[str]):
                     lists["lengths"].append(index.lengths[window[s]].astype(np.int32) if s.stop > s.start else local[s])
                     lists["items"].append(sorted({x for j in np.unique(window[s]) for x in index.items[j]}) if s.stop > s.start else [])
                 for n, kind in (("starts", pa.int32()), ("lengths", pa.int32()), ("items", pa.string())):
-                    new = pa.array(lists[n], pa.list_(kind))
-                    cols[n] = new if n not in part.schema.names else pa.array([[*x, *y] for x, y in zip(part.column(n).to_pylist(), new.to_pylist(), strict=True)], pa.list_(kind))
+                    cols[n] = pa.array(lists[n], pa.list_(kind))
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return run
 
 
+#: Bits of the bitmap of a large benchmark's shingles, and of a part of it, as powers of 2.
+CELL_BITS, PART_BITS = 27, 18
+
+
+def _bitmap(shingles: DataFrame) -> np.ndarray:
+    """Which cells the shingles (column ``shingle``) fall into. 2**CELL_BITS / 8 bytes, brought together part by part."""
+    cells = shingles.select(F.shiftrightunsigned("shingle", 64 - CELL_BITS).cast("int").alias("cell")).distinct()
+    out = np.zeros(1 << CELL_BITS, dtype=bool)
+    for row in cells.groupBy(F.shiftright("cell", PART_BITS)).agg(F.collect_list("cell").alias("cells")).toLocalIterator():
+        out[np.array(row["cells"])] = True
+    return np.packbits(out, bitorder="little")
+
+
+def _in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    cell = (hashes >> w.U(64 - CELL_BITS)).astype(np.int64)
+    return (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _sent(shared, count: bool, size: int):
+    """Of rows (row, text) the shingles in the bitmap. count: how often each; else each place with the words around it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            for a, _, data, offsets in w.texts(batch.column("text")):
+                t = w.Words(data, offsets, w.ALNUM, lower=True)
+                hashes = t.hashes()
+                for k, begin, h in _shingles(hashes, t):
+                    some = _in(bits, h)
+                    begin, h = begin[some], h[some]
+                    if count:
+                        u, n = np.unique(h, return_counts=True)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), k, np.int32)), pa.array(u.view(np.int64)), pa.array(n)], names=["k", "shingle", "n"])
+                        continue
+                    doc = np.searchsorted(t.first, begin, side="right") - 1
+                    lo, hi = np.maximum(begin - size + 1, t.first[doc]), np.minimum(begin + size, t.first[doc + 1])
+                    around = [hashes[x:y].view(np.int64) for x, y in zip(lo.tolist(), hi.tolist(), strict=True)]
+                    cols = [pa.array(np.full(len(h), k, np.int32)), pa.array(h.view(np.int64)), batch.column("row").take(pa.array(doc + a)), pa.array(begin - t.first[doc]), pa.array(begin - lo), pa.array(around, pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["k", "shingle", "row", "at", "before", "around"])
+
+    return run
+
+
+def _same_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of places joined with windows (words, shift), those where the whole window stands: row, start, length, items."""
+    for batch in batches:
+        first = batch.column("before").to_numpy() - batch.column("shift").to_numpy()
+        length = np.diff(batch.column("words").offsets.to_numpy())
+        room = np.diff(batch.column("around").offsets.to_numpy())
+        ok = (first >= 0) & (first + length <= room)
+        words, around = batch.column("words"), batch.column("around")
+        for i in np.flatnonzero(ok):
+            ok[i] = np.array_equal(around[i].values.to_numpy()[first[i] : first[i] + length[i]], words[i].values.to_numpy())
+        start = batch.column("at").to_numpy() - batch.column("shift").to_numpy()
+        found = pa.RecordBatch.from_arrays([batch.column("row"), pa.array(start.astype(np.int32)), pa.array(length.astype(np.int32)), batch.column("items")], names=["row", "start", "length", "items"])
+        yield found.filter(pa.array(ok))
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to windows (number, words) a row for each shingle: number, k, shift, shingle."""
+    for batch in batches:
+        rows = [(n, min(SHINGLE, len(x)), i, h) for n, x in zip(batch.column("number").to_pylist(), batch.column("words"), strict=True) for i, h in enumerate(_window_shingles(x.values.to_numpy()).view(np.int64).tolist())]
+        cols = zip(*rows, strict=True) if rows else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["number", "k", "shift", "shingle"])
+
+
+def _joined(docs: DataFrame, windows: DataFrame, size: int) -> DataFrame:
+    """``occurrences`` for windows (number, words, items) of any number: nothing that follows their number is broadcast."""
+    spark = docs.sparkSession
+    names = docs.columns
+    rows = staged(docs.select(F.struct("*").alias("of"), "text").withColumn("row", F.monotonically_increasing_id()))
+    each = staged(windows.select("number", "words").mapInArrow(_window_rows, "number bigint, k int, shift int, shingle bigint"))
+    shared = spark.sparkContext.broadcast(_bitmap(each))
+    counts = rows.select("row", "text").mapInArrow(_sent(shared, True, size), "k int, shingle bigint, n bigint").groupBy("k", "shingle").agg(F.sum("n").alias("n"))
+    rarest = each.join(counts, ["k", "shingle"], "left").groupBy("number").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "shift", "k")).alias("r"))
+    # a window whose rarest shingle is in no document is in none
+    keyed = staged(windows.join(rarest.where("r.n > 0"), "number").select(F.col("r.k").alias("k"), F.col("r.shingle").alias("shingle"), F.col("r.shift").alias("shift"), "words", "items"))
+    shared = spark.sparkContext.broadcast(_bitmap(keyed))
+    places = rows.select("row", "text").mapInArrow(_sent(shared, False, size), "k int, shingle bigint, row bigint, at bigint, before bigint, around array<bigint>")
+    hits = places.join(keyed, ["k", "shingle"]).select("row", "at", "before", "around", "shift", "words", "items").mapInArrow(_same_words, "row bigint, start int, length int, items array<string>")
+    hit = hits.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "length", "items"))).alias("h"))
+    found = rows.join(hit, "row", "left").select(*rows.columns, "h").mapInArrow(_counted, T.StructType([*rows.schema.fields, T.StructField("h", hit.schema["h"].dataType), T.StructField("n_words", T.LongType())]))
+    h = F.coalesce("h", F.array())
+    items = F.array_sort(F.array_distinct(F.flatten(F.transform(h, lambda x: x["items"]))))
+    return found.select(*(F.col(f"of.`{n}`").alias(n) for n in names), "n_words", F.transform(h, lambda x: x["start"]).alias("starts"), F.transform(h, lambda x: x["length"]).alias("lengths"), items.alias("items"))
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds n_words."""
+    for batch in batches:
+        n = [w.Words(data, offsets, w.ALNUM, lower=True).counts for _, _, data, offsets in w.texts(batch.column("text"))]
+        yield batch.append_column("n_words", pa.array(np.concatenate([np.zeros(0, np.int64), *n]).astype(np.int64)))
+
+
 def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = 13, block: int = BLOCK) -> DataFrame:
     """docs' rows with n_words, and the windows that occur in them: starts and lengths (in words), items.
 
@@ -187,17 +268,18 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, size: int = 13, block: in
     spark = docs.sparkSession
     small_batches(spark)
     windows = benchmark.select("item_id", "text").mapInArrow(_item_windows(size), "item_id string, words array<bigint>")
+    windows = staged(windows.groupBy("words").agg(F.sort_array(F.collect_set("item_id")).alias("items")).withColumn("number", F.monotonically_increasing_id()))
     docs = docs.drop("n_words", "starts", "lengths", "items")
-    names = docs.columns
+    names, n = docs.columns, windows.count()
+    if n > block:
+        return _joined(docs, windows, size)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType())])
     schema = schema.add("starts", T.ArrayType(T.IntegerType())).add("lengths", T.ArrayType(T.IntegerType())).add("items", T.ArrayType(T.StringType()))
-    out = docs
-    for i, held in enumerate(_blocks(windows, block)):
-        wanted = np.unique(np.concatenate([_window_shingles(x) for x, _ in held]))
-        shared = spark.sparkContext.broadcast(Index(held, wanted, _count(docs, wanted)))
-        # one index at a time in a task's memory: between two blocks the rows so far are written
-        out = (staged(out) if i else docs).mapInArrow(_search(shared, names), schema)
-    return out if out is not docs else docs.mapInArrow(_search(None, names), schema)
+    if not n:
+        return docs.mapInArrow(_search(None, names), schema)
+    held = [(np.array(r["words"], dtype=np.int64), r["items"]) for r in windows.collect()]  # ``block`` windows at most
+    wanted = np.unique(np.concatenate([_window_shingles(x) for x, _ in held]))
+    return docs.mapInArrow(_search(spark.sparkContext.broadcast(Index(held, wanted, _count(docs, wanted))), names), schema)
 
 
 def digest(found: DataFrame, percent: int = 5) -> DataFrame:
