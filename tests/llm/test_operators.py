@@ -310,11 +310,11 @@ def majority(hashes):
 
 
 def stretches(words):
-    """Up to six stretches from each end, of as many words as the greatest power of two that is a sixth of the line at most, and of three at least."""
+    """Up to six stretches from each end, of as many words as the greatest power of two that is a sixth of the line at most, and of three to eight."""
     n, size = len(words), 1
     while size * 2 * 6 <= n:
         size *= 2
-    size = max(3, size)
+    size = min(8, max(3, size))
     each = [(k * size, (k + 1) * size) for k in range(6) if (k + 1) * size <= n]
     return {(size, *words[a:b]) for x, y in each for a, b in ((x, y), (n - y, n - x))}
 
@@ -328,6 +328,20 @@ def test_simhashes_of_lines(spark):
     assert all(x["longest"] == max(map(len, own[x["k1"]])) and len(x["code"]) == len(own[x["k1"]]) for x in got)
 
 
+def test_near_lines_of_many_words(spark):
+    """Lines of 30,000 words with a few changes, which no full table of distances could be made of, and one with too many."""
+    r = random.Random(12)
+    own = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(30_000)]
+    rows = [(0, " ".join(own))]
+    for i, changes in ((1, 3), (2, 60), (3, 29_000)):
+        other = list(own)
+        for j in r.sample(range(len(own)), changes):
+            other[j] = "zzzzz" + str(i)
+        rows.append((i, " ".join(other)))
+    got = {x["doc_id"]: x["text"] for x in lines.dedup_lines(frame(spark, rows)).collect()}
+    assert got == {0: rows[0][1], 1: "", 2: "", 3: rows[3][1]}
+
+
 def test_a_crowd_of_near_lines(spark):
     """More lines with common stretches than meet pair by pair, of two families, each of which has one line left; and 3000 equal ones."""
     r = random.Random(8)
