@@ -93,12 +93,14 @@ def plan(histogram: dict[int, int], size: int) -> list[tuple[int, int, int, int,
 
 
 def pack(cut: DataFrame, size: int = 2048) -> DataFrame:
-    """``cut``: pieces with doc_id, piece, length (written: it is read three times). Adds sequence_id and offset."""
+    """``cut``: pieces with doc_id, piece, length and any evenly spread ``turn`` (written: it is read three times). Adds sequence_id and offset, without turn."""
     spark = cut.sparkSession
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most size rows
     slots = spark.createDataFrame(plan(histogram, size), "slot_length bigint, from_rank bigint, to_rank bigint, first_sequence bigint, each bigint, first_offset bigint")
     salts = max(32, min(1024, int_conf(spark, "spark.sql.shuffle.partitions", 200)))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    # not of what the piece is: however many equal ones there are, they are dealt out
+    salted = cut.withColumn("salt", F.pmod("turn", F.lit(salts)).cast("int"))
+    out = [c for c in cut.columns if c != "turn"]
     before = (
         salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
         .select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
@@ -111,10 +113,10 @@ def pack(cut: DataFrame, size: int = 2048) -> DataFrame:
         (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank")),
     )
     return placed.select(
-        *cut.columns, (F.col("first_sequence") + F.floor(at / F.col("each"))).alias("sequence_id"),
+        *out, (F.col("first_sequence") + F.floor(at / F.col("each"))).alias("sequence_id"),
         (F.col("first_offset") + at % F.col("each") * F.col("length")).alias("offset"),
     )
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048) -> DataFrame:
-    return pack(staged(pieces(docs, tokenizer, size)), size)
+    return pack(staged(pieces(docs, tokenizer, size).withColumn("turn", F.monotonically_increasing_id())), size)

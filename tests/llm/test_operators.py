@@ -737,6 +737,14 @@ def test_packing(spark, size):
     assert packing.pack_documents(frame(spark, []), WORD_BPE, size).count() == 0
 
 
+def test_packing_of_equal_rows(spark):
+    """Thousands of pieces that are equal in all columns take a place each, and no salt has most of them."""
+    docs = frame(spark, [(None, "")] * 5000 + [(1, "a b c")] * 3000)
+    got = packing.pack_documents(docs, WORD_BPE, 16).collect()
+    places = {(r["sequence_id"], r["offset"] + i) for r in got for i in range(r["length"])}
+    assert len(got) == 8000 and len(places) == sum(r["length"] for r in got) and len({s for s, _ in places}) == -(-len(places) // 16)
+
+
 def test_plan_is_best_fit_decreasing():
     r = random.Random(5)
     for _ in range(60):
