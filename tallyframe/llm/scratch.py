@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Folders written, with their session and the names of the scopes that they were written in.
 _written: dict[str, tuple[SparkSession, tuple[str, ...]]] = {}
 _scopes: list[str] = []
+SWEEP, _swept = 2.0, 0.0
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,7 +53,12 @@ def staged(df: DataFrame, rows_per_file: int | None = None) -> DataFrame:
 def sweep(spark: SparkSession) -> None:
     """Shuffle files that nothing refers to any more are deleted as soon as the driver's collector finds that out.
 
-    Events of the job that has just ended refer to its plan, so they are waited for."""
+    Events of the job that has just ended refer to its plan, so they are waited for. Not more often than every SWEEP seconds:
+    jobs that follow each other faster leave little."""
+    global _swept
+    if time.monotonic() - _swept < SWEEP:
+        return
+    _swept = time.monotonic()
     gc.collect()
     with contextlib.suppress(Exception):  # it only comes later
         spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(5_000)
