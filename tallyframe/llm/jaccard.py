@@ -41,6 +41,8 @@ BROADCAST_ROWS = 200_000
 CLASS, _HASH = 1.25, 56
 #: A token in one of so many documents (and in 64 at least) is ordered last.
 COMMON = 4000
+#: Blocks that a block has to face on the average, from which on families are looked for first.
+CROWDED = 8
 #: Groups with a token that face each other in one place.
 HELD = 1024
 #: Tokens a partition counts at a time before it forgets the rarest.
@@ -295,6 +297,26 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return once.unionByName(rows.join(again, same(again), "left_semi").dropDuplicates(["id", "h"])).select("row.*")
 
 
+def _crowded(pairs: DataFrame, left: DataFrame, right: DataFrame, open_: DataFrame, links) -> DataFrame:
+    """Components where groups have many blocks.
+
+    First each block by itself, and the first block of each group against its others: a family of near copies is one
+    component by then, however large, and blocks whose sets are all of one component need not face each other."""
+    firsts = right.where("block_b = 0")
+    edges = links(left.join(firsts, F.col("ga") == F.col("gb"))).unionAll(links(left.where("block_a > 0").join(right, (F.col("ga") == F.col("gb")) & (F.col("block_a") == F.col("block_b")))))
+    edges = staged(edges)
+    roots = components(edges)
+    rooted = open_.select("g", "block", "f").join(roots, F.col("f") == F.col("node"), "left").groupBy("g", "block").agg(F.min(F.coalesce("root", "f")).alias("low"), F.max(F.coalesce("root", "f")).alias("high"))
+    rooted = staged(rooted)
+    whole = rooted.groupBy("g").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("blocks"))
+    wa, wb = (whole.select(*(F.col(c).alias(f"{c}_{s}") for c in whole.columns)) for s in "ab")
+    open_pairs = pairs.join(wa, F.col("ga") == F.col("g_a")).join(wb, F.col("gb") == F.col("g_b"))
+    open_pairs = staged(open_pairs.where("not (low_a = high_a and low_b = high_b and low_a = low_b)").select("ga", "gb"))
+    la, rb = (x.join(rooted.select(F.col("g").alias(f"g{s}"), F.col("block").alias(f"block_{s}"), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}")), [f"g{s}", f"block_{s}"]) for x, s in ((left, "a"), (right, "b")))
+    facing = open_pairs.join(la, "ga").join(rb, "gb").where("(ga <> gb or 0 < block_a and block_a < block_b) and not (low_a = high_a and low_b = high_b and low_a = low_b)")
+    return components(edges.unionAll(links(facing)))
+
+
 def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, h (the text's hash), n_shingles, root (names the component) and component_id of every row."""
     spark = docs.sparkSession
@@ -340,21 +362,13 @@ def grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def links(facing: DataFrame) -> DataFrame:
         return facing.select(own, "left", "right").mapInArrow(_open(percent), "a bigint, b bigint")
 
-    # first each block by itself, and the first block of each group against its others: a family of near copies is one
-    # component by then, however large, and blocks whose sets are all of one component need not face each other
-    firsts = right.where("block_b = 0")
-    edges = links(left.join(firsts, F.col("ga") == F.col("gb"))).unionAll(links(left.where("block_a > 0").join(right, (F.col("ga") == F.col("gb")) & (F.col("block_a") == F.col("block_b")))))
-    edges = staged(edges)
-    roots = components(edges)
-    rooted = open_.select("g", "block", "f").join(roots, F.col("f") == F.col("node"), "left").groupBy("g", "block").agg(F.min(F.coalesce("root", "f")).alias("low"), F.max(F.coalesce("root", "f")).alias("high"))
-    rooted = staged(rooted)
-    whole = rooted.groupBy("g").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("blocks"))
-    wa, wb = (whole.select(*(F.col(c).alias(f"{c}_{s}") for c in whole.columns)) for s in "ab")
-    open_pairs = pairs.join(wa, F.col("ga") == F.col("g_a")).join(wb, F.col("gb") == F.col("g_b"))
-    open_pairs = staged(open_pairs.where("not (low_a = high_a and low_b = high_b and low_a = low_b) and (ga <> gb or blocks_a > 2)").select("ga", "gb"))
-    la, rb = (x.join(rooted.select(F.col("g").alias(f"g{s}"), F.col("block").alias(f"block_{s}"), F.col("low").alias(f"low_{s}"), F.col("high").alias(f"high_{s}")), [f"g{s}", f"block_{s}"]) for x, s in ((left, "a"), (right, "b")))
-    facing = open_pairs.join(la, "ga").join(rb, "gb").where("(ga <> gb or 0 < block_a and block_a < block_b) and not (low_a = high_a and low_b = high_b and low_a = low_b)")
-    roots = components(edges.unionAll(links(facing)))
+    sides = blocks.groupBy("g").agg(F.count("*").alias("blocks"))
+    sa, sb = (sides.select(F.col("g").alias(f"g{s}"), F.col("blocks").alias(f"blocks_{s}")) for s in "ab")
+    sums = pairs.join(sa, "ga").join(sb, "gb").agg(F.sum(F.col("blocks_a") * F.col("blocks_b")).alias("faces"), F.sum(F.greatest("blocks_a", "blocks_b")).alias("blocks")).first()
+    if (sums["faces"] or 0) <= CROWDED * (sums["blocks"] or 0):
+        roots = components(links(pairs.join(left, "ga").join(right, "gb").where("ga <> gb or block_a <= block_b")))
+    else:
+        roots = _crowded(pairs, left, right, open_, links)
 
     named = nodes.join(roots, nodes["f"] == roots["node"], "left").select("f", "least", F.coalesce("root", "f").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -205,7 +205,12 @@ def test_jaccard_keeps_one(spark):
     assert jaccard.join(frame(spark, [])).count() == 0 and jaccard.keep_one(frame(spark, [(1, None), (1, None)])).count() == 2
 
 
-def test_a_large_group_of_near_copies(spark):
+@pytest.mark.parametrize(("sets", "crowded", "held"), [(64, 8, 1024), (4, 0, 2), (1, 0, 3), (2, 10**9, 1)])
+def test_a_large_group_of_near_copies(spark, monkeypatch, sets, crowded, held):
+    """Whatever the size of blocks, with and without looking for families first, and with tokens of few or many groups."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", sets)
+    monkeypatch.setattr(jaccard, "CROWDED", crowded)
+    monkeypatch.setattr(jaccard, "HELD", held)
     r = random.Random(4)
     base = [f"w{i}" for i in range(150)]
     rows = []
