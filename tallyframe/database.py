@@ -16,7 +16,7 @@ from .plans.dsl import Ref, Statement, parse
 from .plans.render import QueryResult
 from .schema import Categorical, Continuous, Schema, SchemaError
 from .sources import readers
-from .store import Meta, Store
+from .store import Meta, Store, table_sum
 
 
 #: Answers that a stored database remembers.
@@ -140,23 +140,16 @@ class Database:
             new, joints = g.split(counts, self.schema)
             touched = new.select(*keys).distinct().withColumns({"version": F.lit(1).cast("bigint"), "last_updated": F.current_timestamp()})
             updated = touched.count()
-            tables = self._tables()
-            if tables:
-                old, old_joints, versions = tables
-                # a version starts at 1, and each later ingest adds 1
-                both = versions.unionByName(touched).groupBy(*keys).agg(F.sum("version").alias("version"), F.max("last_updated").alias("last_updated"))
-                result = g.added(old, new), g.added(old_joints, joints), both
-            else:
-                result = new, joints, touched
             meta = self.meta.copy()
             if stream:
                 meta.batches[stream[0]] = stream[1]
             if mark:
                 meta.marks[mark[0]] = mark[1]
             if self.store:
-                self.store.commit(meta, *result, raw=df if meta.raw_log else None, seen=(mark[0], mark[2]) if mark else None)
+                self.store.commit(meta, new, joints, touched, raw=df if meta.raw_log else None, seen=(mark[0], mark[2]) if mark else None, add=True)
             else:
-                held = tuple(self._held(r) for r in result)
+                result = zip(("cells", "joint_cells", "versions"), (new, joints, touched), strict=True)
+                held = tuple(self._held(table_sum(n, *([self._memory[i]] if self._memory else []), r)) for i, (n, r) in enumerate(result))
                 seen = {mark[0]: self._held(mark[2])} if mark else {}
                 self._memory = held
                 self._seen |= seen

@@ -1,7 +1,8 @@
 """A database on disk: Parquet versions of cells and joint cells, and one small file that points at the current one.
 
 Every commit writes a new version folder and then replaces ``meta.json``, so a reader sees the old version or
-the new one, and nothing is overwritten while it is read. Writers exclude each other for the moment of the
+the new one, and nothing is overwritten while it is read. An ingest writes the counts of its own rows only; a version is
+the sum of its parts, and every COMPACT-th commit writes that sum as one part. Writers exclude each other for the moment of the
 replacement by a lock file, and one that began from an older version than the current one is refused. Through
 Hadoop's file system, so paths may be in any store that Spark reads.
 """
@@ -18,9 +19,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.ingest import added, dim_columns
 from .schema import Schema
 
-
+#: Parts of a version, from which on they are written as one.
+COMPACT = 16
 #: Of ``meta.json`` and the folders beside it.
 FORMAT = 2
 
@@ -43,9 +46,10 @@ class Meta:
     snapshots: list[tuple[str, float]] = field(default_factory=list)
     seen: dict[str, str] = field(default_factory=dict)  # of each source, where its rows at the mark are listed
     raws: list[str] = field(default_factory=list)  # folders of the raw log
+    parts: list[str] = field(default_factory=list)  # folders whose counts add up to the version
 
     def to_json(self) -> str:
-        rest = {k: getattr(self, k) for k in ("version", "batches", "marks", "raw_log", "snapshots", "seen", "raws")}
+        rest = {k: getattr(self, k) for k in ("version", "batches", "marks", "raw_log", "snapshots", "seen", "raws", "parts")}
         return json.dumps({"format": FORMAT, "schema": json.loads(self.schema.to_json()), **rest})
 
     @classmethod
@@ -54,12 +58,25 @@ class Meta:
         if raw.get("format", 1) > FORMAT:
             raise FormatError(f"format {raw['format']} is later than {FORMAT}")
         marks = {k: None if v is None else str(v) for k, v in raw["marks"].items()}
-        return cls(Schema.from_json(json.dumps(raw["schema"])), raw["version"], raw["batches"], marks, raw["raw_log"], [tuple(s) for s in raw["snapshots"]], raw.get("seen", {}), raw.get("raws", []))
+        return cls(Schema.from_json(json.dumps(raw["schema"])), raw["version"], raw["batches"], marks, raw["raw_log"], [tuple(s) for s in raw["snapshots"]], raw.get("seen", {}), raw.get("raws", []), raw.get("parts", [raw["version"]] if raw["version"] else []))
 
     def copy(self) -> Meta:
         return Meta.from_json(self.to_json())
 
 
+def table_sum(table: str, *parts: DataFrame) -> DataFrame:
+    if len(parts) == 1:
+        return parts[0]
+    if table != "versions":
+        return added(*parts)
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    keys = [f"`{c}`" for c in both.columns if c not in ("version", "last_updated")]
+    # a version starts at 1, and each later ingest adds 1
+    return both.groupBy(*keys).agg(F.sum("version").alias("version"), F.max("last_updated").alias("last_updated"))
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -115,15 +132,32 @@ class Store:
         context.rename(aside, real, overwrite)
 
     def read(self, meta: Meta, table: str) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.path}/{meta.version}/{table}") if meta.version else None
-
-    def commit(self, meta: Meta, cells: DataFrame, joints: DataFrame, versions: DataFrame, raw: DataFrame | None = None, seen: tuple[str, DataFrame] | None = None) -> None:
-        """Write a version and point at it; ``meta`` is changed only by that. Folders of a commit that failed are never read."""
+        # with its schema, for a part of no rows has no files, and names of variables may look like numbers
+        dims = [(c, "string") for c in dim_columns(meta.schema)]
+        columns = {
+            "cells": [("variable", "string"), *dims, ("cell", "int"), ("cnt", "bigint")],
+            "joint_cells": [("var_a", "string"), ("var_b", "string"), *dims, ("x", "int"), ("y", "int"), ("cnt", "bigint")],
+            "versions": [("variable", "string"), *dims, ("version", "bigint"), ("last_updated", "timestamp")],
+        }[table]
+        kind = ", ".join(f"`{c}` {t}" for c, t in columns)
+        parts = [self.spark.read.schema(kind).parquet(f"{self.path}/{p}/{table}").select(*(f"`{c}`" for c, _ in columns)) for p in meta.parts]
+        return table_sum(table, *parts) if parts else None
+
+    def commit(self, meta: Meta, cells: DataFrame, joints: DataFrame, versions: DataFrame, raw: DataFrame | None = None, seen: tuple[str, DataFrame] | None = None, add: bool = False) -> None:
+        """Write a version and point at it; ``meta`` is changed only by that. ``add``: the tables are added to those that
+        are there. Folders of a commit that failed are never read."""
         began, version = meta.version, f"v-{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
-        for name, df in (("cells", cells), ("joint_cells", joints), ("versions", versions)):
+        tables = {"cells": cells, "joint_cells": joints, "versions": versions}
+        new = meta.copy()
+        if add and 0 < len(meta.parts) < COMPACT - 1:
+            new.parts.append(version)
+        else:
+            if add and meta.parts:
+                tables = {name: table_sum(name, self.read(meta, name), df) for name, df in tables.items()}
+            new.parts = [version]
+        for name, df in tables.items():
             writer = df.write.option("compression", "zstd")
             (writer.partitionBy("variable") if name == "cells" else writer).parquet(f"{self.path}/{version}/{name}")
-        new = meta.copy()
         if raw is not None:
             raw.write.json(f"{self.path}/raw/{version}")
             new.raws.append(f"raw/{version}")
@@ -140,10 +174,10 @@ class Store:
     def read_raw(self, meta: Meta) -> DataFrame | None:
         return self.spark.read.json([f"{self.path}/{x}" for x in meta.raws]) if meta.raws else None
 
-    def forget(self, meta: Meta, keep: int = 2) -> int:
-        """Remove the folders of all versions but the last ``keep``; returns how many. For when no reader uses older ones."""
-        found = sorted(x.getPath().getName() for x in self._fs.listStatus(self._path("")) if x.getPath().getName().startswith("v-"))
-        old = [x for x in found if x <= meta.version][:-keep]
+    def forget(self, meta: Meta) -> int:
+        """Remove the folders that the current version does not read; returns how many. For when no reader uses an older one."""
+        found = (x.getPath().getName() for x in self._fs.listStatus(self._path("")))
+        old = [x for x in found if x.startswith("v-") and x not in meta.parts and x < meta.version]
         for name in old:
             self._fs.delete(self._path(name), True)
         return len(old)
