@@ -8,7 +8,9 @@ order, so groups whose stored unions share fewer cannot hold a link; that bound,
 choose the pairs of groups. In a pair, each query set is bounded again by its overlap with the whole
 union of the other group's block, and only blocks that reach the needed overlap are opened: all
 their members' overlaps with the query come from one inverted lookup. A block emits a spanning
-forest of its links, not all of them.
+forest of its links, not all of them. Where blocks face many others, each block is opened by itself and
+against its group's first one before: a family of near copies is one component by then, and blocks whose sets are all of one
+component are not compared. Tokens of more than ``HELD`` groups are dealt into places where blocks of groups face each other.
 
 The order puts tokens that many documents hold last (those in at least one of four thousand documents,
 counted over all documents; a table of at most 4000 * mean set size, so it may be broadcast) and is
@@ -17,7 +19,8 @@ at most ``BLOCK_SETS`` sets or ``BLOCK_TOKENS`` tokens (or one larger set).
 
 Edge cases: null or empty texts have no set and link with nothing (not even with each other); rows
 that occur twice are one node; a null id takes part, but is never a component's name unless all its
-members are null; other columns are not read.
+members are null; a text of any length is handled whole, and takes some 17 times its size; other columns are not
+read.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ block the totals in the order it asked. A block then has all states and arcs tha
 
 Edge cases: a null or empty text is just the end token; a null id is a training document; with no
 training documents every token is unknown, with probability 1; rows that occur twice are learned and
-scored twice; one text is never in two blocks, and takes some 60 bytes for each of its words; other columns are
+scored twice; a text of any length is in one block, and takes some 40 times its size; other columns are
 not read.
 """
 

@@ -11,8 +11,8 @@ go back to their blocks as places.
 
 Edge cases: null or empty text has no words and keeps an empty digest; rows that occur twice are
 repeats of each other; texts shorter than a window lose nothing; rows are told apart by their places, so
-null and equal ids are of no matter; a text of any length is in one block, and takes some 80 bytes for each of its
-words; other columns are not read.
+null and equal ids are of no matter; a text of any length is in one block, and takes some 14 times its size; other
+columns are not read.
 """
 
 from __future__ import annotations

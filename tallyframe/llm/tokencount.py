@@ -9,8 +9,8 @@ them, are updated, and nothing else is tokenized again.
 
 Edge cases: a null or empty text has no tokens, and edits of it insert only; a null list of edits is
 none; an edit that reaches past the end is cut there, one with null fields changes nothing; edits apply in the
-order given, each to the text as the ones before left it; rows that occur twice are counted twice.
-Other columns are not read.
+order given, each to the text as the ones before left it; rows that occur twice are counted twice;
+a text of any length is one tree, and takes some 14 times its size. Other columns are not read.
 """
 
 from __future__ import annotations
