@@ -46,17 +46,17 @@ def staged(df: DataFrame, rows_per_file: int | None = None) -> DataFrame:
     _written[path] = (spark, tuple(_scopes))
     writer.parquet(path)
     del writer
-    sweep(spark)
+    sweep(spark, SWEEP)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
+def sweep(spark: SparkSession, least: float = 0.0) -> None:
     """Shuffle files that nothing refers to any more are deleted as soon as the driver's collector finds that out.
 
-    Events of the job that has just ended refer to its plan, so they are waited for. Not more often than every SWEEP seconds:
-    jobs that follow each other faster leave little."""
+    Events of the job that has just ended refer to its plan, so they are waited for. Does nothing if the last time was less than ``least`` seconds ago:
+    jobs that follow each other fast leave little."""
     global _swept
-    if time.monotonic() - _swept < SWEEP:
+    if time.monotonic() - _swept < least:
         return
     _swept = time.monotonic()
     gc.collect()
