@@ -37,16 +37,16 @@ def staged(df: DataFrame, rows_per_file: int | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: lineage is cut, and a lost
     executor costs its own tasks only. Columns stay prunable. Removed when the process ends, or by ``release``.
 
-    Shuffle files of what was written are of no more use; the driver's collector lets go of them."""
+    Shuffle files of what was written before are of no more use; the driver's collector lets go of them. (Those of
+    ``df`` stay while the caller has it.)"""
     spark = df.sparkSession
+    sweep(spark, SWEEP)
     path = f"{shared_dir(spark)}/tallyframe-stage-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     _written[path] = (spark, tuple(_scopes))
     writer.parquet(path)
-    del writer
-    sweep(spark, SWEEP)
     return spark.read.schema(df.schema).parquet(path)
 
 

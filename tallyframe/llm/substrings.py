@@ -230,5 +230,7 @@ def dedup(docs: DataFrame, size: int = 35, with_text: bool = False, block_bytes:
     marked, place = high >= 1 << _MORE, F.col("packed").bitwiseAND(_NOWHERE)
     grouped = grouped.where(marked | ((F.col("in_all") > 1) & (place != _NOWHERE)))
     spans = staged(grouped.select("block", place.alias("place"), F.when(marked, F.col("w1")).otherwise(F.lit(1).cast("bigint")).alias("run")))
+    del found, grouped
+    sweep(spark)
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * with_text
     return blocks.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(_removed(size, with_text), schema)
