@@ -364,6 +364,20 @@ def test_a_crowd_of_near_lines(spark):
     assert out == {0: rows[0][1], 1: rows[1][1], 1000: rows[200][1]}
 
 
+def test_a_crowd_of_many_families(spark):
+    """90 lines have one stretch in common, and each is near one other line only, with which it has no other stretch in common."""
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    common, rows = [word() for _ in range(8)], []
+    for _ in range(lines.CROWD + 13):
+        own = [*common, *(word() for _ in range(40))]
+        other = [w[:-1] + "z" if at % 8 == 3 and at > 8 else w for at, w in enumerate(own)]
+        assert stretches(own) & stretches(other) == {(8, *common)}
+        rows += [(len(rows), " ".join(own)), (len(rows) + 1, " ".join(other))]
+    out = {x["doc_id"] for x in lines.dedup_lines(frame(spark, rows)).where("text <> ''").collect()}
+    assert out == {i for i, _ in rows if i % 2 == 0}
+
+
 # ------------------------------------------------------------------ 4 decontamination
 
 
