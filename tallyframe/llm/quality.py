@@ -3,8 +3,8 @@
 The verdict is a logistic regression over hashed frequencies of words and pairs of words, and of character
 trigrams, fitted on a bounded sample of labelled documents (``per_class`` of each label, chosen by a hash of
 the id) and Platt-scaled on a held-out fifth of it. Scoring runs in Arrow batches with one weight vector of
-2 * ``DIM`` floats, whatever the size of the corpus. The driver fits sparse rows of at most 2 * ``DIM``
-numbers for each of 2 * ``per_class`` documents.
+2 * ``DIM`` floats, whatever the size of the corpus. One task fits sparse rows of at most 2 * ``DIM``
+numbers for each of 2 * ``per_class`` documents; the driver gets the weights only.
 
 Edge cases: null or empty text has no words, all measures 0, and fails the base rules; a document
 row that occurs twice is measured twice; labels that are null, or of unknown documents, are not
@@ -159,28 +159,33 @@ def verdict(m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000) -> Model:
-    """Fit on at most ``per_class`` documents of each label. The driver gets their sparse features only."""
+    """Fit on at most ``per_class`` documents of each label, in one task: their features take more than a driver should hold."""
     small_batches(docs.sparkSession)
     labels = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen, sizes = [], {}
     for q, test in ((0, F.col("quality") <= 0), (1, F.col("quality") > 0)):
-        ranked = labels.where(test).select("doc_id", F.lit(q).alias("good"), place(F.col("doc_id")).alias("place")).orderBy("place", "doc_id").limit(per_class).toPandas()
+        ranked = labels.where(test).select("doc_id", F.lit(q).alias("good"), place(F.col("doc_id")).alias("place")).orderBy("place", "doc_id").limit(per_class).toArrow()
         chosen.append(ranked)
-        sizes[q] = len(ranked)
+        sizes[q] = ranked.num_rows
     if not all(sizes.values()):
         return Model(None)
     total = {bool(r["good"]): r["n"] for r in labels.groupBy((F.col("quality") > 0).alias("good")).agg(F.count("*").alias("n")).collect()}
-    import pandas as pd
-
-    sample = docs.sparkSession.createDataFrame(pd.concat(chosen), "doc_id bigint, good int, place double")
+    sample = docs.sparkSession.createDataFrame(pa.concat_tables(chosen), "doc_id bigint, good int, place double")
     rows = (
         docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most 2 * per_class rows
-        .groupBy("doc_id").agg(F.min_by(F.struct("good", "place", "text"), F.xxhash64("text")).alias("one")).select("one.*").mapInArrow(_features, "good int, place double, idx array<int>, val array<float>").toArrow()
+        .groupBy("doc_id").agg(F.min_by(F.struct("good", "place", "text"), F.xxhash64("text")).alias("one")).select("one.*").mapInArrow(_features, "good int, place double, idx array<int>, val array<float>")
     )
-    model = _train(rows, total)
-    del rows
-    w.give_back()
-    return model
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [batch for batch in batches if batch.num_rows]
+        if own:
+            model = _train(pa.Table.from_batches(own), total)
+            del own
+            w.give_back()
+            yield pa.RecordBatch.from_pylist([{"weights": model.weights.tobytes(), "bias": model.bias, "slope": model.slope, "offset": model.offset}])
+
+    fitted = rows.repartition(1).mapInArrow(run, "weights binary, bias double, slope double, offset double").collect()
+    return Model(np.frombuffer(bytes(fitted[0]["weights"]), np.float32), *fitted[0][1:]) if fitted else Model(None)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -522,6 +523,22 @@ def test_quality_verdict_on_labels_not_learned_from(spark):
     assert quality.fit(docs, labels.where("quality = 1")).weights is None and quality.fit(docs, labels.where("false")).weights is None
 
 
+def test_quality_is_not_fitted_by_the_driver(spark, monkeypatch):
+    """What the driver gets are the weights, not the features of the sample; labels of no document keep all."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    train, driver = quality._train, os.getpid()
+
+    def elsewhere(*a):
+        assert os.getpid() != driver
+        return train(*a)
+
+    monkeypatch.setattr(quality, "_train", elsewhere)
+    model = quality.fit(docs, labels)
+    assert model.weights.shape == (2 * quality.DIM,) and model.weights.any()
+    assert quality.fit(docs, labels.withColumn("doc_id", -1 - F.col("doc_id"))).weights is None
+
+
 # ------------------------------------------------------------------ 7 language model
 
 
