@@ -390,6 +390,30 @@ def test_lines_that_agree_in_the_middle_only(spark):
     assert {x["doc_id"] for x in lines.dedup_lines(frame(spark, rows)).where("text <> ''").collect()} == {0}
 
 
+def test_pairs_compared_by_pieces_and_by_letters(spark):
+    """The distance in pieces is a bound from above; what it does not find is compared by letters."""
+    r = random.Random(23)
+    word = lambda: "".join(r.choice("abcdefé𐐨") for _ in range(r.randint(1, 8)))
+    own, near = {}, []
+    for i in range(0, 400, 2):
+        words = [word() for _ in range(r.randint(5, 30))]
+        own[i] = " ".join(words)
+        if i % 4:  # words changed, or letters
+            own[i + 1] = " ".join(word() if r.random() < 0.25 else w for w in words)
+        else:
+            own[i + 1] = "".join("z" if x != " " and r.random() < 0.25 else x for x in own[i])
+        near.append((i, i + 1))
+    texts = spark.createDataFrame(list(own.items()), "k1 long, norm string")
+    got = {tuple(x) for x in lines.in_letters(spark.createDataFrame(near, "a long, b long"), texts, 80).collect()}
+    letters = {(a, b): levenshtein(own[a], own[b]) for a, b in near}
+    most = {(a, b): max(len(own[a]), len(own[b])) * 20 // 100 for a, b in near}
+    assert got == {x for x in near if letters[x] <= most[x]} and 20 < len(got) < 180
+    cut = {x["k1"]: x["cut"] for x in texts.select("k1", F.expr(lines.pieces("norm")).alias("cut")).collect()}
+    found = {(a, b): lines.PIECE * levenshtein(cut[a], cut[b]) for a, b in near}
+    assert all(found[x] >= letters[x] for x in near) and any(found[x] <= most[x] for x in near)
+    assert all(len(cut[i]) == len(re.findall("[^ ]{1,3} ?", x)) for i, x in own.items())
+
+
 # ------------------------------------------------------------------ 4 decontamination
 
 
