@@ -414,6 +414,45 @@ def test_pairs_compared_by_pieces_and_by_letters(spark):
     assert all(len(cut[i]) == len(re.findall("[^ ]{1,3} ?", x)) for i, x in own.items())
 
 
+def test_no_pair_is_compared_by_letters_twice(spark, monkeypatch):
+    """Pairs near in words and too far in letters meet in a block of two lines, and others in a crowd; each is compared once."""
+    r = random.Random(24)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    rows, common = [], [word() for _ in range(8)]
+    for k in range(60):
+        own = [*(common if k % 2 else (word() for _ in range(8))), *(word() for _ in range(40))]
+        other = [word() if at >= 8 and at % 3 == 0 else w for at, w in enumerate(own)]
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(other))]
+    seen, compare = [], lines.in_letters
+    monkeypatch.setattr(lines, "in_letters", lambda pairs, *a: (seen.extend(tuple(x) for x in pairs.collect()), compare(pairs, *a))[1])
+    lines.dedup_lines(frame(spark, rows)).count()
+    assert len(seen) > 10 and len(seen) == len(set(seen))
+
+
+def test_runs_bound_the_distance_from_above(spark):
+    """In letters and in words; a passage put into a long line is found by them."""
+    r = random.Random(25)
+    word = lambda: "".join(r.choice("abcdefoé𐐨") for _ in range(r.randint(1, 8)))
+    own = {}
+    for i in range(0, 40, 2):
+        words = [word() for _ in range(r.randint(150, 400))]
+        own[i] = " ".join(words)
+        if i % 4:
+            own[i + 1] = " ".join(word() if r.random() < 0.15 else w for w in words)
+        else:
+            at = r.randrange(len(words))
+            own[i + 1] = " ".join([*words[:at], *(word() for _ in range(len(words) // 10)), *words[at:]])
+    texts = lines.sketched(spark.createDataFrame(list(own.items()), "k1 long, norm string"))
+    got = {x["k1"]: x for x in texts.select("k1", "norm", "code", F.expr(lines.runs("norm")).alias("runs"), F.expr(lines.word_runs("code")).alias("word_runs")).collect()}
+    found = 0
+    for i in range(0, 40, 2):
+        a, b = got[i], got[i + 1]
+        letters, words = lines.RUN * levenshtein(a["runs"], b["runs"]), lines.RUN_WORDS * levenshtein(a["word_runs"], b["word_runs"])
+        assert letters >= levenshtein(a["norm"], b["norm"]) and words >= levenshtein(a["code"], b["code"])
+        found += i % 4 == 0 and letters <= max(len(a["norm"]), len(b["norm"])) * 20 // 100 and words <= max(len(a["code"]), len(b["code"])) * lines.MAX_WORDS // 100
+    assert found >= 5
+
+
 # ------------------------------------------------------------------ 4 decontamination
 
 
