@@ -147,6 +147,20 @@ def test_inference(spark):
     assert {x.name: x.granularity for x in s.dimensions} == {"date": "daily", "year": None, "id": None, "slash": "daily"}
 
 
+def test_inference_counts_values_as_far_as_it_matters(spark, monkeypatch):
+    """An empty text is a value; 51 values, or 201 years, are too many; no row is made for each column, and values are not gathered."""
+    df = spark.range(6000).select(
+        *(F.when(F.col("id") % n != 0, F.concat(F.lit("v"), F.col("id") % n)).otherwise("").alias(f"t{n}") for n in (50, 51, 5000)),
+        *(F.when(F.col("id") % 7 != 0, 1900 + F.col("id") % n).alias(f"y{n}") for n in (200, 201)),
+    )
+    plans, agg = [], type(df).agg
+    monkeypatch.setattr(type(df), "agg", lambda self, *a: (plans.append((out := agg(self, *a))._jdf.queryExecution().optimizedPlan().toString()), out)[1])
+    s = g.infer_schema(df, sample_size=None)
+    assert {v.name: v.kind.size for v in s.variables} == {"t50": 50, "y201": 20}
+    assert {x.name for x in s.dimensions} == {"t51", "t5000", "y200"}
+    assert plans and not any("Expand" in x for x in plans)
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"x": 1, "t": "a"}\n\n[1, 2]\n{"x": 2, "t": "b"}\n')
     assert sorted(r["x"] for r in readers.read(spark, str(tmp_path / "a.jsonl")).collect()) == [1, 2]
